@@ -465,10 +465,11 @@ def deconv_stats(spark, sf_dir):
     profiles, tissues = views.mixture_profiles(spark, sf_dir)
     vectors = mixture.profile_vectors(profiles, tissues)
     stats = mixture.mixture_statistics(views.mixture_cells(spark, sf_dir), vectors, tissues)
+    pairs = [(i, j) for i in range(len(tissues)) for j in range(i, len(tissues))]
     return stats.select(
         "sample_id", "n", rounded("bb", 5).alias("bb"),
         *[rounded(F.get("ab", F.lit(i)), 5).alias(f"ab_{t.lower().replace(' ', '_')}") for i, t in enumerate(tissues)],
-        rounded(F.aggregate("aa", F.lit(0.0), lambda a, v: a + v), 4).alias("aa_total"),
+        *[rounded(F.get("aa", F.lit(n)), 5).alias(f"aa_{i}_{j}") for n, (i, j) in enumerate(pairs)],
     )
 
 

@@ -29,8 +29,11 @@ def profile_vectors(profiles: DataFrame, tissues: list[str]) -> DataFrame:
 
 def _packed_outer(a, size: int):
     """Upper triangle of a a', row by row."""
-    rows = [F.transform(F.slice(a, i + 1, size - i), lambda v, i=i: v * F.get(a, F.lit(i))) for i in range(size)]
-    return F.concat(*rows)
+
+    def row(i):
+        return F.transform(F.slice(a, i + 1, size - i), lambda v: v * F.get(a, F.lit(i)))
+
+    return F.concat(*[row(i) for i in range(size)])
 
 
 def _vector_sum(column):
