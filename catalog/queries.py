@@ -34,13 +34,6 @@ def rounded(column: Column | str, digits: int = 6) -> Column:
     return F.round(column, digits) + F.lit(0.0)
 
 
-def labelled_cells(spark, sf_dir, matrix: Matrix, train_only: bool = True) -> DataFrame:
-    samples = views.embedding_samples(spark, sf_dir)
-    if train_only:
-        samples, _ = cohort.split_exact(samples, SPLIT)
-    return align.align_cells(samples.select("sample_id", "class"), matrix.cells())
-
-
 def class_annotation(spark, sf_dir) -> DataFrame:
     train, _ = cohort.split_exact(views.embedding_samples(spark, sf_dir), SPLIT)
     return train.select("sample_id", "class")
@@ -109,9 +102,14 @@ def label_exclude(spark, sf_dir):
 
 @query
 def feature_subset(spark, sf_dir):
-    cells = views.embedding_matrix(spark, sf_dir).cells()
-    listed = durable(cells.groupBy("feature").agg(F.avg("value").alias("m")).where("m > 0").select("feature"))
-    return align.subset_features(cells, listed).select("sample_id", "feature", rounded("value", 8).alias("value"))
+    matrix = views.embedding_matrix(spark, sf_dir)
+    return align.subset_features(matrix.cells(), high_features(matrix)).select("sample_id", "feature", rounded("value", 8).alias("value"))
+
+
+def high_features(matrix: Matrix) -> DataFrame:
+    """Features with a positive mean: a feature list that comes from the data."""
+    means = matrix.positions().groupBy("ord").agg(F.avg("value").alias("m")).where("m > 0")
+    return durable(matrix.named(means).select("feature"))
 
 
 def vector_summary(df: DataFrame, *columns: str) -> DataFrame:
@@ -154,16 +152,16 @@ def attach_scores(spark, sf_dir):
 @query
 def missing_filter(spark, sf_dir):
     matrix = views.gappy_matrix(spark, sf_dir)
-    cells, n = matrix.cells(), matrix.vectors.count()
-    kept = quality.drop_half_missing(cells, n)
-    remaining = kept.groupBy("feature").agg(F.count("*").alias("n_cells"))
-    return quality.missingness(cells, n).join(remaining, "feature", "left")
+    cells, n = matrix.positions(), matrix.vectors.count()
+    kept = quality.drop_half_missing(cells, n, "ord")
+    remaining = kept.groupBy("ord").agg(F.count("*").alias("n_cells"))
+    return matrix.named(quality.missingness(cells, n, "ord").join(remaining, "ord", "left"))
 
 
 @query
 def missing_samples(spark, sf_dir):
     matrix = views.gappy_matrix(spark, sf_dir)
-    cells = quality.drop_all_missing(matrix.cells())
+    cells = quality.drop_all_missing(matrix.positions())
     return quality.missingness(cells, matrix.width, "sample_id")
 
 
@@ -180,10 +178,11 @@ def near_zero_variance(spark, sf_dir):
 
 def standardized(spark, sf_dir, kind):
     samples = views.embedding_samples(spark, sf_dir)
-    cells = views.embedding_matrix(spark, sf_dir).cells()
+    matrix = views.embedding_matrix(spark, sf_dir)
     train, _ = cohort.split_exact(samples, SPLIT)
-    fitted = durable(quality.scaler(align.align_cells(train.select("sample_id"), cells), kind))
-    return quality.standardize(cells, fitted).select("sample_id", "feature", rounded("value").alias("value"))
+    fitted = durable(quality.scaler(matrix.positions(train.select("sample_id")), kind, "ord"))
+    scaled = matrix.named(quality.standardize(matrix.positions(), fitted, "ord"))
+    return scaled.select("sample_id", "feature", rounded("value").alias("value"))
 
 
 @query
@@ -232,15 +231,15 @@ def paired_markers_union(spark, sf_dir):
 def profile_of(spark, sf_dir, matrix: Matrix) -> tuple[DataFrame, list[str]]:
     annotation = class_annotation(spark, sf_dir)
     classes = cohort.sorted_classes(annotation, "class")
-    return contrasts.class_profile(matrix.cells(), annotation, classes), classes
+    return contrasts.profile_matrix(matrix, annotation, classes), classes
 
 
 @query
 def class_effects(spark, sf_dir):
     profile, _ = profile_of(spark, sf_dir, views.gappy_matrix(spark, sf_dir))
     annotation = class_annotation(spark, sf_dir)
-    sizes = {r["class"]: r["count"] for r in annotation.groupBy("class").count().collect()}
-    effects = contrasts.class_effects(contrasts.residuals(contrasts.complete(profile)), sizes)
+    sizes = contrasts.class_sizes(annotation)
+    effects = contrasts.class_effects(profile, sizes)
     return effects.select(
         "feature", "class", "n", "class_na", "others_na", "df",
         *[rounded(c, 8).alias(c) for c in ("class_mean", "others_mean", "class_diff", "s2")],
@@ -274,8 +273,8 @@ def pairwise_contrasts(spark, sf_dir):
 def marker_rows(spark, sf_dir) -> DataFrame:
     annotation = class_annotation(spark, sf_dir)
     classes = cohort.sorted_classes(annotation, "class")
-    cells = views.embedding_matrix(spark, sf_dir, chromosomes=True).cells()
-    table = contrasts.effects_table(cells, annotation, classes)
+    matrix = views.embedding_matrix(spark, sf_dir, chromosomes=True)
+    table = contrasts.effects_table(matrix, annotation, classes)
     return contrasts.top_markers(table, CUTOFF, PER_CLASS)
 
 
@@ -294,17 +293,16 @@ def ovr_marker_counts(spark, sf_dir):
 @query
 def ovr_markers_minus(spark, sf_dir):
     """Plasma markers without those that the embedding mean already separates."""
-    cells = views.embedding_matrix(spark, sf_dir, chromosomes=True).cells()
-    unwanted = cells.groupBy("feature").agg(F.avg("value").alias("m")).where("m > 0")
-    return paired.marker_difference(marker_rows(spark, sf_dir), durable(unwanted.select("feature")))
+    unwanted = high_features(views.embedding_matrix(spark, sf_dir, chromosomes=True))
+    return paired.marker_difference(marker_rows(spark, sf_dir), unwanted)
 
 
 @query
 def two_class_markers(spark, sf_dir):
     train, _ = cohort.split_exact(views.embedding_samples(spark, sf_dir), SPLIT)
     annotation = train.select("sample_id", F.col("cancer_status").alias("class"))
-    cells = views.embedding_matrix(spark, sf_dir, chromosomes=True).cells()
-    table = contrasts.effects_table(cells, annotation, ["cancer", "normal"])
+    matrix = views.embedding_matrix(spark, sf_dir, chromosomes=True)
+    table = contrasts.effects_table(matrix, annotation, ["cancer", "normal"])
     ranked = contrasts.top_markers(table, 0.005, PER_CLASS)
     return ranked.select("class", "feature", "rank", rounded("logfc", 8).alias("logfc"))
 
@@ -313,7 +311,7 @@ def two_class_markers(spark, sf_dir):
 def moderated_t(spark, sf_dir):
     """Values times 10, so that some contrasts pass the threshold of 1."""
     profile, classes = profile_of(spark, sf_dir, views.embedding_matrix(spark, sf_dir, times=10.0))
-    fitted = durable(contrasts.residuals(contrasts.complete(profile)))
+    fitted = durable(profile)
     prior = contrasts.variance_prior(fitted)
     tests = contrasts.moderated_test(contrasts.estimate(fitted, contrasts.one_vs_rest(classes)), prior)
     adjusted = contrasts.decide(contrasts.adjust_bh(tests))
@@ -539,9 +537,7 @@ def round_doubles(table: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def marker_names(spark, sf_dir) -> list[str]:
-    cells = views.embedding_matrix(spark, sf_dir).cells()
-    means = cells.groupBy("feature").agg(F.avg("value").alias("m")).where("m > 0")
-    return sorted(r["feature"] for r in means.collect())
+    return sorted(r["feature"] for r in high_features(views.embedding_matrix(spark, sf_dir)).collect())
 
 
 @query
@@ -580,14 +576,12 @@ def study_discovery_detection(spark, sf_dir):
 def study_discovery_disease(spark, sf_dir):
     samples = views.embedding_samples(spark, sf_dir).withColumn("disease_type", F.col("class"))
     matrix = views.gappy_matrix(spark, sf_dir)
-    cells = durable(quality.drop_half_missing(matrix.cells(), matrix.vectors.count()))
-    return studies.discover_one_vs_rest("liver.disease.study", samples, cells, SPLIT, CUTOFF, PER_CLASS)
+    return studies.discover_one_vs_rest("liver.disease.study", samples, matrix, SPLIT, CUTOFF, PER_CLASS)
 
 
 @query
 def study_discovery_race(spark, sf_dir):
     samples = views.embedding_samples(spark, sf_dir).withColumn("race", F.col("class"))
     matrix = views.gappy_matrix(spark, sf_dir)
-    cells = durable(quality.drop_half_missing(matrix.cells(), matrix.vectors.count()))
-    unwanted = cells.groupBy("feature").agg(F.avg("value").alias("m")).where("m > 0").select("feature")
-    return studies.discover_one_vs_rest("race.study", samples, cells, SPLIT, CUTOFF, PER_CLASS, durable(unwanted))
+    unwanted = high_features(matrix)
+    return studies.discover_one_vs_rest("race.study", samples, matrix.cells(), SPLIT, CUTOFF, PER_CLASS, unwanted)

@@ -64,6 +64,20 @@ def require_unique(df: DataFrame, keys: str | list[str]) -> None:
         raise ValueError(f"duplicate {', '.join(keys)}, e.g. {[tuple(r) for r in twice]}")
 
 
+def require_aligned(samples: DataFrame, available: DataFrame, key: str) -> None:
+    """One job: raise if a sample occurs twice in either table, or has no row in the data."""
+    sides = samples.select(F.col(f"`{key}`").alias("id"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+        available.select(F.col(f"`{key}`").alias("id"), F.lit(0).alias("a"), F.lit(1).alias("b"))
+    )
+    counts = sides.groupBy("id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    bad = counts.where("a > 1 OR b > 1 OR (a > 0 AND b = 0)").take(5)
+    if bad:
+        twice = [r["id"] for r in bad if r["a"] > 1 or r["b"] > 1]
+        if twice:
+            raise ValueError(f"duplicate {key}, e.g. {twice}")
+        raise ValueError(f"samples not in the data, e.g. {[r['id'] for r in bad]}")
+
+
 def require_present(wanted: DataFrame, available: DataFrame, key: str, what: str) -> None:
     """Raise if a key of wanted has no row in available, naming how many and the first few."""
     missing = wanted.select(key).distinct().join(available.select(key).distinct(), key, "left_anti")

@@ -5,99 +5,125 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortgrid.cluster import join_side, require_present
+from cohortgrid.cluster import BROADCAST_BYTES, durable, fits_broadcast, join_side, require_present
 from cohortgrid.fixed import MISSING_TEXTS_STRICT
 
 
 @dataclass(frozen=True)
 class Matrix:
-    """vectors(sample_id, x ARRAY<DOUBLE>) plus features(ord, feature) naming the positions 0..width-1."""
+    """vectors(sample_id, x ARRAY<DOUBLE>) and the features that name its positions 0..width-1.
+
+    The names are a list when they are few enough for the driver, else a table(ord, feature).
+    """
 
     vectors: DataFrame
-    features: DataFrame
     width: int
+    listed: tuple[str, ...] | None = None
+    table: DataFrame | None = None
 
     @staticmethod
     def from_vectors(vectors: DataFrame, names: list[str]) -> Matrix:
-        spark = vectors.sparkSession
-        features = spark.createDataFrame(list(enumerate(names)), "ord INT, feature STRING")
-        return Matrix(vectors.select("sample_id", "x"), features, len(names))
+        return Matrix(vectors.select("sample_id", "x"), len(names), tuple(names))
 
     @staticmethod
     def from_wide(df: DataFrame, key: str, strict: bool = False) -> Matrix:
         """One column per feature -> one array per row; no shuffle. Text that is no number becomes NULL
         (or raises, if strict)."""
         names = [c for c in df.columns if c != key]
-        cells = [number(F.col(quoted(c)), strict) for c in names]
-        vectors = df.select(F.col(quoted(key)).cast("string").alias("sample_id"), F.array(*cells).alias("x"))
-        return Matrix.from_vectors(vectors, names)
+        cells = [number(F.col(quoted(c)).cast("string"), strict) for c in names]
+        return Matrix.from_vectors(df.select(F.col(quoted(key)).cast("string").alias("sample_id"), F.array(*cells).alias("x")), names)
 
     @staticmethod
-    def from_cells(cells: DataFrame, features: DataFrame | None = None) -> Matrix:
+    def from_cells(cells: DataFrame, names: list[str] | None = None) -> Matrix:
         """cells(sample_id, feature, value) -> vectors over the given features (default: all, by name).
 
         Cells are first made unique per (sample, position), which also combines repeats before the
-        shuffle, so the list gathered per sample never exceeds the matrix width. Absent cells are NULL.
+        shuffle, so the list gathered per sample never exceeds the matrix width. Absent cells are NULL; a
+        cell given twice raises.
         """
-        if features is None:
-            names = cells.select("feature").distinct()
-            features = numbered(names, "feature")
-        width = features.count()
-        placed = join_side(cells, features, "feature").groupBy("sample_id", "ord").agg(
+        if names is None:
+            shape = _numbered(durable(cells.select("feature").distinct()))
+        else:
+            shape = Matrix(cells, len(names), tuple(names))
+        width = shape.width
+        placed = shape._with_names(cells, "feature").groupBy("sample_id", "ord").agg(
             F.max("value").alias("value"), F.count("*").alias("copies")
         )
-        once = placed.select(
-            "sample_id",
-            "ord",
-            F.when(F.col("copies") == 1, F.col("value"))
-            .otherwise(F.raise_error(F.concat(F.lit("repeated cell of sample "), "sample_id")).cast("double"))
-            .alias("value"),
-        )
-        vectors = once.groupBy("sample_id").agg(F.collect_list(F.struct("ord", "value")).alias("p"))
+        repeated = F.raise_error(F.concat(F.lit("repeated cell of sample "), "sample_id")).cast("double")
+        once = placed.select("sample_id", "ord", F.when(F.col("copies") == 1, F.col("value")).otherwise(repeated).alias("value"))
+        packed = once.groupBy("sample_id").agg(F.collect_list(F.struct("ord", "value")).alias("p"))
         every = F.sequence(F.lit(0), F.lit(width - 1)) if width else F.array().cast("array<int>")
         absent = F.transform(
             F.array_except(every, F.col("p.ord")),
             lambda i: F.struct(i.alias("ord"), F.lit(None).cast("double").alias("value")),
         )
         filled = F.when(F.size("p") == width, F.col("p")).otherwise(F.concat("p", absent))
-        x = F.sort_array(filled)["value"]
-        return Matrix(vectors.select("sample_id", x.alias("x")), features.select("ord", "feature"), width)
+        vectors = packed.select("sample_id", F.sort_array(filled)["value"].alias("x"))
+        return Matrix(vectors, width, shape.listed, shape.table)
+
+    @property
+    def features(self) -> DataFrame:
+        """(ord, feature)"""
+        if self.table is not None:
+            return self.table.select("ord", "feature")
+        return named_positions(self.vectors.sparkSession, self.listed)
+
+    def names(self) -> list[str]:
+        if self.listed is not None:
+            return list(self.listed)
+        return [r["feature"] for r in self.features.orderBy("ord").collect()]
+
+    def _with_names(self, df: DataFrame, on: str) -> DataFrame:
+        if self.listed is not None and sum(map(len, self.listed)) * 4 + 8 * self.width <= BROADCAST_BYTES:
+            return df.join(F.broadcast(self.features), on)
+        return join_side(df, self.features, on)
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """Replace column ord by the feature name."""
+        return self._with_names(df, "ord").select("feature", *[F.col(quoted(c)) for c in df.columns if c != "ord"])
 
-    def cells(self) -> DataFrame:
-        """One row per cell; names are joined on by position."""
-        exploded = self.vectors.select("sample_id", F.posexplode("x").alias("ord", "value"))
-        return join_side(exploded, self.features, "ord").select("sample_id", "feature", "value")
+    def positions(self, samples: DataFrame | None = None) -> DataFrame:
+        """One row per cell, keyed by position: (sample_id, ord, value), with the columns of samples.
 
-    def positions(self) -> DataFrame:
-        """One row per cell with the position instead of the name: nothing is joined."""
-        return self.vectors.select("sample_id", F.posexplode("x").alias("ord", "value"))
+        Samples are joined before the vectors are unfolded. Statistics per feature run on positions; the
+        names are joined to their results, which are one row per feature.
+        """
+        vectors = self.vectors if samples is None else join_side(self.vectors, samples, "sample_id")
+        kept = [F.col(quoted(c)) for c in vectors.columns if c != "x"]
+        return vectors.select(*kept, F.posexplode("x").alias("ord", "value"))
+
+    def cells(self, samples: DataFrame | None = None) -> DataFrame:
+        """One row per cell: (sample_id, feature, value), with the columns of samples."""
+        unfolded = self._with_names(self.positions(samples), "ord")
+        first = ["sample_id", "feature", "value"]
+        return unfolded.select(*first, *[F.col(quoted(c)) for c in unfolded.columns if c not in (*first, "ord")])
 
     def project(self, wanted: list[str]) -> Matrix:
         """Keep the listed features in the listed order; an unknown name raises."""
-        spark = self.vectors.sparkSession
-        order = spark.createDataFrame(list(enumerate(wanted)), "new_ord INT, feature STRING")
-        require_present(order, self.features, "feature", "selected features")
-        take = [r["ord"] for r in order.join(self.features, "feature").orderBy("new_ord").select("ord").collect()]
+        if self.listed is not None:
+            place = {name: i for i, name in enumerate(self.listed)}
+            missing = [name for name in wanted if name not in place]
+            if missing:
+                raise ValueError(f"{len(missing)} selected features not in the data, e.g. {missing[:5]}")
+            take = [place[name] for name in wanted]
+        else:
+            order = named_positions(self.vectors.sparkSession, wanted).withColumnRenamed("ord", "at")
+            require_present(order, self.features, "feature", "selected features")
+            take = [r["ord"] for r in join_side(self.features, order, "feature").orderBy("at").select("ord").collect()]
         places = F.from_json(F.lit(json.dumps(take)), "array<int>")
-        x = F.transform(places, lambda i: F.get("x", i))
-        return Matrix.from_vectors(self.vectors.select("sample_id", x.alias("x")), wanted)
-
-    def keep(self, kept: DataFrame) -> Matrix:
-        """Keep the features named in kept(feature), in their present order."""
-        names = [r["feature"] for r in self.features.join(kept, "feature", "left_semi").orderBy("ord").collect()]
-        return self.project(names)
-
-    def names(self) -> list[str]:
-        return [r["feature"] for r in self.features.orderBy("ord").collect()]
+        return Matrix.from_vectors(
+            self.vectors.select("sample_id", F.transform(places, lambda i: F.get("x", i)).alias("x")), wanted
+        )
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def number(col, strict: bool = False):
+def number(col: Column, strict: bool = False) -> Column:
     """Text to double: NULL for bad text, or an error if strict; a spelled-out missing value is NULL."""
     if strict:
         value = F.when(~F.trim(col).isin(*MISSING_TEXTS_STRICT), col).cast("double")
@@ -108,12 +134,22 @@ def number(col, strict: bool = False):
     return F.when(~F.isnan(value), value)
 
 
-def numbered(df: DataFrame, column: str) -> DataFrame:
-    """Give the sorted distinct values of a column the positions 0..n-1 (ord).
+def named_positions(spark: SparkSession, names) -> DataFrame:
+    table = pa.table(
+        {"ord": pa.array(range(len(names)), pa.int32()), "feature": pa.array(list(names), pa.string())}
+    )
+    return spark.createDataFrame(table)
+
+
+def _numbered(names: DataFrame) -> Matrix:
+    """Give distinct names the positions 0..n-1 in sorted order.
 
-    The sort is a distributed range sort; zipWithIndex then only needs the partition sizes.
+    Few names are sorted on the driver. Else the sort is a distributed range sort, and zipWithIndex then
+    only needs the partition sizes.
     """
-    spark = df.sparkSession
-    kind = df.schema[column].dataType.simpleString()
-    pairs = df.select(column).orderBy(column).rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-    return spark.createDataFrame(pairs, f"ord INT, {column} {kind}")
+    if fits_broadcast(names):
+        listed = sorted(r["feature"] for r in names.collect())
+        return Matrix(names, len(listed), tuple(listed))
+    pairs = names.orderBy("feature").rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
+    table = durable(names.sparkSession.createDataFrame(pairs, "ord INT, feature STRING"))
+    return Matrix(names, table.count(), None, table)

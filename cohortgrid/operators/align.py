@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortgrid.cluster import fits_broadcast, join_side, require_present
+from cohortgrid.cluster import fits_broadcast, join_side, require_aligned, require_present
 from cohortgrid.matrix import Matrix
 
 
@@ -16,12 +16,12 @@ def align_lenient(samples: DataFrame, matrix: Matrix, key: str = "sample_id") ->
 
 
 def align_strict(samples: DataFrame, matrix: Matrix, key: str = "sample_id") -> DataFrame:
-    """Every sample with its vector x; a sample without a matrix row raises.
+    """Every sample with its vector x; a sample without a matrix row raises, and so does a repeated one.
 
     When the annotation is small it is broadcast and the matrix is not shuffled.
     """
     vectors = matrix.vectors.withColumnRenamed("sample_id", key)
-    require_present(samples, vectors, key, "samples")
+    require_aligned(samples, vectors, key)
     side = F.broadcast(samples) if fits_broadcast(samples) else samples
     return vectors.join(side, key).select(*[F.col(f"`{c}`") for c in samples.columns], "x")
 

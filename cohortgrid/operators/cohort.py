@@ -39,16 +39,22 @@ def is_test_any_case(column: str, test_value: str) -> Column:
 
 
 def split_any_case(samples: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
-    """(train, test), ignoring case; a sample without a split value trains. Either set empty raises."""
+    """(train, test), ignoring case; a sample without a split value trains."""
     column, test_value = parse_split(spec, strict=True)
     require_columns(samples, [column])
     is_test = is_test_any_case(column, test_value)
-    train, test = samples.where(~is_test), samples.where(is_test)
-    if test.isEmpty():
+    return samples.where(~is_test), samples.where(is_test)
+
+
+def require_both_sides(samples: DataFrame, spec: str) -> None:
+    """Raise if the case-insensitive split leaves train or test empty."""
+    column, test_value = parse_split(spec, strict=True)
+    is_test = is_test_any_case(column, test_value)
+    n_test, n_train = samples.agg(F.count_if(is_test), F.count_if(~is_test)).first()
+    if not n_test:
         raise ValueError(f'no test samples (no row where {column} is "{test_value}")')
-    if train.isEmpty():
+    if not n_train:
         raise ValueError("no training samples (all rows are test rows)")
-    return train, test
 
 
 def without_class(samples: DataFrame, column: str = STATUS, name: str = NORMAL) -> DataFrame:

@@ -13,7 +13,7 @@ from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortgrid.cluster import durable, join_side
+from cohortgrid.cluster import BROADCAST_ROWS, durable, join_side
 from cohortgrid.fixed import (
     MARKER_DIFF_CUTOFF,
     MARKERS_PER_CLASS,
@@ -21,42 +21,39 @@ from cohortgrid.fixed import (
     TREAT_LFC,
     VARIANCE_FLOOR,
 )
+from cohortgrid.matrix import Matrix
 from cohortgrid.functions.special import digamma, digamma_of, inverse_trigamma, t_upper_tail, trigamma
 
 MAX_CONTRASTS = 100_000
 
 
-def class_profile(cells: DataFrame, annotation: DataFrame, classes: list[str]) -> DataFrame:
-    """(feature, c): c is an array over the sorted classes of (class, n, total, ss, mean).
-
-    annotation(sample_id, class) chooses the samples. A class without any value of a feature has n = 0.
-    """
-    labelled = join_side(cells, annotation.select("sample_id", "class"), "sample_id")
-    per_class = labelled.groupBy("feature", "class").agg(
+def class_profile(cells: DataFrame, key: str = "feature") -> DataFrame:
+    """(key, c): c lists (class, n, total, ss, mean) by class, from cells with their class and value."""
+    per_class = cells.groupBy(key, "class").agg(
         F.count("value").alias("n"),
-        F.sum("value").alias("total"),
+        F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"),
+        F.coalesce(F.var_pop("value") * F.count("value"), F.lit(0.0)).alias("ss"),
         F.avg("value").alias("mean"),
-        (F.var_pop("value") * F.count("value")).alias("ss"),
     )
-    found = per_class.groupBy("feature").agg(
-        F.map_from_entries(F.collect_list(F.struct("class", F.struct("n", "total", "ss", "mean")))).alias("by_class")
-    )
-    entry = [
-        F.struct(
-            F.lit(c).alias("class"),
-            F.coalesce(F.try_element_at("by_class", F.lit(c))["n"], F.lit(0)).alias("n"),
-            F.coalesce(F.try_element_at("by_class", F.lit(c))["total"], F.lit(0.0)).alias("total"),
-            F.coalesce(F.try_element_at("by_class", F.lit(c))["ss"], F.lit(0.0)).alias("ss"),
-            F.try_element_at("by_class", F.lit(c))["mean"].alias("mean"),
-        )
-        for c in classes
-    ]
-    return found.select("feature", F.array(*entry).alias("c"))
+    entry = F.struct("class", "n", "total", "ss", "mean")
+    return per_class.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("c"))
 
 
-def complete(profile: DataFrame) -> DataFrame:
+def complete(profile: DataFrame, classes: list[str]) -> DataFrame:
     """Drop features that lack data in any class."""
-    return profile.where(F.forall("c", lambda e: e["n"] > 0))
+    return profile.where((F.size("c") == len(classes)) & F.forall("c", lambda e: e["n"] > 0))
+
+
+def class_sizes(annotation: DataFrame) -> dict[str, int]:
+    return {r["class"]: r["count"] for r in annotation.groupBy("class").count().collect()}
+
+
+def profile_matrix(data: Matrix | DataFrame, annotation: DataFrame, classes: list[str]) -> DataFrame:
+    """Complete class profiles with residuals, from a matrix or from cells, of the annotated samples."""
+    if isinstance(data, Matrix):
+        by_position = class_profile(data.positions(annotation), "ord")
+        return residuals(data.named(complete(by_position, classes)))
+    return residuals(complete(class_profile(join_side(data, annotation, "sample_id")), classes))
 
 
 def residuals(profile: DataFrame) -> DataFrame:
@@ -220,26 +217,29 @@ def adjust_bh(tests: DataFrame, p: str = "p", by: str = "contrast", buckets: int
     cuts = durable(
         folded.groupBy(by).agg(F.percentile_approx("_p", steps, 10000).alias("_cuts"), F.sum("_same").alias("_m"))
     )
-    placed = join_side(folded, cuts, by).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_p")))
+    small = cuts.count() * buckets <= BROADCAST_ROWS // 10  # a row per group and bucket, two numbers each
+
+    def beside(df: DataFrame, side: DataFrame, on) -> DataFrame:
+        return df.join(F.broadcast(side) if small else side, on)
+
+    placed = beside(folded, cuts, by).select(
+        by, "_p", "_same", "_m", F.size(F.filter("_cuts", lambda c: c < F.col("_p"))).alias("_bucket")
     )
-    sizes = placed.groupBy(by, "_bucket").agg(F.sum("_same").alias("_size"))
     along = Window.partitionBy(by).orderBy("_bucket")
-    starts = durable(sizes.select(by, "_bucket", (F.sum("_size").over(along) - F.col("_size")).alias("_start")))
+    sizes = placed.groupBy(by, "_bucket").agg(F.sum("_same").alias("_size"))
+    starts = sizes.select(by, "_bucket", (F.sum("_size").over(along) - F.col("_size")).alias("_start"))
     inside = Window.partitionBy(by, "_bucket").orderBy("_p")
     rank = F.col("_start") + F.sum("_same").over(inside)
-    raw = join_side(placed, starts, [by, "_bucket"]).withColumn("_raw", F.col("_p") * F.col("_m") / rank)
-    local = durable(
-        raw.select(by, "_bucket", "_p", F.min("_raw").over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_low"))
-    )
-    lows = local.groupBy(by, "_bucket").agg(F.min("_low").alias("_bucket_low"))
-    later = Window.partitionBy(by).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    after = durable(lows.select(by, "_bucket", F.min("_bucket_low").over(later).alias("_after")))
-    adjusted = join_side(local, after, [by, "_bucket"]).select(
+    raw = beside(placed, starts, [by, "_bucket"]).withColumn("_raw", F.col("_p") * F.col("_m") / rank)
+    onward = inside.rowsBetween(0, Window.unboundedFollowing)
+    local = durable(raw.select(by, "_bucket", "_p", F.min("_raw").over(onward).alias("_low")))
+    lows = local.groupBy(by, "_bucket").agg(F.min("_low").alias("_least"))
+    later = along.rowsBetween(1, Window.unboundedFollowing)
+    after = lows.select(by, "_bucket", F.min("_least").over(later).alias("_after"))
+    adjusted = beside(local, after, [by, "_bucket"]).select(
         by, "_p", F.least(F.col("_low"), F.coalesce("_after", F.lit(1.0)), F.lit(1.0)).alias("adj_p")
     )
-    adjusted = durable(adjusted)
-    return join_side(tests.withColumn("_p", F.col(p)), adjusted, [by, "_p"], "left").drop("_p")
+    return join_side(tests.withColumn("_p", F.col(p)), durable(adjusted), [by, "_p"], "left").drop("_p")
 
 
 def decide(tests: DataFrame, level: float = 0.05) -> DataFrame:
@@ -253,14 +253,10 @@ def off_sex_and_mito_prefix(feature: str = "feature"):
     return ~F.col(feature).rlike("|".join(f"^{name}" for name in SEX_AND_MITO))
 
 
-def effects_table(
-    cells: DataFrame, annotation: DataFrame, classes: list[str], contrasts: list[Contrast] | None = None
-) -> DataFrame:
-    """Per feature and class: contrast estimate with class and others means; two classes keep only
-    positive contrasts."""
-    sizes = {r["class"]: r["n"] for r in annotation.groupBy("class").agg(F.count("*").alias("n")).collect()}
-    profile = residuals(complete(class_profile(cells, annotation, classes)))
-    table = effects_of(profile, classes, sizes, contrasts)
+def effects_table(data: Matrix | DataFrame, annotation: DataFrame, classes: list[str]) -> DataFrame:
+    """Per feature and class: one-vs-rest estimate with class and others means; two classes keep only
+    positive estimates. annotation(sample_id, class) chooses the samples."""
+    table = effects_of(profile_matrix(data, annotation, classes), classes, class_sizes(annotation))
     return table.where("logfc > 0") if len(classes) == 2 else table
 
 

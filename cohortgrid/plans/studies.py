@@ -5,28 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortgrid import fixed
-from cohortgrid.cluster import require_present, require_unique
+from cohortgrid.cluster import durable, join_side, require_aligned, require_present
 from cohortgrid.matrix import Matrix
-from cohortgrid.operators import cohort, contrasts, mixture, paired
+from cohortgrid.operators import cohort, contrasts, mixture, paired, quality
 from cohortgrid.operators.align import align_strict
 from cohortgrid.operators.linear import fit_binary, fit_one_vs_rest
 from cohortgrid.operators.probability import with_probabilities
 from cohortgrid.operators.reduce import reduce_by_spec, reduce_if_wider
 
 
-def _checked(samples: DataFrame, matrix: Matrix, key: str = fixed.SAMPLE_ID) -> None:
-    require_unique(samples, key)
-    require_unique(matrix.vectors, "sample_id")
-
-
 def binary_study(samples: DataFrame, matrix: Matrix, split: str, components: int, score: str) -> DataFrame:
     """Normal against cancer: the test samples with all their columns and the raw score appended."""
-    _checked(samples, matrix)
-    train, test = cohort.split_exact(samples, split)
-    train_x = align_strict(train.select(fixed.SAMPLE_ID, cohort.status_code().alias("label")), matrix)
-    test_x = align_strict(test, matrix)
+    train_x, test_x = cohort.split_exact(align_strict(samples, matrix), split)
     train_x, test_x, width = reduce_if_wider(train_x, test_x, matrix.width, components)
-    model = fit_binary(train_x, width)
+    model = fit_binary(train_x.withColumn("label", cohort.status_code()), width)
     return test_x.select(*[F.col(f"`{c}`") for c in samples.columns], model.score("x").alias(score))
 
 
@@ -39,31 +31,27 @@ def surveillance(samples: DataFrame, matrix: Matrix, split: str) -> DataFrame:
 
 
 def _one_vs_rest(
-    train: DataFrame, test: DataFrame, matrix: Matrix, column: str, label: str, components: int | None
+    samples: DataFrame, matrix: Matrix, split: str, column: str, label: str, components: int | None
 ) -> DataFrame:
-    classes = cohort.sorted_classes(train.unionByName(test), column)
-    coded = train.select(fixed.SAMPLE_ID, cohort.class_code(column, classes).alias("code"))
-    train_x, test_x = align_strict(coded, matrix), align_strict(test, matrix)
+    classes = cohort.sorted_classes(samples, column)
+    train_x, test_x = cohort.split_exact(align_strict(samples, matrix), split)
     width = matrix.width
     if components:
         train_x, test_x, width = reduce_if_wider(train_x, test_x, width, components)
-    model = fit_one_vs_rest(train_x, width, classes)
+    model = fit_one_vs_rest(train_x.withColumn("code", cohort.class_code(column, classes)), width, classes)
     scored = test_x.withColumn("scores", model.scores("x")).drop("x")
     return with_probabilities(scored, classes, label=label)
 
 
 def typing(samples: DataFrame, matrix: Matrix, split: str) -> DataFrame:
     """Cancer type of the cancer samples: all columns, one probability per type, ratio and label."""
-    _checked(samples, matrix)
-    train, test = cohort.split_exact(cohort.without_class(samples), split)
-    return _one_vs_rest(train, test, matrix, fixed.CANCER_TYPE, fixed.PRED_LABEL, fixed.TYPING_COMPONENTS)
+    cancers = cohort.without_class(samples)
+    return _one_vs_rest(cancers, matrix, split, fixed.CANCER_TYPE, fixed.PRED_LABEL, fixed.TYPING_COMPONENTS)
 
 
 def race(samples: DataFrame, matrix: Matrix, split: str, features: list[str]) -> DataFrame:
     """Race from a list of features, without reduction."""
-    _checked(samples, matrix)
-    train, test = cohort.split_exact(samples, split)
-    return _one_vs_rest(train, test, matrix.project(features), fixed.RACE, fixed.RACE_PRED_LABEL, None)
+    return _one_vs_rest(samples, matrix.project(features), split, fixed.RACE, fixed.RACE_PRED_LABEL, None)
 
 
 def disease(
@@ -78,15 +66,17 @@ def disease(
     classifier: str = fixed.OVR_CLASSIFIER,
 ) -> DataFrame:
     """Disease class of the test samples: id, true and predicted label, ratio, one probability per class."""
-    column, _ = cohort.parse_split(split, strict=True)
+    column, test_value = cohort.parse_split(split, strict=True)
     cohort.require_columns(samples, [column, sample_column, class_column])
-    _checked(samples, matrix, sample_column)
-    train, test = cohort.split_any_case(samples, split)
     classes = cohort.sorted_classes(samples, class_column)
     chosen = matrix.project(features)
-    code = cohort.class_code(class_column, classes).alias("code")
-    key = F.col(f"`{sample_column}`").alias("sample_id")
-    train_x, test_x = align_strict(train.select(key, code), chosen), align_strict(test.select(key, code), chosen)
+    coded = samples.select(
+        F.col(f"`{sample_column}`").alias("sample_id"),
+        cohort.class_code(class_column, classes).alias("code"),
+        F.col(f"`{column}`").alias("split"),
+    )
+    cohort.require_both_sides(coded, f"split:{test_value}")
+    train_x, test_x = cohort.split_any_case(align_strict(coded, chosen), f"split:{test_value}")
     train_x, test_x, width = reduce_by_spec(train_x, test_x, chosen.width, reduction, scaling)
     model = fit_one_vs_rest(train_x, width, classes, classifier=classifier)
     names = F.array(*[F.lit(c) for c in classes])
@@ -121,22 +111,30 @@ def discover_paired(
 def discover_one_vs_rest(
     study: str,
     samples: DataFrame,
-    cells: DataFrame,
+    data: Matrix | DataFrame,
     split: str,
     cutoff: float = fixed.MARKER_DIFF_CUTOFF,
     per_class: int = fixed.MARKERS_PER_CLASS,
     unwanted: DataFrame | None = None,
 ) -> DataFrame:
-    """Marker set of the plasma studies, from the training samples; the race study leaves out the markers
-    of an unwanted list."""
+    """Marker set of the plasma studies, from the training samples of a matrix or of cells; the race study
+    leaves out the markers of an unwanted list. Features without half of all samples are left out first."""
     columns = {fixed.STUDY_LIVER_DISEASE: fixed.DISEASE_TYPE, fixed.STUDY_RACE: fixed.RACE}
     if study not in columns:
         raise ValueError(f"not a plasma study: {study}")
     train, _ = cohort.split_exact(samples, split)
     annotation = train.select("sample_id", F.col(columns[study]).cast("string").alias("class"))
     classes = cohort.sorted_classes(annotation, "class")
-    require_present(annotation, cells, "sample_id", "samples")
-    table = contrasts.effects_table(cells, annotation, classes)
+    if isinstance(data, Matrix):
+        require_aligned(annotation, data.vectors, "sample_id")
+        total = data.vectors.count()
+        known = data.named(quality.missingness(data.positions(), total, "ord"))
+    else:
+        present = durable(data.select("sample_id").distinct())
+        require_present(annotation, present, "sample_id", "samples")
+        known = quality.missingness(data, present.count())
+    table = contrasts.effects_table(data, annotation, classes)
+    table = join_side(table, durable(known.where("kept").select("feature")), "feature", "left_semi")
     markers = paired.marker_union(contrasts.top_markers(table, cutoff, per_class))
     if study == fixed.STUDY_RACE:
         if unwanted is None:

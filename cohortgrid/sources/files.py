@@ -48,13 +48,14 @@ def read_matrix(spark: SparkSession, path: str, strict: bool = False, column_lim
     features = first.where("pos > 0").select(
         (F.col("pos") - 1).alias("ord"), F.btrim("name", F.lit('"')).alias("feature")
     )
-    return Matrix(vectors, features, len(names) - 1)
+    return Matrix(vectors, len(names) - 1, None, features)
 
 
 def read_discovery_cells(spark: SparkSession, path: str) -> DataFrame:
     """Cells of a wide CSV without the features that lack half or more of all samples in the file."""
     matrix = read_matrix(spark, path)
-    return drop_half_missing(matrix.cells(), matrix.vectors.count())
+    total = matrix.vectors.count()
+    return matrix.named(drop_half_missing(matrix.positions(), total, "ord")).select("sample_id", "feature", "value")
 
 
 def read_annotation(spark: SparkSession, path: str, as_text: bool = False) -> DataFrame:
