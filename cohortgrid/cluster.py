@@ -51,8 +51,9 @@ def join_side(big: DataFrame, side: DataFrame, on: str | list[str], how: str = "
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(side):
         return big.join(F.broadcast(side), keys, how)
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)))
-    salted_side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    plain = [F.col(f"`{c}`") for c, kind in big.dtypes if not kind.startswith(("array", "map", "struct"))]
+    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+    salted_side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted_big.join(salted_side, [*keys, "_salt"], how).drop("_salt")
 
 
