@@ -66,7 +66,7 @@ def feature_gram(
     return summed(vectors.select("x"), lambda: {0: np.zeros((size, size))}, add).select("row", "v")
 
 
-def feature_chunks(vectors: DataFrame, width: int, chunk: int = CHUNK) -> DataFrame:
+def feature_chunks(vectors: DataFrame, width: int, chunk: int) -> DataFrame:
     """(chunk, sample_id, x): every vector cut into runs of `chunk` features."""
     starts = F.sequence(F.lit(0), F.lit((width - 1) // chunk))
     pieces = F.transform(
@@ -81,11 +81,11 @@ def sample_gram(vectors: DataFrame, width: int, ids: list[str], mean: np.ndarray
     A task holds one chunk of features of all samples at a time: at most GRAM_LIMIT x CHUNK numbers.
     """
     place = {s: i for i, s in enumerate(ids)}
-    n = len(ids)
+    n, chunk_size = len(ids), CHUNK
     sd_safe = np.where(np.isfinite(sd) & (sd > 0), sd, np.inf)  # a feature left out scales to 0
 
     def start():
-        return {0: np.zeros((n, n)), -1: np.zeros((n + 1, CHUNK))}
+        return {0: np.zeros((n, n)), -1: np.zeros((n + 1, chunk_size))}
 
     def fold(blocks):
         held = blocks[-1][:n]
@@ -101,12 +101,12 @@ def sample_gram(vectors: DataFrame, width: int, ids: list[str], mean: np.ndarray
                 fold(blocks)
                 blocks[-1][n, 0] = c + 1
             at = np.flatnonzero(chunk == c)
-            part = slice(c * CHUNK, min(width, (c + 1) * CHUNK))
+            part = slice(c * chunk_size, min(width, (c + 1) * chunk_size))
             x = dense(column.take(pa.array(at)), part.stop - part.start)
             blocks[-1][rows[at], : x.shape[1]] = (x - mean[part]) / sd_safe[part]
 
     cores = vectors.sparkSession.sparkContext.defaultParallelism
-    chunks = feature_chunks(vectors, width).repartition(cores, "chunk").sortWithinPartitions("chunk")
+    chunks = feature_chunks(vectors, width, chunk_size).repartition(cores, "chunk").sortWithinPartitions("chunk")
     return summed(chunks, start, add, fold).select("row", "v")
 
 
@@ -184,7 +184,8 @@ def _from_samples(vectors, width, columns, mean, sd, k):
     coefs = u * inverse
     spark = vectors.sparkSession
     table = spark.createDataFrame([(s, row.tolist()) for s, row in zip(ids, coefs)], "sample_id STRING, u ARRAY<DOUBLE>")
-    pieces = join_side(feature_chunks(vectors, width), table, "sample_id")
+    chunk_size = CHUNK
+    pieces = join_side(feature_chunks(vectors, width, chunk_size), table, "sample_id")
 
     def start():
         return {}
@@ -194,14 +195,14 @@ def _from_samples(vectors, width, columns, mean, sd, k):
         chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
         for c in np.unique(chunk):
             at = np.flatnonzero(chunk == c)
-            part = slice(c * CHUNK, min(width, (c + 1) * CHUNK))
+            part = slice(c * chunk_size, min(width, (c + 1) * chunk_size))
             x = dense(batch.column("x").take(pa.array(at)), part.stop - part.start)
             shifted = (x - mean[part]) / used[part]
             held = blocks.setdefault(int(c), np.zeros((part.stop - part.start, k)))
             held += shifted.T @ u_rows[at]
 
-    shapes = {c: (min(width, (c + 1) * CHUNK) - c * CHUNK, k) for c in range((width - 1) // CHUNK + 1)}
-    with batches_for(vectors, CHUNK + k):
+    shapes = {c: (min(width, (c + 1) * chunk_size) - c * chunk_size, k) for c in range((width - 1) // chunk_size + 1)}
+    with batches_for(vectors, chunk_size + k):
         by_chunk = pieces.repartition(spark.sparkContext.defaultParallelism, "chunk")
         blocks = collected(summed(by_chunk, start, add), shapes)
     return np.vstack([blocks[c] for c in sorted(blocks)])[columns]
