@@ -148,6 +148,8 @@ def exact_median(values: DataFrame, column: str) -> float:
     """Median of a column without sorting it all: bracket it by approximate quantiles, then rank only
     the rows inside the bracket."""
     low, high = values.agg(F.percentile_approx(column, [0.49, 0.51], 10000).alias("q")).first()["q"]
+    if low == high:
+        return low
     col = F.col(column)
     n, below = values.agg(F.count(column), F.count_if(col < low)).first()
     wanted = sorted({(n - 1) // 2, n // 2})

@@ -55,12 +55,10 @@ def mixture_statistics(cells: DataFrame, profiles: DataFrame, tissues: list[str]
     used = durable(present_markers(profiles, cells))
     known = cells.where(F.col("value").isNotNull())
     matched = join_side(known, used, "feature")
-    product = F.transform("a", lambda v: v * F.col("value"))
+    products = [F.sum(F.get("a", F.lit(i)) * F.col("value")) for i in range(size)]
     sums = durable(
         matched.groupBy("sample_id").agg(
-            F.count("*").alias("n"),
-            F.sum(F.col("value") * F.col("value")).alias("bb"),
-            _vector_sum(product).alias("ab"),
+            F.count("*").alias("n"), F.sum(F.col("value") * F.col("value")).alias("bb"), F.array(*products).alias("ab")
         )
     )
     shared = used.agg(F.count("*").alias("n"), _vector_sum(_packed_outer(F.col("a"), size)).alias("aa")).first()
@@ -200,7 +198,9 @@ def mixture_fractions(
                     x = posterior_mean(aa, ab, part["bb"].to_numpy(), part["n"].to_numpy(), seeds, draws)
                 yield pd.DataFrame({"sample_id": part["sample_id"].to_numpy(), "fractions": [v.tolist() for v in x]})
 
-    return statistics.select("sample_id", "n", "bb", "ab", "aa").mapInPandas(
+    # the rows are few bytes but much work: spread them by number, not by size
+    spread = statistics.repartition(statistics.sparkSession.sparkContext.defaultParallelism * 2, "sample_id")
+    return spread.select("sample_id", "n", "bb", "ab", "aa").mapInPandas(
         solve, "sample_id STRING, fractions ARRAY<DOUBLE>"
     )
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortgrid.cluster import join_side, require_present
+from cohortgrid.cluster import durable, join_side, require_present
 from cohortgrid.fixed import NORMAL_TAG, SEX_AND_MITO, TUMOR_TAG
 from cohortgrid.operators.cohort import sorted_classes
 
@@ -37,14 +37,18 @@ def pair_differences(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     return sided.groupBy("grp", "pair_id", "feature").agg((value["tumor"] - value["normal"]).alias("diff"))
 
 
-def occurrence(differences: DataFrame, pair_totals: DataFrame, cutoff: float) -> DataFrame:
+def per_group(values: dict[str, int]) -> Column:
+    """Column: the value of the row's group, from a small table kept as a literal."""
+    return F.element_at(F.create_map(*[F.lit(v) for item in values.items() for v in item]), F.col("grp"))
+
+
+def occurrence(differences: DataFrame, pairs_in: dict[str, int], cutoff: float) -> DataFrame:
     """Pairs with a difference over the cutoff, per group and feature; NULL if any pair's is unknown."""
     counted = differences.groupBy("grp", "feature").agg(
         F.count_if(F.col("diff") > cutoff).alias("over"), F.count("diff").alias("known")
     )
-    return counted.join(F.broadcast(pair_totals), "grp").select(
-        "grp", "feature", F.when(F.col("known") == F.col("n_pairs"), F.col("over")).alias("n_over")
-    )
+    every = F.col("known") == per_group(pairs_in)
+    return counted.select("grp", "feature", F.when(every, F.col("over")).alias("n_over"))
 
 
 def top_with_ties(counts: DataFrame, k: int) -> DataFrame:
@@ -54,13 +58,13 @@ def top_with_ties(counts: DataFrame, k: int) -> DataFrame:
     features themselves are never sorted or gathered. With fewer than k features, all with a count
     of 1 or more pass.
     """
-    known = counts.where(F.col("n_over").isNotNull())
+    known = durable(counts.where(F.col("n_over") >= 1))
     histogram = known.groupBy("grp", "n_over").agg(F.count("*").alias("features"))
     from_top = Window.partitionBy("grp").orderBy(F.desc("n_over"))
     reached = histogram.withColumn("above", F.sum("features").over(from_top))
     kth = F.max(F.when(F.col("above") >= k, F.col("n_over")))
-    bar = reached.groupBy("grp").agg(F.greatest(F.coalesce(kth, F.lit(1)), F.lit(1)).alias("bar"))
-    return known.join(F.broadcast(bar), "grp").where("n_over >= bar").select("grp", "feature", "n_over")
+    bars = {r["grp"]: r["bar"] or 1 for r in reached.groupBy("grp").agg(kth.alias("bar")).collect()}
+    return known.where(F.col("n_over") >= per_group(bars)) if bars else known
 
 
 def paired_markers(
@@ -68,13 +72,13 @@ def paired_markers(
 ) -> DataFrame:
     """(grp, feature, n_over) of the markers chosen; with a group column, each group chooses its own."""
     if group:
-        sorted_classes(tumors, group)  # bounds the number of groups, so per-group tables may be broadcast
+        sorted_classes(tumors, group)  # bounds the number of groups
         tumors = tumors.where(F.col(group).isNotNull())
     pairs = pairs_of(tumors, group)
     require_present(pairs, cells, "sample_id", "paired samples")
-    totals = pairs.where("side = 'tumor'").groupBy("grp").agg(F.count("*").alias("n_pairs"))
+    totals = pairs.where("side = 'tumor'").groupBy("grp").count().collect()
     differences = pair_differences(cells.where(off_sex_and_mito()), pairs)
-    return top_with_ties(occurrence(differences, totals, cutoff), k)
+    return top_with_ties(occurrence(differences, {r["grp"]: r["count"] for r in totals}, cutoff), k)
 
 
 def marker_union(markers: DataFrame) -> DataFrame:

@@ -20,6 +20,12 @@ def _spread(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
+def _checked(path: str) -> None:
+    """Spark knows a compressed file by the lower-case suffix only."""
+    if path.lower().endswith(".gz") and not path.endswith(".gz"):
+        raise ValueError(f"rename {path} to end in .gz")
+
+
 def _header(spark: SparkSession, path: str) -> str:
     return spark.read.text(path).first()["value"].lstrip("﻿")
 
@@ -31,6 +37,7 @@ def read_matrix(spark: SparkSession, path: str, strict: bool = False, column_lim
     Matrices beyond column_limit are read as lines and split, which has no column limit; their feature
     names never pass through the driver.
     """
+    _checked(path)
     header = _header(spark, path)
     names = next(csv.reader([header]))
     if len(names) <= column_limit:
