@@ -34,6 +34,13 @@ def split_exact(samples: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
     return samples.where(col != test_value), samples.where(col == test_value)
 
 
+def with_split(samples: DataFrame, spec: str) -> DataFrame:
+    """Samples that are in train or in test of the exact split."""
+    column, _ = parse_split(spec)
+    require_columns(samples, [column])
+    return samples.where(F.col(quoted(column)).isNotNull())
+
+
 def is_test_any_case(column: str, test_value: str) -> Column:
     return F.lower(F.coalesce(F.col(quoted(column)).cast("string"), F.lit("nan"))) == test_value.lower()
 

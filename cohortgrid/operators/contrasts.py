@@ -13,7 +13,7 @@ from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortgrid.cluster import BROADCAST_ROWS, durable, join_side
+from cohortgrid.cluster import durable, join_side
 from cohortgrid.fixed import (
     MARKER_DIFF_CUTOFF,
     MARKERS_PER_CLASS,
@@ -205,40 +205,33 @@ def moderated_test(estimates: DataFrame, prior: VariancePrior, lfc: float = TREA
     )
 
 
-def adjust_bh(tests: DataFrame, p: str = "p", by: str = "contrast", buckets: int = 200) -> DataFrame:
+def adjust_bh(tests: DataFrame, p: str = "p", by: str = "contrast") -> DataFrame:
     """Add adj_p: step-up adjusted p-values within each `by` group.
 
-    Equal p-values are first folded to one row with a count. Each group is then cut at approximate
-    quantiles, ranked inside the cuts, and the cuts are linked by a table of `buckets` rows per group, so
-    no task ever sorts a whole group.
+    Equal p-values are first folded to one row with a count, then laid out by range of (group, p). Ranks are
+    counted inside each range and linked by a table with a row per range and group, so no task ever sorts
+    a whole group.
     """
     tests = durable(tests)  # p must keep its very bits: it is a join key below
     known = tests.where(F.col(p).isNotNull())
-    folded = durable(known.groupBy(by, F.col(p).alias("_p")).agg(F.count("*").alias("_same")))
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = durable(
-        folded.groupBy(by).agg(F.percentile_approx("_p", steps, 10000).alias("_cuts"), F.sum("_same").alias("_m"))
+    folded = known.groupBy(by, F.col(p).alias("_p")).agg(F.count("*").alias("_same"))
+    ranged = durable(folded.repartitionByRange(by, "_p").withColumn("_range", F.spark_partition_id()))
+    group = Window.partitionBy(by)
+    along = group.orderBy("_range")
+    inside = Window.partitionBy(by, "_range").orderBy("_p")
+    sizes = ranged.groupBy(by, "_range").agg(F.sum("_same").alias("_size"))
+    starts = sizes.select(
+        by, "_range", (F.sum("_size").over(along) - F.col("_size")).alias("_start"), F.sum("_size").over(group).alias("_m")
     )
-    small = cuts.count() * buckets <= BROADCAST_ROWS // 10  # a row per group and bucket, two numbers each
-
-    def beside(df: DataFrame, side: DataFrame, on) -> DataFrame:
-        return df.join(F.broadcast(side) if small else side, on)
-
-    placed = beside(folded, cuts, by).select(
-        by, "_p", "_same", "_m", F.size(F.filter("_cuts", lambda c: c < F.col("_p"))).alias("_bucket")
-    )
-    along = Window.partitionBy(by).orderBy("_bucket")
-    sizes = placed.groupBy(by, "_bucket").agg(F.sum("_same").alias("_size"))
-    starts = sizes.select(by, "_bucket", (F.sum("_size").over(along) - F.col("_size")).alias("_start"))
-    inside = Window.partitionBy(by, "_bucket").orderBy("_p")
     rank = F.col("_start") + F.sum("_same").over(inside)
-    raw = beside(placed, starts, [by, "_bucket"]).withColumn("_raw", F.col("_p") * F.col("_m") / rank)
-    onward = inside.rowsBetween(0, Window.unboundedFollowing)
-    local = durable(raw.select(by, "_bucket", "_p", F.min("_raw").over(onward).alias("_low")))
-    lows = local.groupBy(by, "_bucket").agg(F.min("_low").alias("_least"))
-    later = along.rowsBetween(1, Window.unboundedFollowing)
-    after = lows.select(by, "_bucket", F.min("_least").over(later).alias("_after"))
-    adjusted = beside(local, after, [by, "_bucket"]).select(
+    raw = join_side(ranged, durable(starts), [by, "_range"]).withColumn("_raw", F.col("_p") * F.col("_m") / rank)
+    # from the largest p down: a frame that only grows costs one step per row
+    down = Window.partitionBy(by, "_range").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    local = durable(raw.select(by, "_range", "_p", F.min("_raw").over(down).alias("_low")))
+    lows = local.groupBy(by, "_range").agg(F.min("_low").alias("_least"))
+    later = group.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    after = lows.select(by, "_range", F.min("_least").over(later).alias("_after"))
+    adjusted = join_side(local, durable(after), [by, "_range"]).select(
         by, "_p", F.least(F.col("_low"), F.coalesce("_after", F.lit(1.0)), F.lit(1.0)).alias("adj_p")
     )
     return join_side(tests.withColumn("_p", F.col(p)), durable(adjusted), [by, "_p"], "left").drop("_p")

@@ -16,7 +16,7 @@ from cohortgrid.operators.reduce import reduce_by_spec, reduce_if_wider
 
 def binary_study(samples: DataFrame, matrix: Matrix, split: str, components: int, score: str) -> DataFrame:
     """Normal against cancer: the test samples with all their columns and the raw score appended."""
-    train_x, test_x = cohort.split_exact(align_strict(samples, matrix), split)
+    train_x, test_x = cohort.split_exact(align_strict(cohort.with_split(samples, split), matrix), split)
     train_x, test_x, width = reduce_if_wider(train_x, test_x, matrix.width, components)
     model = fit_binary(train_x.withColumn("label", cohort.status_code()), width)
     return test_x.select(*[F.col(f"`{c}`") for c in samples.columns], model.score("x").alias(score))
@@ -34,7 +34,7 @@ def _one_vs_rest(
     samples: DataFrame, matrix: Matrix, split: str, column: str, label: str, components: int | None
 ) -> DataFrame:
     classes = cohort.sorted_classes(samples, column)
-    train_x, test_x = cohort.split_exact(align_strict(samples, matrix), split)
+    train_x, test_x = cohort.split_exact(align_strict(cohort.with_split(samples, split), matrix), split)
     width = matrix.width
     if components:
         train_x, test_x, width = reduce_if_wider(train_x, test_x, width, components)
