@@ -114,7 +114,7 @@ ORACLES["standardize_center"] = _standardize("1")
 def _paired(group: str, chosen: str, plain: bool = False) -> str:
     source = "m" if not plain else "plain"
     plain_view = """,
-plain AS (SELECT l_suppkey, l_linestatus, p_brand AS feature, avg(l_discount * 10) AS value
+plain AS (SELECT l_suppkey, l_linestatus, p_brand AS feature, round(avg(l_discount * 10), 8) AS value
           FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, l_linestatus, p_brand)"""
     return f"""WITH {PAIRED}{plain_view if plain else ''},
 f AS (SELECT DISTINCT feature FROM {source}
@@ -420,7 +420,7 @@ _supplier_cells = """
 sx AS (SELECT 'S' || l_suppkey || CASE WHEN l_linestatus = 'O' THEN '_tumor' ELSE '_normal.tissue' END AS sample_id,
               CASE WHEN l_linestatus = 'O' THEN 'cancer' ELSE 'normal' END AS cancer_status,
               CASE WHEN l_suppkey % 2 = 1 THEN 'train' ELSE 'test' END AS split, list(value ORDER BY feature) AS x
-       FROM (SELECT l_suppkey, l_linestatus, p_brand AS feature, avg(l_discount * 10) AS value
+       FROM (SELECT l_suppkey, l_linestatus, p_brand AS feature, round(avg(l_discount * 10), 8) AS value
              FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, l_linestatus, p_brand)
        GROUP BY l_suppkey, l_linestatus)"""
 _watched = f"""

@@ -84,7 +84,10 @@ chrom AS (
 
 
 def paired_cells(spark: SparkSession, sf_dir: str, poisoned: bool = False, chromosomes: bool = False) -> DataFrame:
-    """marker = brand; sample = supplier and line status, as tumor and normal of a pair."""
+    """marker = brand; sample = supplier and line status, as tumor and normal of a pair.
+
+    Values are rounded, so that a difference at the cutoff does not depend on the order of a sum.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linestatus", "l_discount")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     tag = F.when(F.col("l_linestatus") == "O", "_tumor").otherwise("_normal.tissue")
@@ -94,7 +97,7 @@ def paired_cells(spark: SparkSession, sf_dir: str, poisoned: bool = False, chrom
     return (
         lines.join(parts, "l_partkey")
         .groupBy("l_suppkey", "l_linestatus", "p_brand")
-        .agg(F.avg(F.col("l_discount") * 10).alias("value"))
+        .agg(F.round(F.avg(F.col("l_discount") * 10), 8).alias("value"))
         .select(
             F.concat(F.lit("S"), F.col("l_suppkey"), tag).alias("sample_id"),
             (F.concat(prefix, "p_brand") if chromosomes else F.col("p_brand")).alias("feature"),
@@ -117,7 +120,7 @@ m AS (
          CASE p_brand WHEN 'Brand#5' THEN 'chrX:' WHEN 'Brand#6' THEN 'chrY:' WHEN 'Brand#7' THEN 'chrM:' ELSE '' END
            || p_brand AS feature,
          CASE WHEN CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) % 5 = 0 AND l_suppkey % 10 = 3 THEN NULL
-              ELSE avg(l_discount * 10) END AS value
+              ELSE round(avg(l_discount * 10), 8) END AS value
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, l_linestatus, p_brand
 ),
 tumor AS (SELECT l_suppkey, feature, value FROM m WHERE l_linestatus = 'O'),
