@@ -50,7 +50,7 @@ def unpivot_cells(spark, sf_dir):
 
 @query
 def pivot_vectors(spark, sf_dir):
-    matrix = Matrix.from_cells(views.paired_cells(spark, sf_dir, poisoned=True))
+    matrix = Matrix.from_cells(durable(views.paired_cells(spark, sf_dir, poisoned=True)))
     names = [n.replace("#", "_").lower() for n in matrix.names()]
     return matrix.vectors.select(
         "sample_id", *[rounded(F.get("x", F.lit(i)), 8).alias(n) for i, n in enumerate(names)]
@@ -205,14 +205,14 @@ def standardize_center(spark, sf_dir):
 
 @query
 def paired_markers_all(spark, sf_dir):
-    cells = views.paired_cells(spark, sf_dir, poisoned=True, chromosomes=True)
+    cells = durable(views.paired_cells(spark, sf_dir, poisoned=True, chromosomes=True))
     tumors = views.tumor_samples(spark, sf_dir)
     return paired.paired_markers(cells, tumors, PAIR_CUTOFF, PAIR_TOP).select("feature", "n_over")
 
 
 @query
 def paired_markers_by_type(spark, sf_dir):
-    cells = views.paired_cells(spark, sf_dir, poisoned=True, chromosomes=True)
+    cells = durable(views.paired_cells(spark, sf_dir, poisoned=True, chromosomes=True))
     tumors = views.tumor_samples(spark, sf_dir)
     chosen = paired.paired_markers(cells, tumors, PAIR_CUTOFF, PAIR_TOP, "cancer_type")
     return chosen.select(F.col("grp").alias("cancer_type"), "feature", "n_over")
@@ -220,7 +220,7 @@ def paired_markers_by_type(spark, sf_dir):
 
 @query
 def paired_markers_union(spark, sf_dir):
-    cells = views.paired_cells(spark, sf_dir)
+    cells = durable(views.paired_cells(spark, sf_dir))
     tumors = views.tumor_samples(spark, sf_dir)
     return paired.marker_union(paired.paired_markers(cells, tumors, PAIR_CUTOFF, PAIR_TOP, "cancer_type"))
 
@@ -462,7 +462,7 @@ def probability_post(spark, sf_dir):
 def deconv_stats(spark, sf_dir):
     profiles, tissues = views.mixture_profiles(spark, sf_dir)
     vectors = mixture.profile_vectors(profiles, tissues)
-    stats = mixture.mixture_statistics(views.mixture_cells(spark, sf_dir), vectors, tissues)
+    stats = mixture.mixture_statistics(durable(views.mixture_cells(spark, sf_dir)), vectors, tissues)
     pairs = [(i, j) for i in range(len(tissues)) for j in range(i, len(tissues))]
     return stats.select(
         "sample_id", "n", rounded("bb", 5).alias("bb"),
@@ -474,7 +474,7 @@ def deconv_stats(spark, sf_dir):
 def fractions(spark, sf_dir, mode, digits=6):
     profiles, tissues = views.mixture_profiles(spark, sf_dir)
     vectors = mixture.profile_vectors(profiles, tissues)
-    table = mixture.deconvolve(views.mixture_cells(spark, sf_dir), vectors, tissues, mode)
+    table = mixture.deconvolve(durable(views.mixture_cells(spark, sf_dir)), vectors, tissues, mode)
     return table.select(
         "sample_id", *[rounded(F.col(f"`{t}`"), digits).alias(t.lower().replace(" ", "_")) for t in sorted(tissues)]
     )
@@ -504,7 +504,7 @@ def study_detection(spark, sf_dir):
 @query
 def study_surveillance(spark, sf_dir):
     """Supplier pairs: tumor samples are the cancer status; odd suppliers train."""
-    matrix = Matrix.from_cells(views.paired_cells(spark, sf_dir))
+    matrix = Matrix.from_cells(durable(views.paired_cells(spark, sf_dir))).written()
     tumor = F.col("sample_id").endswith("_tumor")
     key = F.regexp_extract("sample_id", r"^S(\d+)_", 1).cast("int")
     samples = matrix.vectors.select(
@@ -567,7 +567,7 @@ def study_disease_reduced(spark, sf_dir):
 
 @query
 def study_discovery_detection(spark, sf_dir):
-    cells = views.paired_cells(spark, sf_dir, poisoned=True, chromosomes=True)
+    cells = durable(views.paired_cells(spark, sf_dir, poisoned=True, chromosomes=True))
     tumors = views.tumor_samples(spark, sf_dir)
     return studies.discover_paired("multi.cancer.study_detection", tumors, cells, PAIR_CUTOFF, PAIR_TOP)
 

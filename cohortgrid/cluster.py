@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 1_000_000
@@ -28,6 +28,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks to spread heavy work over: the cores known now, or the shuffle setting if executors are still
+    to come."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fits_broadcast(df: DataFrame, budget: int = BROADCAST_BYTES) -> bool:
     """Measure df (up to one row past the row limit) and tell whether it may be broadcast."""
     size = (

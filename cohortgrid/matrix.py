@@ -64,6 +64,10 @@ class Matrix:
         vectors = packed.select("sample_id", F.sort_array(filled)["value"].alias("x"))
         return Matrix(vectors, width, shape.listed, shape.table)
 
+    def written(self) -> Matrix:
+        """The same matrix, computed once and written: for vectors that several jobs will read."""
+        return Matrix(durable(self.vectors), self.width, self.listed, self.table)
+
     @property
     def features(self) -> DataFrame:
         """(ord, feature)"""

@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortgrid.cluster import durable
 from cohortgrid.fixed import BINARY_CLASSIFIER, OVR_CLASSIFIER
-from cohortgrid.operators.partials import batches_for, collected, dense, list_column, summed
+from cohortgrid.operators.partials import batches_for, collected, dense, limit_batches, list_column, summed
 
 CURVATURE_BYTES = 128 << 20
 MODEL_BYTES = 256 << 20
@@ -60,6 +60,7 @@ class LinearModel:
     def scores(self, x="x"):
         """Column: the raw margins as an array, one per class."""
         weights, bias = self.weights, self.bias
+        limit_batches(weights.shape[1])
 
         @F.arrow_udf(ArrayType(DoubleType()))
         def margins(column: pa.Array) -> pa.Array:

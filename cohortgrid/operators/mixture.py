@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from cohortgrid.cluster import durable, join_side
+from cohortgrid.cluster import durable, join_side, task_count
 from cohortgrid.fixed import MIXTURE_DRAWS
 
 
@@ -199,7 +199,7 @@ def mixture_fractions(
                 yield pd.DataFrame({"sample_id": part["sample_id"].to_numpy(), "fractions": [v.tolist() for v in x]})
 
     # the rows are few bytes but much work: spread them by number, not by size
-    spread = statistics.repartition(statistics.sparkSession.sparkContext.defaultParallelism * 2, "sample_id")
+    spread = statistics.repartition(task_count(statistics.sparkSession), "sample_id")
     return spread.select("sample_id", "n", "bb", "ab", "aa").mapInPandas(
         solve, "sample_id STRING, fractions ARRAY<DOUBLE>"
     )

@@ -9,9 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cohortgrid.cluster import task_count
 
 BATCH_BYTES = 32 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 PARTIAL_SCHEMA = "block INT, row INT, v ARRAY<DOUBLE>"
 
 
@@ -30,16 +33,27 @@ def list_column(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
+def _batch_rows(width: int) -> int:
+    return max(1, BATCH_BYTES // (8 * max(width, 1)))
+
+
 @contextmanager
 def batches_for(df: DataFrame, width: int):
-    """Size the Arrow batches so that one batch of vectors stays within BATCH_BYTES."""
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(max(1, min(10000, BATCH_BYTES // (8 * max(width, 1))))))
+    """Size the Arrow batches of the jobs inside so that a batch of vectors stays within BATCH_BYTES."""
+    spark = df.sparkSession
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(10000, _batch_rows(width))))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH_SETTING, before)
+
+
+def limit_batches(width: int) -> None:
+    """For columns that are computed later: lower the session's batch size if vectors of this width need it."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and int(spark.conf.get(BATCH_SETTING)) > _batch_rows(width):
+        spark.conf.set(BATCH_SETTING, str(_batch_rows(width)))
 
 
 def summed(
@@ -52,7 +66,7 @@ def summed(
 
     `start` makes zeroed blocks (block id -> 2-d array; a block of negative id is scratch and is not
     sent); `finish` runs once after a task's last batch. A task sends each block row once; Spark adds rows
-    of equal key up. Input partitions are first joined into at most one per core, because every task
+    of equal key up. Input partitions are first joined into about one per core, because every task
     sends whole blocks whatever its share of rows.
     """
 
@@ -75,8 +89,7 @@ def summed(
                     names=["block", "row", "v"],
                 )
 
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    partials = df.coalesce(cores).mapInArrow(run, PARTIAL_SCHEMA)
+    partials = df.coalesce(task_count(df.sparkSession)).mapInArrow(run, PARTIAL_SCHEMA)
     return partials.groupBy("block", "row").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
 
 

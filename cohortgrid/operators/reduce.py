@@ -16,8 +16,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from cohortgrid.cluster import durable, join_side
-from cohortgrid.operators.partials import batches_for, collected, dense, list_column, summed
+from cohortgrid.cluster import durable, join_side, task_count
+from cohortgrid.operators.partials import batches_for, collected, dense, limit_batches, list_column, summed
 from cohortgrid.operators.quality import near_zero_variance, scaler
 
 GRAM_LIMIT = 4096
@@ -45,6 +45,7 @@ class Reduction:
     def project(self, x="x"):
         """Column: the vector x on the components."""
         columns, mean, sd, loadings, width = self.columns, self.mean, self.sd, self.loadings, self.width
+        limit_batches(width)
 
         @F.arrow_udf(ArrayType(DoubleType()))
         def projected(column: pa.Array) -> pa.Array:
@@ -105,8 +106,8 @@ def sample_gram(vectors: DataFrame, width: int, ids: list[str], mean: np.ndarray
             x = dense(column.take(pa.array(at)), part.stop - part.start)
             blocks[-1][rows[at], : x.shape[1]] = (x - mean[part]) / sd_safe[part]
 
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    chunks = feature_chunks(vectors, width, chunk_size).repartition(cores, "chunk").sortWithinPartitions("chunk")
+    tasks = task_count(vectors.sparkSession)
+    chunks = feature_chunks(vectors, width, chunk_size).repartition(tasks, "chunk").sortWithinPartitions("chunk")
     return summed(chunks, start, add, fold).select("row", "v")
 
 
@@ -203,7 +204,7 @@ def _from_samples(vectors, width, columns, mean, sd, k):
 
     shapes = {c: (min(width, (c + 1) * chunk_size) - c * chunk_size, k) for c in range((width - 1) // chunk_size + 1)}
     with batches_for(vectors, chunk_size + k):
-        by_chunk = pieces.repartition(spark.sparkContext.defaultParallelism, "chunk")
+        by_chunk = pieces.repartition(task_count(spark), "chunk")
         blocks = collected(summed(by_chunk, start, add), shapes)
     return np.vstack([blocks[c] for c in sorted(blocks)])[columns]
 
@@ -213,6 +214,8 @@ def _from_rows(vectors, columns, mean, sd, width, k):
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
 
+    limit_batches(width)
+
     @F.arrow_udf(ArrayType(DoubleType()))
     def scaled(column: pa.Array) -> pa.Array:
         return list_column((dense(column, width)[:, columns] - mean[columns]) / sd[columns])

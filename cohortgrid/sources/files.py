@@ -6,6 +6,7 @@ import csv
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortgrid.cluster import task_count
 from cohortgrid.fixed import MISSING_TEXT, MISSING_TEXTS_STRICT, SAMPLE_ID
 from cohortgrid.matrix import Matrix, number, quoted
 from cohortgrid.operators.quality import drop_half_missing
@@ -16,7 +17,7 @@ COLUMN_LIMIT = 2000
 def _spread(df: DataFrame, path: str) -> DataFrame:
     """A compressed CSV is one split: spread its rows before working on them."""
     if path.lower().endswith(".gz"):
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+        return df.repartition(task_count(df.sparkSession))
     return df
 
 
