@@ -130,6 +130,7 @@ SELECT {chosen} FROM k WHERE place <= 5 AND n_over >= 1"""
 
 
 ORACLES["paired_markers_all"] = _paired("'all'", "feature, n_over")
+ORACLES["paired_markers_vectors"] = ORACLES["paired_markers_all"]
 ORACLES["paired_markers_by_type"] = _paired("cancer_type", "grp AS cancer_type, feature, n_over")
 ORACLES["paired_markers_union"] = _paired("cancer_type", "DISTINCT feature", plain=True)
 ORACLES["study_discovery_detection"] = _paired("'all'", "DISTINCT feature")
@@ -445,3 +446,14 @@ ORACLES["study_race"] = f"WITH RECURSIVE {EMBEDDING}, {_descent(_ovr(_marked, 'c
 _any_case = _marked.replace("cells.split,", "CASE WHEN lower(coalesce(e.split_gaps, 'nan')) = 'test' THEN 'test' ELSE 'train' END AS split,")
 _diseased = _post(_ten, ", class AS true_label", "JOIN src USING (sample_id) WHERE split = 'test'", digits=4)
 ORACLES["study_disease"] = f"WITH RECURSIVE {EMBEDDING}, {_descent(_ovr(_any_case, 'class'), ', ' + _diseased, 1200)}"
+
+_any_cells = f"""
+av AS (SELECT sample_id, class, CASE WHEN lower(coalesce(e.split_gaps, 'nan')) = 'test' THEN 'test' ELSE 'train' END AS split, i, value
+       FROM cells JOIN e USING (sample_id, class) WHERE feature IN {_wanted}),
+am AS (SELECT i, avg(value) AS mean, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS sd
+       FROM av WHERE split <> 'test' GROUP BY i)"""
+_even = f"""SELECT sample_id, class, split, list_resize(list((value - mean) / sd ORDER BY i), {WIDTH}, 0.0::DOUBLE) AS x
+FROM av JOIN am USING (i) GROUP BY ALL"""
+ORACLES["study_disease_rotated"] = (
+    f"WITH RECURSIVE {EMBEDDING}, {_any_cells}, {_descent(_ovr(_even, 'class'), ', ' + _diseased, 1500)}"
+)

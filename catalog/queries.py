@@ -210,6 +210,15 @@ def paired_markers_all(spark, sf_dir):
     return paired.paired_markers(cells, tumors, PAIR_CUTOFF, PAIR_TOP).select("feature", "n_over")
 
 
+@query
+def paired_markers_vectors(spark, sf_dir):
+    """The same choice from vectors: pairs meet before their cells unfold."""
+    cells = durable(views.paired_cells(spark, sf_dir, poisoned=True, chromosomes=True))
+    matrix = Matrix.from_cells(cells).written()
+    tumors = views.tumor_samples(spark, sf_dir)
+    return paired.paired_markers(matrix, tumors, PAIR_CUTOFF, PAIR_TOP).select("feature", "n_over")
+
+
 @query
 def paired_markers_by_type(spark, sf_dir):
     cells = durable(views.paired_cells(spark, sf_dir, poisoned=True, chromosomes=True))
@@ -565,11 +574,18 @@ def study_disease_reduced(spark, sf_dir):
     return disease_study(spark, sf_dir, "svd8")
 
 
+@query
+def study_disease_rotated(spark, sf_dir):
+    """As many components as features: a rotation of the standardised features, which no score depends on."""
+    return disease_study(spark, sf_dir, "svd64")
+
+
 @query
 def study_discovery_detection(spark, sf_dir):
     cells = durable(views.paired_cells(spark, sf_dir, poisoned=True, chromosomes=True))
+    matrix = Matrix.from_cells(cells).written()
     tumors = views.tumor_samples(spark, sf_dir)
-    return studies.discover_paired("multi.cancer.study_detection", tumors, cells, PAIR_CUTOFF, PAIR_TOP)
+    return studies.discover_paired("multi.cancer.study_detection", tumors, matrix, PAIR_CUTOFF, PAIR_TOP)
 
 
 @query

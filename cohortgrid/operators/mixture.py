@@ -199,7 +199,8 @@ def mixture_fractions(
                 yield pd.DataFrame({"sample_id": part["sample_id"].to_numpy(), "fractions": [v.tolist() for v in x]})
 
     # the rows are few bytes but much work: spread them by number, not by size
-    spread = statistics.repartition(task_count(statistics.sparkSession), "sample_id")
+    tasks = min(task_count(statistics.sparkSession), statistics.count() // 8 + 1)
+    spread = statistics.repartition(tasks, "sample_id")
     return spread.select("sample_id", "n", "bb", "ab", "aa").mapInPandas(
         solve, "sample_id STRING, fractions ARRAY<DOUBLE>"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortgrid.cluster import durable, join_side, require_present
 from cohortgrid.fixed import NORMAL_TAG, SEX_AND_MITO, TUMOR_TAG
+from cohortgrid.matrix import Matrix
 from cohortgrid.operators.cohort import sorted_classes
 
 
@@ -37,18 +38,32 @@ def pair_differences(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     return sided.groupBy("grp", "pair_id", "feature").agg((value["tumor"] - value["normal"]).alias("diff"))
 
 
+def vector_differences(matrix: Matrix, pairs: DataFrame) -> DataFrame:
+    """(grp, ord, diff) from vectors: the two vectors of a pair meet, not their cells, so the shuffle carries
+    bare numbers; cells unfold after it."""
+    sided = join_side(matrix.vectors, pairs, "sample_id")
+    side = {
+        s: sided.where(F.col("side") == s).select("grp", "pair_id", F.col("x").alias(s)) for s in ("tumor", "normal")
+    }
+    both = side["tumor"].join(side["normal"], ["grp", "pair_id"])
+    gap = F.zip_with("tumor", "normal", lambda t, n: t - n)
+    return both.select("grp", F.posexplode(gap).alias("ord", "diff"))
+
+
 def per_group(values: dict[str, int]) -> Column:
     """Column: the value of the row's group, from a small table kept as a literal."""
     return F.element_at(F.create_map(*[F.lit(v) for item in values.items() for v in item]), F.col("grp"))
 
 
-def occurrence(differences: DataFrame, pairs_in: dict[str, int], cutoff: float) -> DataFrame:
+def occurrence(
+    differences: DataFrame, pairs_in: dict[str, int], cutoff: float, key: str = "feature"
+) -> DataFrame:
     """Pairs with a difference over the cutoff, per group and feature; NULL if any pair's is unknown."""
-    counted = differences.groupBy("grp", "feature").agg(
+    counted = differences.groupBy("grp", key).agg(
         F.count_if(F.col("diff") > cutoff).alias("over"), F.count("diff").alias("known")
     )
     every = F.col("known") == per_group(pairs_in)
-    return counted.select("grp", "feature", F.when(every, F.col("over")).alias("n_over"))
+    return counted.select("grp", key, F.when(every, F.col("over")).alias("n_over"))
 
 
 def top_with_ties(counts: DataFrame, k: int) -> DataFrame:
@@ -68,17 +83,30 @@ def top_with_ties(counts: DataFrame, k: int) -> DataFrame:
 
 
 def paired_markers(
-    cells: DataFrame, tumors: DataFrame, cutoff: float, k: int, group: str | None = None
+    data: Matrix | DataFrame,
+    tumors: DataFrame,
+    cutoff: float,
+    k: int,
+    group: str | None = None,
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
-    """(grp, feature, n_over) of the markers chosen; with a group column, each group chooses its own."""
+    """(grp, feature, n_over) of the markers chosen from a matrix or from cells; with a group column, each
+    group chooses its own. allowed(feature) restricts the candidates."""
     if group:
         sorted_classes(tumors, group)  # bounds the number of groups
         tumors = tumors.where(F.col(group).isNotNull())
     pairs = pairs_of(tumors, group)
-    require_present(pairs, cells, "sample_id", "paired samples")
-    totals = pairs.where("side = 'tumor'").groupBy("grp").count().collect()
-    differences = pair_differences(cells.where(off_sex_and_mito()), pairs)
-    return top_with_ties(occurrence(differences, {r["grp"]: r["count"] for r in totals}, cutoff), k)
+    known = data.vectors if isinstance(data, Matrix) else data
+    require_present(pairs, known, "sample_id", "paired samples")
+    totals = {r["grp"]: r["count"] for r in pairs.where("side = 'tumor'").groupBy("grp").count().collect()}
+    if isinstance(data, Matrix):
+        counts = data.named(occurrence(vector_differences(data, pairs), totals, cutoff, "ord"))
+        counts = counts.where(off_sex_and_mito())
+    else:
+        counts = occurrence(pair_differences(data.where(off_sex_and_mito()), pairs), totals, cutoff)
+    if allowed is not None:
+        counts = join_side(counts, allowed, "feature", "left_semi")
+    return top_with_ties(counts, k)
 
 
 def marker_union(markers: DataFrame) -> DataFrame:

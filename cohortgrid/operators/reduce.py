@@ -106,7 +106,7 @@ def sample_gram(vectors: DataFrame, width: int, ids: list[str], mean: np.ndarray
             x = dense(column.take(pa.array(at)), part.stop - part.start)
             blocks[-1][rows[at], : x.shape[1]] = (x - mean[part]) / sd_safe[part]
 
-    tasks = task_count(vectors.sparkSession)
+    tasks = min(task_count(vectors.sparkSession), width // chunk_size + 1)
     chunks = feature_chunks(vectors, width, chunk_size).repartition(tasks, "chunk").sortWithinPartitions("chunk")
     return summed(chunks, start, add, fold).select("row", "v")
 
@@ -204,7 +204,7 @@ def _from_samples(vectors, width, columns, mean, sd, k):
 
     shapes = {c: (min(width, (c + 1) * chunk_size) - c * chunk_size, k) for c in range((width - 1) // chunk_size + 1)}
     with batches_for(vectors, chunk_size + k):
-        by_chunk = pieces.repartition(task_count(spark), "chunk")
+        by_chunk = pieces.repartition(min(task_count(spark), width // chunk_size + 1), "chunk")
         blocks = collected(summed(by_chunk, start, add), shapes)
     return np.vstack([blocks[c] for c in sorted(blocks)])[columns]
 

@@ -85,8 +85,8 @@ def discover_tissue_markers(
     by_type: bool = False,
     mode: str = "error",
 ) -> None:
-    cells = files.read_discovery_cells(spark, matrix)
-    files.write_markers(studies.discover_paired(study, _cohort(spark, samples), cells, cutoff, k, by_type), out, mode)
+    data = files.read_matrix(spark, matrix)
+    files.write_markers(studies.discover_paired(study, _cohort(spark, samples), data, cutoff, k, by_type), out, mode)
 
 
 def discover_plasma_markers(

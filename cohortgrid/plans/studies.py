@@ -91,9 +91,12 @@ def disease(
 
 
 def discover_paired(
-    study: str, tumors: DataFrame, cells: DataFrame, cutoff: float, k: int, by_type: bool = False
+    study: str, tumors: DataFrame, data: Matrix | DataFrame, cutoff: float, k: int, by_type: bool = False
 ) -> DataFrame:
-    """Marker set of the tissue studies.
+    """Marker set of the tissue studies, from a matrix or from cells.
+
+    Features of a matrix that lack half or more of all its samples are left out; cells are taken as they
+    are.
 
     By default every cancer type chooses from all tumors, so one choice serves all types; with by_type,
     each of the study's types chooses from its own tumors.
@@ -104,10 +107,17 @@ def discover_paired(
     known = tumors.where(F.col(fixed.CANCER_TYPE).isNotNull())
     if by_type:
         known = known.where(F.col(fixed.CANCER_TYPE).isin(*types[study]))
-    markers = paired.paired_markers(cells, known, cutoff, k, fixed.CANCER_TYPE if by_type else None)
+    allowed = _half_present(data) if isinstance(data, Matrix) else None
+    markers = paired.paired_markers(data, known, cutoff, k, fixed.CANCER_TYPE if by_type else None, allowed)
     return paired.marker_union(markers)
 
 
+def _half_present(matrix: Matrix) -> DataFrame:
+    """Names of the features that more than half of all samples have."""
+    flags = quality.missingness(matrix.positions(), matrix.vectors.count(), "ord").where("kept")
+    return durable(matrix.named(flags).select("feature"))
+
+
 def discover_one_vs_rest(
     study: str,
     samples: DataFrame,
@@ -127,14 +137,13 @@ def discover_one_vs_rest(
     classes = cohort.sorted_classes(annotation, "class")
     if isinstance(data, Matrix):
         require_aligned(annotation, data.vectors, "sample_id")
-        total = data.vectors.count()
-        known = data.named(quality.missingness(data.positions(), total, "ord"))
+        allowed = _half_present(data)
     else:
         present = durable(data.select("sample_id").distinct())
         require_present(annotation, present, "sample_id", "samples")
-        known = quality.missingness(data, present.count())
+        allowed = durable(quality.missingness(data, present.count()).where("kept").select("feature"))
     table = contrasts.effects_table(data, annotation, classes)
-    table = join_side(table, durable(known.where("kept").select("feature")), "feature", "left_semi")
+    table = join_side(table, allowed, "feature", "left_semi")
     markers = paired.marker_union(contrasts.top_markers(table, cutoff, per_class))
     if study == fixed.STUDY_RACE:
         if unwanted is None:

@@ -61,8 +61,10 @@ def test_detection_refuses_missing_values(spark, cohort, tmp_path):
 
 
 def test_tissue_markers(spark, tmp_path):
-    rows = [(f"p{i}_{side}", 1.0 if side == "tumor" else 0.0, 0.5) for i in range(4) for side in ("tumor", "normal.tissue")]
-    matrix = write_csv(tmp_path / "m.csv", ["id", "up", "flat"], rows)
+    sides = [(i, side) for i in range(4) for side in ("tumor", "normal.tissue")]
+    rows = [(f"p{i}_{side}", *[1.0 if side == "tumor" else 0.0] * 2, 0.5) for i, side in sides]
+    rows += [(f"extra{i}", 0.0, "NA", 0.5) for i in range(9)]  # half of the file lacks the second feature
+    matrix = write_csv(tmp_path / "m.csv", ["id", "up", "sparse", "flat"], rows)
     samples = write_csv(tmp_path / "s.csv", ["sample_id", "cancer_type"], [(f"p{i}_tumor", "liver_cancer") for i in range(4)])
     jobs.discover_tissue_markers(spark, "liver.cancer.study", samples, matrix, str(tmp_path / "out"), 0.2, 5)
     assert lines(spark, tmp_path / "out") == ["up"]

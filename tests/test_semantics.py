@@ -245,6 +245,9 @@ def test_paired_rules(spark):
     assert chosen(paired.paired_markers(cells, tumors, 0.5, 1)) == {"three": 3}
     assert chosen(paired.paired_markers(cells, tumors, 0.5, 2)) == {"three": 3, "two": 2, "other_two": 2}
     assert chosen(paired.paired_markers(cells, tumors, 0.5, 100)) == {"three": 3, "two": 2, "other_two": 2}
+    matrix = Matrix.from_cells(cells)
+    for k in (1, 2, 100):
+        assert chosen(paired.paired_markers(matrix, tumors, 0.5, k)) == chosen(paired.paired_markers(cells, tumors, 0.5, k))
 
 
 def test_absent_row_poisons_too(spark):
