@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from catalog import views
 from cohortgrid.cluster import durable
-from cohortgrid.functions.scores import probabilities, top_label, top_ratio
+from cohortgrid.functions.scores import top_label
 from cohortgrid.matrix import Matrix, number
 from cohortgrid.operators import align, cohort, contrasts, linear, mixture, paired, quality, reduce
 from cohortgrid.operators.probability import reorder_scores, with_probabilities
@@ -245,10 +245,10 @@ def profile_of(spark, sf_dir, matrix: Matrix) -> tuple[DataFrame, list[str]]:
 
 @query
 def class_effects(spark, sf_dir):
-    profile, _ = profile_of(spark, sf_dir, views.gappy_matrix(spark, sf_dir))
+    profile, classes = profile_of(spark, sf_dir, views.gappy_matrix(spark, sf_dir))
     annotation = class_annotation(spark, sf_dir)
     sizes = contrasts.class_sizes(annotation)
-    effects = contrasts.class_effects(profile, sizes)
+    effects = contrasts.class_effects(profile, classes, sizes)
     return effects.select(
         "feature", "class", "n", "class_na", "others_na", "df",
         *[rounded(c, 8).alias(c) for c in ("class_mean", "others_mean", "class_diff", "s2")],

@@ -64,29 +64,6 @@ def residuals(profile: DataFrame) -> DataFrame:
     return profile.withColumn("df", df).withColumn("s2", F.when(df > 0, F.try_divide(ss, df.cast("double"))))
 
 
-def class_effects(profile: DataFrame, class_sizes: dict[str, int]) -> DataFrame:
-    """One row per feature and class: class mean, mean of all other samples pooled, their absolute
-    difference, and missing counts out of the class sizes."""
-    n_all = F.aggregate("c", F.lit(0).cast("long"), lambda a, e: a + e["n"])
-    total_all = F.aggregate("c", F.lit(0.0), lambda a, e: a + e["total"])
-    sizes = F.create_map(*[F.lit(v) for item in class_sizes.items() for v in item])
-    everyone = sum(class_sizes.values())
-    spread = profile.select("*", n_all.alias("n_all"), total_all.alias("total_all"), F.inline("c"))
-    others_n = F.col("n_all") - F.col("n")
-    others_mean = F.try_divide(F.col("total_all") - F.col("total"), others_n.cast("double"))
-    size = F.element_at(sizes, F.col("class"))
-    return spread.select(
-        *[c for c in profile.columns if c != "c"],
-        "class",
-        "n",
-        F.col("mean").alias("class_mean"),
-        others_mean.alias("others_mean"),
-        F.abs(F.col("mean") - others_mean).alias("class_diff"),
-        (size - F.col("n")).alias("class_na"),
-        (F.lit(everyone) - size - others_n).alias("others_na"),
-    )
-
-
 @dataclass(frozen=True)
 class Contrast:
     """A named row of coefficients over the sorted classes; main is the class it speaks for, if one."""
@@ -251,14 +228,14 @@ def off_sex_and_mito_prefix(feature: str = "feature"):
 def effects_table(data: Matrix | DataFrame, annotation: DataFrame, classes: list[str]) -> DataFrame:
     """Per feature and class: one-vs-rest estimate with class and others means; two classes keep only
     positive estimates. annotation(sample_id, class) chooses the samples."""
-    table = effects_of(profile_matrix(data, annotation, classes), classes, class_sizes(annotation))
+    table = class_effects(profile_matrix(data, annotation, classes), classes, class_sizes(annotation))
     return table.where("logfc > 0") if len(classes) == 2 else table
 
 
-def effects_of(
-    profile: DataFrame, classes: list[str], sizes: dict[str, int], contrasts: list[Contrast] | None = None
-) -> DataFrame:
-    estimates = estimate(profile, contrasts or one_vs_rest(classes))
+def class_effects(profile: DataFrame, classes: list[str], sizes: dict[str, int]) -> DataFrame:
+    """One row per feature and class: one-vs-rest estimate, class mean, mean of all other samples pooled, their
+    absolute difference, and missing counts out of the class sizes."""
+    estimates = estimate(profile, one_vs_rest(classes))
     main = F.get(F.filter("c", lambda e: e["class"] == F.col("main")), F.lit(0))
     n_all = F.aggregate("c", F.lit(0).cast("long"), lambda a, e: a + e["n"])
     total_all = F.aggregate("c", F.lit(0.0), lambda a, e: a + e["total"])
@@ -275,6 +252,7 @@ def effects_of(
         "unscaled",
         "df",
         "s2",
+        F.col("m.n").alias("n"),
         F.col("m.mean").alias("class_mean"),
         others_mean.alias("others_mean"),
         F.abs(F.col("m.mean") - others_mean).alias("class_diff"),
