@@ -5,12 +5,13 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 SCORE_NAMES = {"svm_binary_l1", "deconv_posterior", "study_disease_reduced"}  # no closed SQL form
 
 
@@ -32,6 +33,7 @@ def plain(value):
 def test_every_query_but_the_listed_has_sql():
     assert set(QUERIES) - set(ORACLES) == SCORE_NAMES
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
