@@ -25,7 +25,7 @@ from cohortgrid.llm.common import written
 #: How byte-level vocabularies of this kind cut text before merging. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-SPREAD = 20_000  # characters from which a text is encoded in pieces
+SPREAD = 1_000_000  # characters from which a text goes to several tasks: some tenths of a second's work
 PIECE = 8_192  # characters of a piece, about
 RUN = 4_096  # a run this long has no safe place for a cut
 LEAF = 2_048  # bytes of a run that are encoded at once
