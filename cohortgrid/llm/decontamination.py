@@ -1,11 +1,12 @@
-"""Benchmark passages in documents: windows of item words, found by their rarest word and then verified."""
+"""Benchmark passages in documents: windows of item words, found by their rarest shingle and then verified."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortgrid.llm.common import LOWER, UPPER, small, written
+from cohortgrid.llm.common import LOWER, UPPER, let, small, written
 
+SHINGLE = 3  # words that are joined at once; a shorter window is one shingle
 APART = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # what stands between words
 
 
@@ -31,11 +32,39 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return spread.select("item_id", F.array_join("words", " ").alias("window"), F.size("words").alias("size")).distinct()
 
 
+def shingles(words: Column, width: int) -> Column:
+    """Hashes of each width words in a row."""
+    count = F.size(words) - (width - 1)
+    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(width)]))
+
+
+def _probes(texts: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
+    """(window, size, width, shingle, offset): the rarest shingle of each window that can occur."""
+    parts = None
+    for width in widths:
+        own = windows.where(F.least("size", F.lit(SHINGLE)) == width)
+        hashes = let(F.split("window", " "), lambda ws: shingles(ws, width))
+        own = own.select("window", "size", F.lit(width).alias("width"), F.posexplode(hashes).alias("offset", "shingle"))
+        listed = _maybe_broadcast(written(own.select("shingle").distinct()))
+        spoken = texts.select(F.explode(let(words_of(F.col("text")), lambda ws: shingles(ws, width))).alias("shingle"))
+        counts = written(spoken.join(listed, "shingle").groupBy("shingle").agg(F.count("*").alias("n")))
+        own = own.join(_maybe_broadcast(counts), "shingle", "left")
+        parts = own if parts is None else parts.unionByName(own)
+    if parts is None:
+        return windows.selectExpr("window", "size", "1 AS width", "0L AS shingle", "0 AS offset")
+    # A shingle that no document has rules its window out.
+    probes = parts.groupBy("window", "size", "width").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("rarest")
+    )
+    return probes.where("rarest.n > 0").select("window", "size", "width", "rarest.shingle", "rarest.offset")
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each document.
 
     A window is so many consecutive words of an item, or all of a shorter one; a document word inside any
-    occurrence of a window is hit. A window can occur only where its rarest word does, so that word, by its
+    occurrence of a window is hit. A window can occur only where its rarest shingle does, so that shingle, by its
     count over all documents, is all that is joined; where it stands gives the window's place, which must lie
     within the document, and there the words are compared. Null and empty texts have no words and no hits. Items
     that repeat, or share windows, count once by their id; an item without id or words is ignored. Documents with
@@ -45,32 +74,35 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10) -
     key = {"d1": F.xxhash64("text"), "d2": F.xxhash64("text", F.lit(1))}
     windows = written(benchmark_windows(benchmark, window))
 
-    parts = windows.select("window", "size", F.posexplode(F.split("window", " ")).alias("offset", "word"))
-    listed = _maybe_broadcast(written(parts.select("word").distinct()))
-    spoken = texts.select(F.explode(words_of(F.col("text"))).alias("word"))
-    counts = written(spoken.join(listed, "word").groupBy("word").agg(F.count("*").alias("n")))
-    rarity = parts.distinct().join(_maybe_broadcast(counts), "word", "left")
-    # A word that no document has rules its window out.
-    probes = rarity.groupBy("window", "size").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("rarest")
-    )
-    probes = written(probes.where("rarest.n > 0").select("window", "size", "rarest.word", "rarest.offset"))
-
-    split = texts.select(F.col("text"), words_of(F.col("text")).alias("words"))
-    at = split.select(
-        key["d1"].alias("d1"), key["d2"].alias("d2"), F.size("words").alias("n"), F.posexplode("words").alias("pos", "word")
-    )
-    places = at.join(_maybe_broadcast(probes), "word").where("pos >= offset AND pos - offset + size <= n")
-    places = places.groupBy("d1", "d2").agg(
-        F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("start"), "size", "window")).alias("places")
-    )
-    places = written(places)
+    widths = [r[0] for r in windows.select(F.least("size", F.lit(SHINGLE))).distinct().collect()]  # SHINGLE numbers at most
+    probes = written(_probes(texts, windows, widths))
+    places = None
+    for width in widths:
+        at = texts.select(
+            key["d1"].alias("d1"),
+            key["d2"].alias("d2"),
+            let(words_of(F.col("text")), lambda ws: F.struct(F.size(ws).alias("n"), shingles(ws, width).alias("all"))).alias("w"),
+        ).select("d1", "d2", "w.n", F.posexplode("w.all").alias("pos", "shingle"))
+        met = at.join(_maybe_broadcast(probes.where(F.col("width") == width)), "shingle")
+        met = met.where("pos >= offset AND pos - offset + size <= n")
+        met = met.select("d1", "d2", F.struct((F.col("pos") - F.col("offset")).alias("start"), "size", "window").alias("place"))
+        places = met if places is None else places.unionByName(met)
+    if places is None:  # no item has words
+        places = windows.select(
+            F.lit(0).cast("long").alias("d1"),
+            F.lit(0).cast("long").alias("d2"),
+            F.struct(F.lit(0).alias("start"), "size", "window").alias("place"),
+        )
+    places = written(places.groupBy("d1", "d2").agg(F.collect_set("place").alias("places")))
 
     keyed = texts.withColumns(key)
     searched = keyed.join(_maybe_broadcast(places.select("d1", "d2")), ["d1", "d2"], "left_semi")
     searched = searched.groupBy("d1", "d2").agg(F.first("text").alias("text")).join(places, ["d1", "d2"])
-    searched = searched.select("d1", "d2", "places", words_of(F.col("text")).alias("words"))
-    hits = F.filter("places", lambda p: F.array_join(F.slice("words", p["start"] + 1, p["size"]), " ") == p["window"])
+
+    def stands(words: Column) -> Column:
+        return F.filter("places", lambda p: F.array_join(F.slice(words, p["start"] + 1, p["size"]), " ") == p["window"])
+
+    hits = let(words_of(F.col("text")), stands)
     found = written(searched.select("d1", "d2", hits.alias("hits")).where("size(hits) > 0"))
 
     covered = F.array_distinct(
