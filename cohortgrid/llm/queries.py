@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortgrid.llm import bpe
 from cohortgrid.llm.decontamination import contaminated
+from cohortgrid.llm.fingerprints import compared_with_edits
 from cohortgrid.llm.jaccard_join import similar_components
+from cohortgrid.llm.substring_dedup import without_repeats
 from cohortgrid.llm.url_filters import judge_urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,3 +80,24 @@ best AS (SELECT p.host, p.path, arg_max(r.host || r.path, length(r.host || r.pat
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
 FROM parsed LEFT JOIN best USING (host, path)
 """
+
+
+@query
+def op2_substring_dedup(spark, sf_dir):
+    cut = without_repeats(table(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256")
+    return cut.select("doc_id", "n_words", "n_removed", kept)
+
+
+@query
+def op4_document_fingerprints(spark, sf_dir):
+    compared = compared_with_edits(table(spark, sf_dir, "documents"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
