@@ -11,7 +11,11 @@ from cohortgrid.llm import bpe
 from cohortgrid.llm.decontamination import contaminated
 from cohortgrid.llm.fingerprints import compared_with_edits
 from cohortgrid.llm.jaccard_join import similar_components
+from cohortgrid.llm.labelled import clean_labels, remainder
+from cohortgrid.llm.pii import KINDS, find_pii, spans_text
+from cohortgrid.llm.quality import fit_quality, quality_scores
 from cohortgrid.llm.substring_dedup import without_repeats
+from cohortgrid.llm.toxicity import ToxicityModel, fit_toxicity, toxicity_scores
 from cohortgrid.llm.url_filters import judge_urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -101,3 +105,38 @@ def op4_document_fingerprints(spark, sf_dir):
         "near_edited",
         "near_next",
     )
+
+
+TOXIC_FOLD, TOXIC_FOLDS = 0, 5
+QUALITY_FOLD, QUALITY_FOLDS = 2, 4
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
+    return fit_toxicity(documents, clean_labels(labels, "toxic", remainder(TOXIC_FOLDS) != TOXIC_FOLD))
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    scores = toxicity_scores(documents, toxicity_model(documents, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(remainder(TOXIC_FOLDS) == TOXIC_FOLD, F.lit(False)).alias("held_out")
+    return scores.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_quality_classifier(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    labels = clean_labels(table(spark, sf_dir, "labels"), "quality", remainder(QUALITY_FOLDS) != QUALITY_FOLD)
+    scores = quality_scores(documents, fit_quality(documents, labels))
+    held_out = F.coalesce(remainder(QUALITY_FOLDS) == QUALITY_FOLD, F.lit(False)).alias("held_out")
+    return scores.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_pii(spark, sf_dir):
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)
+    ]
+    base = F.sha2(spans_text(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, spans_text(F.col("spans")).alias("spans"))

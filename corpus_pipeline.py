@@ -6,21 +6,63 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortgrid.llm.common import written
+from cohortgrid.llm import bpe
+from cohortgrid.llm.common import keep_ids, written
+from cohortgrid.llm.decontamination import contaminated
 from cohortgrid.llm.jaccard_join import similar_components
+from cohortgrid.llm.labelled import clean_labels
+from cohortgrid.llm.pii import masked
+from cohortgrid.llm.queries import VOCABULARY
+from cohortgrid.llm.toxicity import fit_toxicity, toxicity_scores
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # the classifier's decisions have no SQL
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go. The classifier learns from all labels of documents in docs."""
+    labels = clean_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", F.lit(True))
+    scores = toxicity_scores(docs, fit_toxicity(docs, labels))
+    rejected = scores.where("score >= 0.5").select("doc_id").distinct()
+    return keep_ids(docs, written(rejected), "doc_id", "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8), the document with the smallest id stays, once."""
-    groups = similar_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies (five words, 0.8) the document with the smallest doc_id stays, as one row."""
+    others = similar_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    kept = keep_ids(docs, written(others), "doc_id", "left_anti").select(docs.columns)
+    twice = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    once = keep_ids(kept, twice, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
+    return keep_ids(kept, twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an occurrence of a benchmark window go."""
+    hit = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    return keep_ids(docs, written(hit.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows."""
+    return masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the token ids as little-endian unsigned 32-bit integers, and their number."""
+    coded = bpe.encode(docs, VOCABULARY)
+    return coded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", pii),
+    ("tokens", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
