@@ -83,7 +83,9 @@ def _contexts(text: str, start: int, stop: int) -> list[str]:
     """The two words before, and the word before with the word after."""
     left = text[max(0, start - 80) : start].lower().split()[-2:]
     right = text[stop : stop + 40].lower().split()[:1]
-    return [f"{' '.join(left)} _"] * (len(left) == 2) + [f"{left[-1]} _ {right[0]}"] * bool(left and right)
+    before = [f"{' '.join(left)} _"] if len(left) == 2 else []
+    around = [f"{left[-1]} _ {right[0]}"] if left and right else []
+    return before + around
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
