@@ -75,8 +75,8 @@ def first_of_kind(documents: list[set[str]]) -> list[int]:
 def lexicons(documents: list[set[str]], labels: np.ndarray) -> tuple[list[str], list[str]]:
     """Features that favour label 1, and label 0, the strongest first."""
     seen = [Counter(), Counter()]
-    for features, label in zip(documents, labels):
-        seen[int(label)].update(features)
+    for words, label in zip(documents, labels):
+        seen[int(label)].update(_features(words))
     share = float(np.mean(labels))
     tried = len(seen[0].keys() | seen[1].keys())
     evidence = np.sqrt(2 * np.log(max(2, tried) / CHANCE))  # the tail of a normal deviate
@@ -160,13 +160,15 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = PER_C
     rows, counts = sample(documents, labels, per_class)
     total = sum(counts.values())
     prior = min(max(counts[1] / total if total else 0.5, 1e-6), 1 - 1e-6)
-    words = [words_of(t) for t in rows["text"]]
+    pool: dict[str, str] = {}  # equal words are one object, for the driver's memory
+    words = [{pool.setdefault(w, w) for w in words_of(t)} for t in rows["text"]]
     alone = first_of_kind(words)
     texts, y, words = rows["text"][alone].tolist(), rows["label"][alone].to_numpy(), [words[i] for i in alone]
     if len(set(y)) < 2:
         return ToxicityModel({}, float(np.log(prior / (1 - prior))))
-    features = [_features(w) for w in words]
-    toxic, clean = lexicons(features, y)
+    toxic, clean = lexicons(words, y)
+    listed = {*toxic, *clean}
+    features = [_features(w) & listed for w in words]
     deal = lambda found: [set(found[k::LEXICONS]) for k in range(min(LEXICONS, len(found)))]
     matrix = votes(texts, features, deal(toxic), deal(clean))
     share = np.array([counts[k] / max(1, (y == k).sum()) for k in (0, 1)])
