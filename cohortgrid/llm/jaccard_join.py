@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortgrid.llm.common import Hasher, byte_texts, keep_ids, list_column, mix, signed, sorted_groups, written
+from cohortgrid.llm.common import Hasher, byte_texts, keep_ids, list_column, mix, signed, slices, sorted_groups, written
 from cohortgrid.llm.graph import components
 
 BAND_RATIO = 1.5
 BLOCK = 128  # members of a tile that are compared at once
+ROWS = 512  # rows whose sets are in memory at once
 SEEN = 200_000  # sets of which a task remembers that it has met them
 
 
@@ -68,14 +69,15 @@ def tile_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
         number, _, high = band_of(at)
         differ = 2 * high * (den - num) // (den + num)
         if differ:  # else equal sets only, which meet by their set key
-            spare = 2 + differ // 128
+            spare = 2 + differ // 64
             ranges = differ + 1 + spare
             ends = np.concatenate([[0], np.searchsorted(hashes, _edges(ranges)), [size]])
             content = sums[ends[1:]] - sums[ends[:-1]]
             content += np.arange(ranges, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number << 32)
             empty = ends[1:] == ends[:-1]
-            # With few empty ranges, more than these agree, so a range with content does.
-            keys.append(mix(content if empty.sum() > spare else content[~empty]))
+            # All but `most` ranges agree with a partner's, size for size; if fewer are empty here, one with content does.
+            most = (size + min(high, last)) * (den - num) // (den + num)
+            keys.append(mix(content[~empty] if empty.sum() < ranges - most else content))
         at = high + 1
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
@@ -112,7 +114,7 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def _sizes(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             sets = [shingle_set(t, hasher, ngram) for t in byte_texts(batch.column("text"))]
             keys = np.array([set_key(s) for s in sets], np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
@@ -127,7 +129,7 @@ def _sizes(ngram: int):
 def _tiles(ngram: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(), set()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids, keys = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text"))):
                 hashes = shingle_set(text, hasher, ngram)
@@ -146,7 +148,7 @@ def _tiles(ngram: int, num: int, den: int):
 def _sets(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             sets = [shingle_set(t, hasher, ngram) for t in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -164,7 +166,7 @@ def _settle(num: int, den: int):
     """Of candidate pairs with both bitmaps and both arrays, those that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             sides = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("xb", "xs", "yb", "ys")]
             keep = [
                 may_link(xb, len(xs), yb, len(ys), num, den) and linked(xs, ys, num, den) for xb, xs, yb, ys in zip(*sides)
@@ -217,8 +219,9 @@ def similar_components(documents: DataFrame, ngram: int = 5, num: int = 80, den:
     # Equal sets: one of them, the first, stands for all.
     known = base.where("n > 0 AND doc_id IS NOT NULL")
     firsts = known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    firsts = written(firsts.where("first < last"))  # written: the join may then split a group of many copies
     copies = written(
-        known.join(firsts.where("first < last"), ["n", "k1", "k2"])
+        known.join(firsts, ["n", "k1", "k2"])
         .where("doc_id <> first")
         .select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
         .distinct()
