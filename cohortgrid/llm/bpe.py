@@ -20,11 +20,12 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from cohortgrid.llm.common import written
+from cohortgrid.llm.common import slices, written
 
 #: How byte-level vocabularies of this kind cut text before merging. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+ROWS = 512  # texts whose ids are in memory at once
 SPREAD = 1_000_000  # characters from which a text goes to several tasks: some tenths of a second's work
 PIECE = 8_192  # characters of a piece, about
 RUN = 4_096  # a run this long has no safe place for a cut
@@ -137,7 +138,7 @@ def _packed(ids: list[int]) -> bytes:
 def _encode_whole(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids = [_packed(encode_text(enc, t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -147,7 +148,7 @@ def _encode_whole(vocabulary: str):
 def _spread(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
                 rows = []
                 for tree, (is_run, part) in enumerate(cut(enc, text)):
@@ -167,7 +168,7 @@ def _spread(vocabulary: str):
 def _encode_parts(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids = [
                 _packed(encode_text(enc, part.decode()) if single else enc._encode_single_piece(part))
                 for single, part in zip(batch.column("single").to_pylist(), batch.column("part").to_pylist())
@@ -181,7 +182,7 @@ def _encode_parts(vocabulary: str):
 def _join_parts(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             joined = []
             for parts in batch.column("pieces").to_pylist():
                 trees: dict[int, list[list[int]]] = {}
@@ -221,7 +222,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             texts = [
                 enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()).decode("utf-8", "replace")
                 for x in batch.column("ids").to_pylist()

@@ -153,24 +153,36 @@ def _sets(ngram: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    pa.array(list(map(len, sets)), pa.int64()),
                     pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                ["doc_id", "bits", "hashes"],
+                ["doc_id", "n", "bits", "hashes"],
             )
 
     return run
 
 
+def _bound(num: int, den: int):
+    """Of candidate pairs with both sizes and bitmaps, those that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, ROWS):
+            bits = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("xb", "yb")]
+            sizes = [batch.column(c).to_pylist() for c in ("xn", "yn")]
+            keep = [may_link(xb, xn, yb, yn, num, den) for xb, xn, yb, yn in zip(bits[0], sizes[0], bits[1], sizes[1])]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _settle(num: int, den: int):
-    """Of candidate pairs with both bitmaps and both arrays, those that link."""
+    """Of pairs with both arrays, those that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
-            sides = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("xb", "xs", "yb", "ys")]
-            keep = [
-                may_link(xb, len(xs), yb, len(ys), num, den) and linked(xs, ys, num, den) for xb, xs, yb, ys in zip(*sides)
-            ]
+            sides = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("xs", "ys")]
+            keep = [linked(xs, ys, num, den) for xs, ys in zip(*sides)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -251,15 +263,18 @@ def similar_components(documents: DataFrame, ngram: int = 5, num: int = 80, den:
     )
     sets = written(
         keep_ids(source, written(wanted.distinct()), "doc_id")
-        .mapInArrow(_sets(ngram), "doc_id long, bits binary, hashes binary")
+        .mapInArrow(_sets(ngram), "doc_id long, n long, bits binary, hashes binary")
     )
 
+    def with_sides(pairs: DataFrame, **columns: str) -> DataFrame:
+        for name, tag in (("a", "x"), ("b", "y")):
+            side = [F.col(column).alias(f"{tag}{short}") for short, column in columns.items()]
+            pairs = pairs.join(sets.select(F.col("doc_id").alias(name), *side), name)
+        return pairs.select("a", "b", *[f"{tag}{short}" for tag in "xy" for short in columns])
+
     def settled(pairs: DataFrame) -> DataFrame:
-        side = lambda name, tag: sets.select(
-            F.col("doc_id").alias(name), F.col("bits").alias(f"{tag}b"), F.col("hashes").alias(f"{tag}s")
-        )
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        return both.select("a", "b", "xb", "xs", "yb", "ys").mapInArrow(_settle(num, den), "a long, b long")
+        pairs = with_sides(pairs, n="n", b="bits").mapInArrow(_bound(num, den), "a long, b long")
+        return with_sides(pairs, s="hashes").mapInArrow(_settle(num, den), "a long, b long")
 
     links = written(settled(stars).unionByName(copies))
     groups = components(links)
@@ -272,7 +287,7 @@ def similar_components(documents: DataFrame, ngram: int = 5, num: int = 80, den:
     )
     apart = named.where("low < high").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     apart = apart.select("key", "node", "group", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    bits = sets.select(F.col("doc_id").alias("node"), (F.octet_length("hashes") / 8).cast("long").alias("n"), "bits")
+    bits = sets.select(F.col("doc_id").alias("node"), "n", "bits")
     laid = apart.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "group"
     )

@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortgrid.llm.common import slices
+
 
 def remainder(modulus: int) -> Column:
     """crc32 of doc_id as text, modulo modulus."""
@@ -59,11 +62,12 @@ def sigmoid(z):
 def scored(documents: DataFrame, score) -> DataFrame:
     """documents' doc_id with score(text) in a column "score", a row for each row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = score()
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [float(rate(t)) for t in frame["text"]]})
+        for batch in slices(batches, 512):
+            rates = [float(rate(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rates, pa.float64())], ["doc_id", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, score double")
+    return texts.mapInArrow(run, f"doc_id {kind}, score double")

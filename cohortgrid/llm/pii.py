@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortgrid.llm.common import small, written
+from cohortgrid.llm.common import slices, small, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
+ROWS = 512  # texts whose spans are in memory at once
 SUPPORT = 5  # different believed tokens that a context needs
 TRUST = 0.9  # share of a context's tokens that must be believed, and belief that a candidate needs
 
@@ -123,7 +124,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [("start", pa.int32()), ("stop", pa.int32()), ("token", pa.string()), ("kind", pa.int32()), ("contexts", pa.list_(pa.string()))]
         )
     )
-    for batch in batches:
+    for batch in slices(batches, ROWS):
         spans, found = [], []
         for text in batch.column("text").to_pylist():
             base = base_spans(text)
@@ -227,7 +228,7 @@ def masked(documents: DataFrame) -> DataFrame:
     joined = keyed.join(F.broadcast(found) if small(found, 100_000) else found, ["_d1", "_d2"], "left").select(*names, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             texts = [
                 t if t is None else mask(t, [(s["start"], s["kind"], s["stop"]) for s in a] if a else base_spans(t))
                 for t, a in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())
