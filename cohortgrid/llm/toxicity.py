@@ -91,12 +91,12 @@ def lexicons(documents: list[set[str]], labels: np.ndarray) -> tuple[list[str],
 
 
 def votes(texts: list[str], documents: list[set[str]], toxic: list[set[str]], clean: list[set[str]]) -> np.ndarray:
-    """1, -1 or 0 (no opinion) of each voter on each text: the lexicons, then the patterns."""
-    out = np.zeros((len(texts), len(toxic) + len(clean) + len(PATTERNS)), np.int8)
+    """1, -1 or 0 (no opinion) of each voter on each text: all toxic lexicons as one, each lexicon, the patterns."""
+    out = np.zeros((len(texts), 1 + len(toxic) + len(clean) + len(PATTERNS)), np.int8)
     for i, (text, features) in enumerate(zip(texts, documents)):
         hits = [bool(features & lexicon) for lexicon in toxic]
         against = [-1 * bool(features & lexicon) for lexicon in clean]
-        out[i] = [*hits, *against, *(bool(p.search(text)) for p in PATTERNS)]
+        out[i] = [any(hits), *hits, *against, *(bool(p.search(text)) for p in PATTERNS)]
     return out
 
 
@@ -105,7 +105,8 @@ def label_model(matrix: np.ndarray, prior: float, rounds: int = 50) -> np.ndarra
 
     Each voter has, for either label, its rates of speaking for 1, for 0 and not at all. Voters whose deviations from
     what the model expects go together are no independent witnesses: a vote counts by one over the sum of its
-    voter's squared correlations with all voters. Silence counts as the model finds it. Starts from the share prior
+    voter's squared correlations with all voters. Silence counts as the model finds it; a vote never counts against what
+    it says. Starts from the share prior
     of texts on which most voters speak for 1.
     """
     n, m = matrix.shape
@@ -125,7 +126,9 @@ def label_model(matrix: np.ndarray, prior: float, rounds: int = 50) -> np.ndarra
         correlation = rest.T @ rest / n
         np.fill_diagonal(correlation, 1.0)
         weight = 1.0 / np.square(correlation).sum(1)
-        logs = np.einsum("ijv,jv->ij", onehot, np.log(rates[1]) - np.log(rates[0])) @ weight
+        speaks = np.log(rates[1]) - np.log(rates[0])
+        speaks[:, 0], speaks[:, 2] = np.minimum(speaks[:, 0], 0), np.maximum(speaks[:, 2], 0)
+        logs = np.einsum("ijv,jv->ij", onehot, speaks) @ weight
         now = sigmoid(logs + np.log(prior / (1 - prior)))
         if np.abs(now - posterior).max() < 1e-6:
             return now
