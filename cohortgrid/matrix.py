@@ -129,11 +129,12 @@ def quoted(name: str) -> str:
 
 def number(col: Column, strict: bool = False) -> Column:
     """Text to double: NULL for bad text, or an error if strict; a spelled-out missing value is NULL."""
+    # Java also reads "1d" and "1f" as numbers; here they are text
+    suffixed = F.lower(F.right(F.rtrim(col), F.lit(1))).isin("d", "f") & ~F.lower(col).contains("inf")
     if strict:
-        value = F.when(~F.trim(col).isin(*MISSING_TEXTS_STRICT), col).cast("double")
+        refused = F.raise_error(F.concat(F.lit("not a number: "), col)).cast("double")
+        value = F.when(~F.trim(col).isin(*MISSING_TEXTS_STRICT), F.when(suffixed, refused).otherwise(col.cast("double")))
     else:
-        # Java also reads "1d" and "1f" as numbers; here they are text
-        suffixed = F.lower(F.right(F.rtrim(col), F.lit(1))).isin("d", "f") & ~F.lower(col).contains("inf")
         value = F.when(~suffixed, col).try_cast("double")
     return F.when(~F.isnan(value), value)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortgrid.cluster import durable, join_side, require_present
+from cohortgrid.cluster import durable, join_side, require_present, require_unique
 from cohortgrid.fixed import NORMAL_TAG, SEX_AND_MITO, TUMOR_TAG
 from cohortgrid.matrix import Matrix
 from cohortgrid.operators.cohort import sorted_classes
@@ -95,6 +95,7 @@ def paired_markers(
     if group:
         sorted_classes(tumors, group)  # bounds the number of groups
         tumors = tumors.where(F.col(group).isNotNull())
+    require_unique(tumors, "sample_id")  # two rows of a tumor would leave it without a partner
     pairs = pairs_of(tumors, group)
     known = data.vectors if isinstance(data, Matrix) else data
     require_present(pairs, known, "sample_id", "paired samples")

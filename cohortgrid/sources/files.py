@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortgrid.cluster import task_count
 from cohortgrid.fixed import MISSING_TEXT, MISSING_TEXTS_STRICT, SAMPLE_ID
-from cohortgrid.matrix import Matrix, number, quoted
+from cohortgrid.matrix import Matrix, named_positions, number, quoted
 from cohortgrid.operators.quality import drop_half_missing
 
 COLUMN_LIMIT = 2000
@@ -35,28 +37,35 @@ def read_matrix(spark: SparkSession, path: str, strict: bool = False, column_lim
     """Wide CSV: the first column is the key whatever its name, every other column is a feature.
 
     Names are taken from the header as they are. Lenient reading turns bad numbers to NULL, strict raises.
-    Matrices beyond column_limit are read as lines and split, which has no column limit; their feature
-    names never pass through the driver.
+    One parser reads every width: quoted fields may hold commas and doubled quotes, a row with more or fewer
+    fields than the header raises. Beyond column_limit names are kept as a table.
     """
     _checked(path)
-    header = _header(spark, path)
-    names = next(csv.reader([header]))
-    if len(names) <= column_limit:
-        schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
-        df = _spread(spark.read.schema(schema).option("header", True).csv(path), path)
-        cells = [number(F.col(f"c{i}"), strict) for i in range(1, len(names))]
-        return Matrix.from_vectors(df.select(F.col("c0").alias("sample_id"), F.array(*cells).alias("x")), names[1:])
+    names = next(csv.reader([_header(spark, path)]))
     lines = spark.read.schema("line STRING").option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
-    parts = _spread(lines, path).select(F.split("line", ",").alias("p"))
-    vectors = parts.select(
-        F.btrim(F.get("p", F.lit(0)), F.lit('"')).alias("sample_id"),
-        F.transform(F.slice("p", 2, len(names) - 1), lambda v: number(v, strict)).alias("x"),
-    )
-    first = spark.read.text(path).limit(1).select(F.posexplode(F.split("value", ",")).alias("pos", "name"))
-    features = first.where("pos > 0").select(
-        (F.col("pos") - 1).alias("ord"), F.btrim("name", F.lit('"')).alias("feature")
-    )
-    return Matrix(vectors, len(names) - 1, None, features)
+    rows = _spread(lines, path).mapInArrow(_split_lines(len(names)), "sample_id STRING, fields ARRAY<STRING>")
+    vectors = rows.select("sample_id", F.transform("fields", lambda v: number(v, strict)).alias("x"))
+    if len(names) <= column_limit:
+        return Matrix.from_vectors(vectors, names[1:])
+    return Matrix(vectors, len(names) - 1, None, named_positions(spark, names[1:]))
+
+
+def _split_lines(width: int):
+    """Batches of lines to keys and the other fields as text; an empty field is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, fields = [], []
+            for row in csv.reader(line for line in batch.column(0).to_pylist() if line):
+                if len(row) != width:
+                    raise ValueError(f"a row has {len(row)} fields, the header {width}: {row[:1]}")
+                keys.append(row[0])
+                fields.append([v or None for v in row[1:]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), pa.array(fields, pa.list_(pa.string()))], ["sample_id", "fields"]
+            )
+
+    return run
 
 
 def read_discovery_cells(spark: SparkSession, path: str) -> DataFrame:

@@ -94,3 +94,18 @@ def test_prediction_and_marker_files(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "m")).collect()) == ["f1", "f2"]
     with pytest.raises(PySparkException):
         files.write_markers(markers, str(tmp_path / "m"))
+
+
+@pytest.mark.parametrize("column_limit", [1, 2000])
+def test_one_parser_for_every_width(spark, tmp_path, column_limit):
+    path = tmp_path / "quoted.csv"
+    path.write_text('id,"a,b",c\r\n"s,2","1.5",2\r\ns1,,"3"\r\n')
+    matrix = files.read_matrix(spark, str(path), column_limit=column_limit)
+    assert {r["sample_id"]: r["x"] for r in matrix.vectors.collect()} == {"s,2": [1.5, 2.0], "s1": [None, 3.0]}
+    assert matrix.names() == ["a,b", "c"]
+    path.write_text("id,a,b\ns1,1\n")
+    with pytest.raises(Exception, match="fields"):
+        files.read_matrix(spark, str(path), column_limit=column_limit).vectors.collect()
+    path.write_text("id,a\ns1,1d\n")
+    with pytest.raises(Exception, match="not a number"):
+        files.read_matrix(spark, str(path), strict=True, column_limit=column_limit).vectors.collect()
