@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.views import CUSTOMER, EMBEDDING, MIXTURE, PAIRED
+from catalog.views import CUSTOMER, EMBEDDING, EMPTY_SAMPLE, MIXTURE, PAIRED
 
 WIDTH = 64
 CLASSES = 10
@@ -111,11 +111,24 @@ ORACLES["standardize_center"] = _standardize("1")
 # Paired markers --------------------------------------------------------------------------------
 
 
-def _paired(group: str, chosen: str, plain: bool = False) -> str:
+def _csv(repeats: int, quoted_every: int) -> str:
+    """What is left of the CSV text: every value but those that say none."""
+    value = f"CASE WHEN (j - 1) % {quoted_every} <> 0 AND (j - 1) % 7 = 3 THEN NULL ELSE x[(j - 1) % len(x) + 1] END"
+    return f"""
+WITH v AS (SELECT 's,"' || vec_id AS sample_id, CAST(embedding AS DOUBLE[]) AS x, len(embedding) * {repeats} AS width FROM embeddings),
+c AS (SELECT sample_id, width, j, {value} AS value FROM v, unnest(range(1, width + 1)) AS t(j))
+SELECT sample_id, width, count(value) AS n_known, {r('coalesce(sum(value * j), 0)', 3)} AS weighted FROM c GROUP BY sample_id, width"""
+
+
+ORACLES["csv_matrix"] = _csv(1, 3)
+ORACLES["csv_matrix_wide"] = _csv(33, 5)
+
+
+def _paired(group: str, chosen: str, plain: bool = False, where: str = "true") -> str:
     source = "m" if not plain else "plain"
-    plain_view = """,
+    plain_view = f""",
 plain AS (SELECT l_suppkey, l_linestatus, p_brand AS feature, round(avg(l_discount * 10), 8) AS value
-          FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, l_linestatus, p_brand)"""
+          FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {where} GROUP BY l_suppkey, l_linestatus, p_brand)"""
     return f"""WITH {PAIRED}{plain_view if plain else ''},
 f AS (SELECT DISTINCT feature FROM {source}
       WHERE feature NOT LIKE '%chrX%' AND feature NOT LIKE '%chrY%' AND feature NOT LIKE '%chrM%'),
@@ -134,6 +147,9 @@ ORACLES["paired_markers_vectors"] = ORACLES["paired_markers_all"]
 ORACLES["paired_markers_by_type"] = _paired("cancer_type", "grp AS cancer_type, feature, n_over")
 ORACLES["paired_markers_union"] = _paired("cancer_type", "DISTINCT feature", plain=True)
 ORACLES["study_discovery_detection"] = _paired("'all'", "DISTINCT feature")
+ORACLES["paired_cells_sparse"] = _paired(
+    "'all'", "DISTINCT feature", plain=True, where="CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) % 2 = 1"
+)
 
 # One-vs-rest markers ---------------------------------------------------------------------------
 
@@ -383,6 +399,15 @@ _ab = ", ".join(f"{r(f'sum(value * a[{i + 1}])', 5)} AS ab_{t}" for i, t in enum
 _aa = ", ".join(f"{r(f'sum(a[{i + 1}] * a[{j + 1}])', 5)} AS aa_{i}_{j}" for i in range(T) for j in range(i, T))
 ORACLES["deconv_stats"] = f"""WITH {MIXTURE}
 SELECT sample_id, count(*) AS n, {r('sum(value * value)', 5)} AS bb, {_ab}, {_aa} FROM mx GROUP BY sample_id"""
+_gab = ", ".join(f"{r(f'coalesce(sum(v * a[{i + 1}]), 0)', 5)} AS ab_{t}" for i, t in enumerate(TISSUES))
+_gaa = ", ".join(
+    f"{r(f'coalesce(sum(a[{i + 1}] * a[{j + 1}]) FILTER (v IS NOT NULL), 0)', 5)} AS aa_{i}_{j}"
+    for i in range(T) for j in range(i, T)
+)
+ORACLES["deconv_all_samples"] = f"""WITH {MIXTURE},
+gx AS (SELECT sample_id, a, CASE WHEN (length(feature) * 7 + length(sample_id) * 3) % 5 <> 0 AND sample_id <> '{EMPTY_SAMPLE}'
+                                 THEN value END AS v FROM mx)
+SELECT sample_id, count(v) AS n, {r('coalesce(sum(v * v), 0)', 5)} AS bb, {_gab}, {_gaa} FROM gx GROUP BY sample_id"""
 
 # every support of the fractions: solve its equations with Gauss-Jordan steps, keep the feasible ones, take
 # the one of least error

@@ -13,6 +13,7 @@ from cohortgrid.matrix import Matrix, number
 from cohortgrid.operators import align, cohort, contrasts, linear, mixture, paired, quality, reduce
 from cohortgrid.operators.probability import reorder_scores, with_probabilities
 from cohortgrid.plans import studies
+from cohortgrid.sources.files import matrix_of_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -70,6 +71,40 @@ def lenient_cast(spark, sf_dir):
     )
 
 
+def csv_summary(spark, sf_dir, repeats, quoted_every):
+    """The embedding matrix written as CSV text, every vector repeats times in a row, and read back. Ids hold a comma
+    and a quote, and some values are quoted."""
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    width = e.select(F.size("x")).first()[0] * repeats
+    header = ",".join(["id", *[f'"f,{i}"' for i in range(1, width + 1)]])
+    values = F.flatten(F.array_repeat("x", repeats))
+
+    def text(v, i):
+        return F.when(i % quoted_every == 0, F.concat(F.lit('"'), v.cast("string"), F.lit('"'))).when(
+            i % 7 == 3, F.lit("none")
+        ).otherwise(v.cast("string"))
+
+    line = F.concat(F.lit('"s,""'), F.col("vec_id"), F.lit('",'), F.array_join(F.transform(values, text), ","))
+    matrix = matrix_of_lines(e.select(line.alias("line")), header)
+    known = F.size(F.filter("x", lambda v: v.isNotNull()))
+    weighted = F.aggregate(
+        F.transform("x", lambda v, i: F.coalesce(v, F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda a, v: a + v
+    )
+    return matrix.vectors.select(
+        "sample_id", F.size("x").alias("width"), known.alias("n_known"), rounded(weighted, 3).alias("weighted")
+    )
+
+
+@query
+def csv_matrix(spark, sf_dir):
+    return csv_summary(spark, sf_dir, 1, 3)
+
+
+@query
+def csv_matrix_wide(spark, sf_dir):
+    return csv_summary(spark, sf_dir, 33, 5)
+
+
 # Cohort
 
 
@@ -480,6 +515,23 @@ def deconv_stats(spark, sf_dir):
     )
 
 
+@query
+def deconv_all_samples(spark, sf_dir):
+    """From vectors with missing markers, and a sample that lacks all."""
+    profiles, tissues = views.mixture_profiles(spark, sf_dir)
+    cells = views.mixture_cells(spark, sf_dir)
+    gap = (F.length("feature") * 7 + F.length("sample_id") * 3) % 5 == 0
+    cells = cells.withColumn("value", F.when(~gap & (F.col("sample_id") != views.EMPTY_SAMPLE), F.col("value")))
+    vectors = mixture.profile_vectors(profiles, tissues)
+    stats = mixture.mixture_statistics(Matrix.from_cells(durable(cells)), vectors, tissues)
+    pairs = [(i, j) for i in range(len(tissues)) for j in range(i, len(tissues))]
+    return stats.select(
+        "sample_id", "n", rounded("bb", 5).alias("bb"),
+        *[rounded(F.get("ab", F.lit(i)), 5).alias(f"ab_{t.lower().replace(' ', '_')}") for i, t in enumerate(tissues)],
+        *[rounded(F.get("aa", F.lit(n)), 5).alias(f"aa_{i}_{j}") for n, (i, j) in enumerate(pairs)],
+    )
+
+
 def fractions(spark, sf_dir, mode, digits=6):
     profiles, tissues = views.mixture_profiles(spark, sf_dir)
     vectors = mixture.profile_vectors(profiles, tissues)
@@ -588,6 +640,18 @@ def study_discovery_detection(spark, sf_dir):
     return studies.discover_paired("multi.cancer.study_detection", tumors, matrix, PAIR_CUTOFF, PAIR_TOP)
 
 
+@query
+def paired_cells_sparse(spark, sf_dir):
+    """As cells. Two samples without a pair for every paired one lack the even markers, which are left out, as
+    they are from a matrix."""
+    cells = durable(views.paired_cells(spark, sf_dir))
+    odd = F.regexp_extract("feature", r"(\d+)$", 1).cast("int") % 2 == 1
+    others = [cells.where(odd).withColumn("sample_id", F.concat(F.lit(name), "sample_id")) for name in ("A", "B")]
+    tumors = views.tumor_samples(spark, sf_dir)
+    cells = cells.unionByName(others[0]).unionByName(others[1])
+    return studies.discover_paired("multi.cancer.study_detection", tumors, cells, PAIR_CUTOFF, PAIR_TOP)
+
+
 @query
 def study_discovery_disease(spark, sf_dir):
     samples = views.embedding_samples(spark, sf_dir).withColumn("disease_type", F.col("class"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortgrid.matrix import Matrix
 
+EMPTY_SAMPLE = "FRANCE"
 SEX_PREFIXES = {5: "chrX:", 6: "chrY:", 7: "chrM:"}
 
 

@@ -42,19 +42,21 @@ class Matrix:
 
         Cells are first made unique per (sample, position), which also combines repeats before the
         shuffle, so the list gathered per sample never exceeds the matrix width. Absent cells are NULL; a
-        cell given twice raises.
+        cell given twice raises. A sample that has none of the features keeps a row.
         """
         if names is None:
             shape = _numbered(durable(cells.select("feature").distinct()))
         else:
             shape = Matrix(cells, len(names), tuple(names))
         width = shape.width
-        placed = shape._with_names(cells, "feature").groupBy("sample_id", "ord").agg(
-            F.max("value").alias("value"), F.count("*").alias("copies")
+        placed = shape._with_names(cells, "feature", "left").groupBy("sample_id", "ord").agg(
+            F.max("value").alias("value"), F.count("ord").alias("copies")
         )
         repeated = F.raise_error(F.concat(F.lit("repeated cell of sample "), "sample_id")).cast("double")
-        once = placed.select("sample_id", "ord", F.when(F.col("copies") == 1, F.col("value")).otherwise(repeated).alias("value"))
-        packed = once.groupBy("sample_id").agg(F.collect_list(F.struct("ord", "value")).alias("p"))
+        once = placed.select("sample_id", "ord", F.when(F.col("copies") <= 1, F.col("value")).otherwise(repeated).alias("value"))
+        packed = once.groupBy("sample_id").agg(
+            F.collect_list(F.when(F.col("ord").isNotNull(), F.struct("ord", "value"))).alias("p")
+        )
         every = F.sequence(F.lit(0), F.lit(width - 1)) if width else F.array().cast("array<int>")
         absent = F.transform(
             F.array_except(every, F.col("p.ord")),
@@ -80,10 +82,14 @@ class Matrix:
             return list(self.listed)
         return [r["feature"] for r in self.features.orderBy("ord").collect()]
 
-    def _with_names(self, df: DataFrame, on: str) -> DataFrame:
+    def _with_names(self, df: DataFrame, on: str, how: str = "inner") -> DataFrame:
         if self.listed is not None and sum(map(len, self.listed)) * 4 + 8 * self.width <= BROADCAST_BYTES:
-            return df.join(F.broadcast(self.features), on)
-        return join_side(df, self.features, on)
+            return df.join(F.broadcast(self.features), on, how)
+        return join_side(df, self.features, on, how)
+
+    def positions_of(self, df: DataFrame) -> DataFrame:
+        """Add the position ord to rows with a feature; rows of features that the matrix lacks go."""
+        return self._with_names(df, "feature")
 
     def named(self, df: DataFrame) -> DataFrame:
         """Replace column ord by the feature name."""

@@ -11,13 +11,13 @@ MAX_CLASSES = 1000
 
 
 def parse_split(spec: str, strict: bool = False) -> tuple[str, str]:
-    """"<column>:<test value>"; strict wants exactly two non-empty parts, else further parts are ignored."""
-    parts = spec.split(":")
-    if strict and (len(parts) != 2 or not parts[0] or not parts[1]):
-        raise ValueError(f'split must be "<column>:<test value>", got "{spec}"')
-    if len(parts) < 2:
-        raise ValueError(f'split must be "<column>:<test value>", got "{spec}"')
-    return parts[0], parts[1]
+    """"<column>:<test value>". Text from a second colon on is ignored, or refused if strict; strict also refuses
+    an empty name or value."""
+    column, colon, rest = spec.partition(":")
+    value, more, _ = rest.partition(":")
+    if not colon or (strict and (more or not column or not value)):
+        raise ValueError(f"a split names a column and its test value, as in part:test; got {spec!r}")
+    return column, value
 
 
 def require_columns(samples: DataFrame, columns: list[str]) -> None:
@@ -53,15 +53,16 @@ def split_any_case(samples: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]
     return samples.where(~is_test), samples.where(is_test)
 
 
-def require_both_sides(samples: DataFrame, spec: str) -> None:
-    """Raise if the case-insensitive split leaves train or test empty."""
-    column, test_value = parse_split(spec, strict=True)
-    is_test = is_test_any_case(column, test_value)
-    n_test, n_train = samples.agg(F.count_if(is_test), F.count_if(~is_test)).first()
-    if not n_test:
-        raise ValueError(f'no test samples (no row where {column} is "{test_value}")')
-    if not n_train:
-        raise ValueError("no training samples (all rows are test rows)")
+def require_both_sides(samples: DataFrame, spec: str, any_case: bool = True) -> None:
+    """Raise if the split, by either rule, leaves train or test empty."""
+    column, test_value = parse_split(spec, strict=any_case)
+    require_columns(samples, [column])
+    col = F.col(quoted(column)).cast("string")
+    is_test = is_test_any_case(column, test_value) if any_case else col == test_value
+    counts = samples.agg(F.count_if(is_test).alias("test"), F.count_if(~is_test).alias("training")).first().asDict()
+    for side, n in counts.items():
+        if not n:
+            raise ValueError(f"the split {spec!r} leaves no {side} samples")
 
 
 def without_class(samples: DataFrame, column: str = STATUS, name: str = NORMAL) -> DataFrame:

@@ -21,10 +21,11 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortgrid.cluster import durable
 from cohortgrid.fixed import BINARY_CLASSIFIER, OVR_CLASSIFIER
-from cohortgrid.operators.partials import batches_for, collected, dense, limit_batches, list_column, summed
+from cohortgrid.operators.partials import collected, dense, list_column, summed
 
 CURVATURE_BYTES = 128 << 20
 MODEL_BYTES = 256 << 20
+STALLED = 1e-6
 
 
 @dataclass(frozen=True)
@@ -58,13 +59,14 @@ class LinearModel:
     passes: int = 0
 
     def scores(self, x="x"):
-        """Column: the raw margins as an array, one per class."""
+        """Column: the raw margins as an array, one per class; a vector with a missing value raises, as in the fit."""
         weights, bias = self.weights, self.bias
-        limit_batches(weights.shape[1])
 
         @F.arrow_udf(ArrayType(DoubleType()))
         def margins(column: pa.Array) -> pa.Array:
             rows = dense(column, weights.shape[1])
+            if not np.isfinite(rows).all():
+                raise ValueError("vectors to score must not have missing values")
             return list_column(rows @ weights.T + bias)
 
         return margins(x)
@@ -124,8 +126,7 @@ def _evaluate(train: DataFrame, problems: _Problems, w: np.ndarray, live: np.nda
             if curved:
                 out[1:, :size] += 2.0 * (xa.T @ (xa * ca[:, None]))
 
-    with batches_for(train, width):
-        sums = collected(summed(train, start, add), {int(k): (rows_of, size + 1) for k in live})
+    sums = collected(summed(train, start, add), {int(k): (rows_of, size + 1) for k in live})
     loss = np.array([sums[int(k)][0, size] for k in live])
     grad = np.array([sums[int(k)][0, :size] for k in live])
     curve = [sums[int(k)][1:, :size] for k in live] if curved else None
@@ -223,8 +224,11 @@ def _minimise(train: DataFrame, problems: _Problems, kind: str, tolerance: float
             total = penalty.value(trial[k]) + loss[j]
             if total > value[k] + 1e-4 * length[k] * promised[k] + 1e-13 * abs(value[k]):
                 length[k] *= 0.5
-                if length[k] < 1e-12:
-                    continue  # no further decrease in floating point
+                if length[k] < 1e-12:  # no further decrease in floating point
+                    left = penalty.violation(accepted[k], grad[k])
+                    if left > STALLED * max(1.0, scale[k]):
+                        raise RuntimeError(f"the fit of problem {k} stalled {left:.1e} from its optimum")
+                    continue
                 trial[k] = accepted[k] + length[k] * step[k]
                 still.append(k)
                 continue

@@ -1,22 +1,30 @@
 """Fractions of known profiles in each sample: x >= 0, sum x = 1, A x close to b.
 
-The heavy part is two sums of products per sample, made by Spark. What is solved per sample is as small as
-the number of tissues, and runs inside tasks over batches of samples.
+The heavy part is two products per batch of samples. What is solved per sample is as small as the number of
+tissues, and runs inside tasks over batches of samples.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from cohortgrid.cluster import durable, join_side, task_count
 from cohortgrid.fixed import MIXTURE_DRAWS
+from cohortgrid.matrix import Matrix
+from cohortgrid.operators.partials import dense, list_column
+
+RUN_BYTES = 32 << 20
 
 
 def profile_vectors(profiles: DataFrame, tissues: list[str]) -> DataFrame:
@@ -27,51 +35,68 @@ def profile_vectors(profiles: DataFrame, tissues: list[str]) -> DataFrame:
     return vectors.where(~F.exists("a", lambda v: v.isNull()))
 
 
-def _packed_outer(a, size: int):
-    """Upper triangle of a a', row by row."""
-
-    def row(i):
-        return F.transform(F.slice(a, i + 1, size - i), lambda v: v * F.get(a, F.lit(i)))
-
-    return F.concat(*[row(i) for i in range(size)])
-
-
 def _vector_sum(column):
     return vector_to_array(Summarizer.sum(array_to_vector(column)))
 
 
-def present_markers(profiles: DataFrame, cells: DataFrame) -> DataFrame:
-    """Profile rows of the features that occur in the data; the others are dropped without notice."""
-    return profiles.join(cells.select("feature").distinct(), "feature", "left_semi")
+def mixture_statistics(data: Matrix | DataFrame, profiles: DataFrame, tissues: list[str]) -> DataFrame:
+    """(sample_id, n, bb, ab, aa): known markers, b'b, A'b and the packed upper triangle of A'A over them.
 
+    Every sample of the matrix, or of the cells, has a row; n is 0 if it has none of the markers. Profile rows
+    of features that the data lacks have no effect.
 
-def mixture_statistics(cells: DataFrame, profiles: DataFrame, tissues: list[str]) -> DataFrame:
-    """(sample_id, n, bb, ab, aa): marker count, b'b, A'b and the packed upper triangle of A'A.
-
-    A sample with all markers shares one A'A, summed once over the profiles. Only samples that miss some
-    get an A'A of their own over the markers they have.
+    Vectors are cut to the markers and meet the profiles inside a task, so no cell is shuffled. Profiles go to
+    the tasks in runs of at most RUN_BYTES; the sums of several runs are added per sample.
     """
-    size = len(tissues)
-    used = durable(present_markers(profiles, cells))
-    known = cells.where(F.col("value").isNotNull())
-    matched = join_side(known, used, "feature")
-    products = [F.sum(F.get("a", F.lit(i)) * F.col("value")) for i in range(size)]
-    sums = durable(
-        matched.groupBy("sample_id").agg(
-            F.count("*").alias("n"), F.sum(F.col("value") * F.col("value")).alias("bb"), F.array(*products).alias("ab")
-        )
-    )
-    shared = used.agg(F.count("*").alias("n"), _vector_sum(_packed_outer(F.col("a"), size)).alias("aa")).first()
-    full = sums.where(F.col("n") == shared["n"]).withColumn("aa", F.array(*[F.lit(v) for v in shared["aa"] or []]))
-    partial = sums.where(F.col("n") < shared["n"])
-    if partial.isEmpty():
-        return full
-    own = (
-        join_side(matched, partial.select("sample_id"), "sample_id", "left_semi")
+    if not isinstance(data, Matrix):
+        listed = join_side(profiles.select("feature"), data.select("feature").distinct(), "feature", "left_semi")
+        data = Matrix.from_cells(data, sorted(r["feature"] for r in listed.collect()))
+    used = data.positions_of(profiles)
+    row_bytes = 8 * len(tissues) + 4
+    runs = max(1, math.ceil(used.count() * row_bytes / RUN_BYTES))
+    parts = [_run_sums(data.vectors, used.where(F.pmod("ord", F.lit(runs)) == i), len(tissues)) for i in range(runs)]
+    if runs == 1:
+        return parts[0]
+    return (
+        reduce(DataFrame.unionByName, map(durable, parts))
         .groupBy("sample_id")
-        .agg(_vector_sum(_packed_outer(F.col("a"), size)).alias("aa"))
+        .agg(F.sum("n").alias("n"), F.sum("bb").alias("bb"), _vector_sum("ab").alias("ab"), _vector_sum("aa").alias("aa"))
     )
-    return full.unionByName(partial.join(own, "sample_id"))
+
+
+def _run_sums(vectors: DataFrame, used: DataFrame, size: int) -> DataFrame:
+    """The statistics over one run of markers. Samples that know the same markers share one A'A of a batch."""
+    rows = used.select("ord", "a").toArrow()
+    order = np.argsort(rows.column("ord").to_numpy())
+    a = dense(rows.column("a"), size)[order]
+    take = rows.column("ord").to_numpy()[order].tolist()
+    upper = np.triu_indices(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = dense(batch.column("b"), len(a))
+            known = ~np.isnan(given)
+            b = np.where(known, given, 0.0)
+            patterns, of = np.unique(np.packbits(known, axis=1), axis=0, return_inverse=True)
+            aa = np.empty((batch.num_rows, len(upper[0])))
+            for i in range(len(patterns)):
+                same = of.ravel() == i
+                mine = a[known[np.argmax(same)]]
+                aa[same] = (mine.T @ mine)[upper]
+            yield pa.record_batch(
+                [
+                    batch.column("sample_id"),
+                    pa.array(known.sum(axis=1)),
+                    pa.array(np.einsum("ij,ij->i", b, b)),
+                    list_column(b @ a),
+                    list_column(aa),
+                ],
+                names=["sample_id", "n", "bb", "ab", "aa"],
+            )
+
+    places = F.from_json(F.lit(json.dumps(take)), "array<int>")
+    cut = vectors.select("sample_id", F.transform(places, lambda i: F.get("x", i)).alias("b"))
+    return cut.mapInArrow(run, "sample_id STRING, n LONG, bb DOUBLE, ab ARRAY<DOUBLE>, aa ARRAY<DOUBLE>")
 
 
 def _unpacked(packed: np.ndarray, size: int) -> np.ndarray:
@@ -180,7 +205,7 @@ def mixture_fractions(
     statistics: DataFrame, tissues: list[str], mode: str = "constrained_ls", draws: int = MIXTURE_DRAWS
 ) -> DataFrame:
     """(sample_id, fractions ARRAY) from the statistics: the constrained least-squares point, or the mean
-    of seeded posterior draws."""
+    of seeded posterior draws. A sample without known markers has NULL fractions."""
     if mode not in ("constrained_ls", "posterior_mean"):
         raise ValueError(f"unknown mode: {mode}")
     size = len(tissues)
@@ -189,18 +214,26 @@ def mixture_fractions(
         for frame in frames:
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 256]
-                aa = np.array([_unpacked(v, size) for v in part["aa"]])
-                ab = np.array(part["ab"].to_list())
-                if mode == "constrained_ls":
-                    x = [constrained_fit(a, b) for a, b in zip(aa, ab)]
-                else:
-                    seeds = [zlib.crc32(s.encode()) for s in part["sample_id"]]
-                    x = posterior_mean(aa, ab, part["bb"].to_numpy(), part["n"].to_numpy(), seeds, draws)
-                yield pd.DataFrame({"sample_id": part["sample_id"].to_numpy(), "fractions": [v.tolist() for v in x]})
+                told = part[part["n"] > 0]
+                x = []
+                if len(told):
+                    aa = np.array([_unpacked(v, size) for v in told["aa"]])
+                    ab = np.array(told["ab"].to_list())
+                    if mode == "constrained_ls":
+                        x = [constrained_fit(a, b) for a, b in zip(aa, ab)]
+                    else:
+                        seeds = [zlib.crc32(s.encode()) for s in told["sample_id"]]
+                        x = posterior_mean(aa, ab, told["bb"].to_numpy(), told["n"].to_numpy(), seeds, draws)
+                blank = part.loc[part["n"] == 0, "sample_id"].tolist()
+                yield pd.DataFrame(
+                    {
+                        "sample_id": [*told["sample_id"], *blank],
+                        "fractions": [*[v.tolist() for v in x], *[None] * len(blank)],
+                    }
+                )
 
     # the rows are few bytes but much work: spread them by number, not by size
-    tasks = min(task_count(statistics.sparkSession), statistics.count() // 8 + 1)
-    spread = statistics.repartition(tasks, "sample_id")
+    spread = statistics.repartition(task_count(statistics.sparkSession), "sample_id")
     return spread.select("sample_id", "n", "bb", "ab", "aa").mapInPandas(
         solve, "sample_id STRING, fractions ARRAY<DOUBLE>"
     )
@@ -213,8 +246,12 @@ def fraction_table(fractions: DataFrame, tissues: list[str]) -> DataFrame:
 
 
 def deconvolve(
-    cells: DataFrame, profiles: DataFrame, tissues: list[str], mode: str = "constrained_ls", draws: int = MIXTURE_DRAWS
+    data: Matrix | DataFrame,
+    profiles: DataFrame,
+    tissues: list[str],
+    mode: str = "constrained_ls",
+    draws: int = MIXTURE_DRAWS,
 ) -> DataFrame:
     """Tissue fractions of every sample: statistics, solve, wide table."""
-    statistics = mixture_statistics(cells, profiles, tissues)
+    statistics = mixture_statistics(data, profiles, tissues)
     return fraction_table(mixture_fractions(statistics, tissues, mode, draws), tissues)

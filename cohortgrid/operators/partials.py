@@ -1,20 +1,21 @@
-"""Sums of arrays over all rows, built per task with NumPy and merged by Spark."""
+"""Sums of arrays over all rows, built per task with NumPy and merged by Spark.
+
+Spark bounds the bytes of an Arrow batch (spark.sql.execution.arrow.maxBytesPerBatch), so wide vectors come in
+batches of fewer rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from cohortgrid.cluster import task_count
 
-BATCH_BYTES = 32 << 20
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 PARTIAL_SCHEMA = "block INT, row INT, v ARRAY<DOUBLE>"
 
 
@@ -33,29 +34,6 @@ def list_column(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
-def _batch_rows(width: int) -> int:
-    return max(1, BATCH_BYTES // (8 * max(width, 1)))
-
-
-@contextmanager
-def batches_for(df: DataFrame, width: int):
-    """Size the Arrow batches of the jobs inside so that a batch of vectors stays within BATCH_BYTES."""
-    spark = df.sparkSession
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(min(10000, _batch_rows(width))))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_SETTING, before)
-
-
-def limit_batches(width: int) -> None:
-    """For columns that are computed later: lower the session's batch size if vectors of this width need it."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None and int(spark.conf.get(BATCH_SETTING)) > _batch_rows(width):
-        spark.conf.set(BATCH_SETTING, str(_batch_rows(width)))
-
-
 def summed(
     df: DataFrame,
     start: Callable[[], dict[int, np.ndarray]],

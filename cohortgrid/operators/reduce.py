@@ -12,12 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortgrid.cluster import durable, join_side, task_count
-from cohortgrid.operators.partials import batches_for, collected, dense, limit_batches, list_column, summed
+from cohortgrid.operators.partials import collected, dense, list_column, summed
 from cohortgrid.operators.quality import near_zero_variance, scaler
 
 GRAM_LIMIT = 4096
@@ -45,7 +46,6 @@ class Reduction:
     def project(self, x="x"):
         """Column: the vector x on the components."""
         columns, mean, sd, loadings, width = self.columns, self.mean, self.sd, self.loadings, self.width
-        limit_batches(width)
 
         @F.arrow_udf(ArrayType(DoubleType()))
         def projected(column: pa.Array) -> pa.Array:
@@ -160,9 +160,8 @@ def fit_reduction(
 
 def _from_features(vectors, width, columns, mean, sd, k):
     size = len(columns)
-    with batches_for(vectors, width):
-        sums = feature_gram(vectors, width, columns, mean[columns], sd[columns])
-        gram = collected(sums.withColumn("block", F.lit(0)), {0: (size, size)})[0]
+    sums = feature_gram(vectors, width, columns, mean[columns], sd[columns])
+    gram = collected(sums.withColumn("block", F.lit(0)), {0: (size, size)})[0]
     if not np.isfinite(gram).all():
         raise ValueError("vectors to reduce must not have missing values")
     return np.linalg.eigh(gram)[1][:, ::-1][:, :k]
@@ -172,9 +171,8 @@ def _from_samples(vectors, width, columns, mean, sd, k):
     ids = [r["sample_id"] for r in vectors.select("sample_id").orderBy("sample_id").collect()]
     used = np.full(width, np.inf)
     used[columns] = sd[columns]
-    with batches_for(vectors, CHUNK):
-        sums = sample_gram(vectors, width, ids, mean, used)
-        gram = collected(sums.withColumn("block", F.lit(0)), {0: (len(ids), len(ids))})[0]
+    sums = sample_gram(vectors, width, ids, mean, used)
+    gram = collected(sums.withColumn("block", F.lit(0)), {0: (len(ids), len(ids))})[0]
     if not np.isfinite(gram).all():
         raise ValueError("vectors to reduce must not have missing values")
     values, u = np.linalg.eigh(gram)
@@ -203,9 +201,8 @@ def _from_samples(vectors, width, columns, mean, sd, k):
             held += shifted.T @ u_rows[at]
 
     shapes = {c: (min(width, (c + 1) * chunk_size) - c * chunk_size, k) for c in range((width - 1) // chunk_size + 1)}
-    with batches_for(vectors, chunk_size + k):
-        by_chunk = pieces.repartition(min(task_count(spark), width // chunk_size + 1), "chunk")
-        blocks = collected(summed(by_chunk, start, add), shapes)
+    by_chunk = pieces.repartition(min(task_count(spark), width // chunk_size + 1), "chunk")
+    blocks = collected(summed(by_chunk, start, add), shapes)
     return np.vstack([blocks[c] for c in sorted(blocks)])[columns]
 
 
@@ -214,15 +211,17 @@ def _from_rows(vectors, columns, mean, sd, width, k):
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
 
-    limit_batches(width)
-
     @F.arrow_udf(ArrayType(DoubleType()))
     def scaled(column: pa.Array) -> pa.Array:
         return list_column((dense(column, width)[:, columns] - mean[columns]) / sd[columns])
 
-    rows = durable(vectors.select(array_to_vector(scaled("x")).alias("v")))
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"))
-    return matrix.computeSVD(k, computeU=False).V.toArray()
+    # every step of the solver reads the rows again
+    rows = durable(vectors.select(array_to_vector(scaled("x")).alias("v"))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"))
+        return matrix.computeSVD(k, computeU=False).V.toArray()
+    finally:
+        rows.unpersist()
 
 
 def parse_reduction(spec: str | None) -> int:

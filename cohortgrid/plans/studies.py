@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortgrid import fixed
-from cohortgrid.cluster import durable, join_side, require_aligned, require_present
+from cohortgrid.cluster import durable, join_side, require_aligned, require_present, require_unique
 from cohortgrid.matrix import Matrix
 from cohortgrid.operators import cohort, contrasts, mixture, paired, quality
 from cohortgrid.operators.align import align_strict
@@ -16,6 +16,7 @@ from cohortgrid.operators.reduce import reduce_by_spec, reduce_if_wider
 
 def binary_study(samples: DataFrame, matrix: Matrix, split: str, components: int, score: str) -> DataFrame:
     """Normal against cancer: the test samples with all their columns and the raw score appended."""
+    cohort.require_both_sides(samples, split, any_case=False)
     train_x, test_x = cohort.split_exact(align_strict(cohort.with_split(samples, split), matrix), split)
     train_x, test_x, width = reduce_if_wider(train_x, test_x, matrix.width, components)
     model = fit_binary(train_x.withColumn("label", cohort.status_code()), width)
@@ -33,6 +34,7 @@ def surveillance(samples: DataFrame, matrix: Matrix, split: str) -> DataFrame:
 def _one_vs_rest(
     samples: DataFrame, matrix: Matrix, split: str, column: str, label: str, components: int | None
 ) -> DataFrame:
+    cohort.require_both_sides(samples, split, any_case=False)
     classes = cohort.sorted_classes(samples, column)
     train_x, test_x = cohort.split_exact(align_strict(cohort.with_split(samples, split), matrix), split)
     width = matrix.width
@@ -95,8 +97,7 @@ def discover_paired(
 ) -> DataFrame:
     """Marker set of the tissue studies, from a matrix or from cells.
 
-    Features of a matrix that lack half or more of all its samples are left out; cells are taken as they
-    are.
+    Features that lack half or more of all samples of the data are left out.
 
     By default every cancer type chooses from all tumors, so one choice serves all types; with by_type,
     each of the study's types chooses from its own tumors.
@@ -107,15 +108,19 @@ def discover_paired(
     known = tumors.where(F.col(fixed.CANCER_TYPE).isNotNull())
     if by_type:
         known = known.where(F.col(fixed.CANCER_TYPE).isin(*types[study]))
-    allowed = _half_present(data) if isinstance(data, Matrix) else None
-    markers = paired.paired_markers(data, known, cutoff, k, fixed.CANCER_TYPE if by_type else None, allowed)
+    group = fixed.CANCER_TYPE if by_type else None
+    markers = paired.paired_markers(data, known, cutoff, k, group, _half_present(data))
     return paired.marker_union(markers)
 
 
-def _half_present(matrix: Matrix) -> DataFrame:
-    """Names of the features that more than half of all samples have."""
-    flags = quality.missingness(matrix.positions(), matrix.vectors.count(), "ord").where("kept")
-    return durable(matrix.named(flags).select("feature"))
+def _half_present(data: Matrix | DataFrame) -> DataFrame:
+    """Names of the features that more than half of all samples have; a repeated sample raises."""
+    if not isinstance(data, Matrix):
+        total = data.select("sample_id").distinct().count()
+        return durable(quality.missingness(data, total).where("kept").select("feature"))
+    require_unique(data.vectors, "sample_id")
+    flags = quality.missingness(data.positions(), data.vectors.count(), "ord").where("kept")
+    return durable(data.named(flags).select("feature"))
 
 
 def discover_one_vs_rest(
@@ -132,16 +137,15 @@ def discover_one_vs_rest(
     columns = {fixed.STUDY_LIVER_DISEASE: fixed.DISEASE_TYPE, fixed.STUDY_RACE: fixed.RACE}
     if study not in columns:
         raise ValueError(f"not a plasma study: {study}")
+    cohort.require_both_sides(samples, split, any_case=False)
     train, _ = cohort.split_exact(samples, split)
     annotation = train.select("sample_id", F.col(columns[study]).cast("string").alias("class"))
     classes = cohort.sorted_classes(annotation, "class")
     if isinstance(data, Matrix):
         require_aligned(annotation, data.vectors, "sample_id")
-        allowed = _half_present(data)
     else:
-        present = durable(data.select("sample_id").distinct())
-        require_present(annotation, present, "sample_id", "samples")
-        allowed = durable(quality.missingness(data, present.count()).where("kept").select("feature"))
+        require_present(annotation, data, "sample_id", "samples")
+    allowed = _half_present(data)
     table = contrasts.effects_table(data, annotation, classes)
     table = join_side(table, allowed, "feature", "left_semi")
     markers = paired.marker_union(contrasts.top_markers(table, cutoff, per_class))
@@ -152,5 +156,11 @@ def discover_one_vs_rest(
     return markers
 
 
-def deconvolution(cells: DataFrame, profiles: DataFrame, tissues: list[str], mode: str = "posterior_mean") -> DataFrame:
-    return mixture.deconvolve(cells, profiles, tissues, mode)
+def deconvolution(
+    data: Matrix | DataFrame, profiles: DataFrame, tissues: list[str], mode: str = "posterior_mean"
+) -> DataFrame:
+    """Tissue fractions of every sample; a repeated sample, cell or profile raises."""
+    require_unique(profiles, "feature")
+    if isinstance(data, Matrix):
+        require_unique(data.vectors, "sample_id")
+    return mixture.deconvolve(data, profiles, tissues, mode)

@@ -36,18 +36,32 @@ def _header(spark: SparkSession, path: str) -> str:
 def read_matrix(spark: SparkSession, path: str, strict: bool = False, column_limit: int = COLUMN_LIMIT) -> Matrix:
     """Wide CSV: the first column is the key whatever its name, every other column is a feature.
 
-    Names are taken from the header as they are. Lenient reading turns bad numbers to NULL, strict raises.
-    One parser reads every width: quoted fields may hold commas and doubled quotes, a row with more or fewer
-    fields than the header raises. Beyond column_limit names are kept as a table.
+    Beyond column_limit names are kept as a table; rows are read alike.
     """
     _checked(path)
-    names = next(csv.reader([_header(spark, path)]))
     lines = spark.read.schema("line STRING").option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
-    rows = _spread(lines, path).mapInArrow(_split_lines(len(names)), "sample_id STRING, fields ARRAY<STRING>")
+    return matrix_of_lines(_spread(lines, path), _header(spark, path), strict, column_limit)
+
+
+def matrix_of_lines(
+    lines: DataFrame, header: str, strict: bool = False, column_limit: int = COLUMN_LIMIT
+) -> Matrix:
+    """CSV text, one row of the matrix per row of lines(line).
+
+    Names are taken from the header as they are. Lenient reading turns bad numbers to NULL, strict raises.
+    Quoted fields may hold commas and doubled quotes, but no line breaks; a row with more or fewer fields than
+    the header raises, and so does an open quote. Empty lines are skipped.
+    """
+    names = _fields(header)
+    rows = lines.select("line").mapInArrow(_split_lines(len(names)), "sample_id STRING, fields ARRAY<STRING>")
     vectors = rows.select("sample_id", F.transform("fields", lambda v: number(v, strict)).alias("x"))
     if len(names) <= column_limit:
         return Matrix.from_vectors(vectors, names[1:])
-    return Matrix(vectors, len(names) - 1, None, named_positions(spark, names[1:]))
+    return Matrix(vectors, len(names) - 1, None, named_positions(lines.sparkSession, names[1:]))
+
+
+def _fields(line: str) -> list[str]:
+    return next(csv.reader([line], strict=True))
 
 
 def _split_lines(width: int):
@@ -56,7 +70,7 @@ def _split_lines(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, fields = [], []
-            for row in csv.reader(line for line in batch.column(0).to_pylist() if line):
+            for row in map(_fields, filter(None, batch.column(0).to_pylist())):
                 if len(row) != width:
                     raise ValueError(f"a row has {len(row)} fields, the header {width}: {row[:1]}")
                 keys.append(row[0])
@@ -75,11 +89,11 @@ def read_discovery_cells(spark: SparkSession, path: str) -> DataFrame:
     return matrix.named(drop_half_missing(matrix.positions(), total, "ord")).select("sample_id", "feature", "value")
 
 
-def read_annotation(spark: SparkSession, path: str, as_text: bool = False) -> DataFrame:
-    """Annotation CSV with a header. Typed: the text NA is missing. As text: every column stays text, and
-    the usual spellings of a missing value are NULL."""
-    if not as_text:
-        return spark.read.csv(path, header=True, inferSchema=True, nullValue=MISSING_TEXT)
+def read_annotation(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Annotation CSV with a header. Every column stays text, so that ids, split values and carried columns are
+    what the file says. NA is NULL; strict takes every usual spelling of a missing value as NULL."""
+    if not strict:
+        return spark.read.csv(path, header=True, nullValue=MISSING_TEXT)
     df = spark.read.csv(path, header=True)
     return df.select(
         *[F.when(~F.col(quoted(c)).isin(*MISSING_TEXTS_STRICT), F.col(quoted(c))).alias(c) for c in df.columns]

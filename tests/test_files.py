@@ -60,10 +60,19 @@ def test_discovery_cells_drop_half_missing(spark, wide):
 def test_annotation(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text("sample_id,age,train_or_test\ns1,40,1\ns2,NA,0\ns3,50,nan\n")
-    typed = files.read_annotation(spark, str(path))
-    assert dict(typed.dtypes)["age"] == "int" and [r["age"] for r in typed.collect()] == [40, None, 50]
-    text = files.read_annotation(spark, str(path), as_text=True)
-    assert [tuple(r) for r in text.collect()] == [("s1", "40", "1"), ("s2", None, "0"), ("s3", "50", None)]
+    text = files.read_annotation(spark, str(path))
+    assert [tuple(r) for r in text.collect()] == [("s1", "40", "1"), ("s2", None, "0"), ("s3", "50", "nan")]
+    strict = files.read_annotation(spark, str(path), strict=True)
+    assert [tuple(r) for r in strict.collect()] == [("s1", "40", "1"), ("s2", None, "0"), ("s3", "50", None)]
+    path.write_text("sample_id,is_test,dose\n001,TRUE,1.50\n")
+    assert tuple(files.read_annotation(spark, str(path)).first()) == ("001", "TRUE", "1.50")
+
+
+def test_open_quote_raises(spark, tmp_path):
+    path = tmp_path / "open.csv"
+    path.write_text('id,a\n"s1,1\ns2,2\n')
+    with pytest.raises(Exception, match="unexpected end of data"):
+        files.read_matrix(spark, str(path)).vectors.collect()
 
 
 def test_feature_lists(spark, tmp_path):

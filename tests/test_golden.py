@@ -19,7 +19,7 @@ CASES = {
 
 def run(spark, golden, study):
     files = CASES[study]
-    samples = read_annotation(spark, golden(files + "_sample.csv"), as_text=study == "disease")
+    samples = read_annotation(spark, golden(files + "_sample.csv"), strict=study == "disease")
     matrix = read_matrix(spark, golden(files + "_data.csv"), strict=study == "disease")
     extra = []
     if study in ("disease", "race"):

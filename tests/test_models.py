@@ -10,6 +10,7 @@ import cohortgrid.operators.linear as linear
 import cohortgrid.operators.reduce as reduce
 from cohortgrid.matrix import Matrix
 from cohortgrid.operators import contrasts, mixture
+from cohortgrid.plans import studies
 from cohortgrid.streaming.scoring import score_arriving, write_arriving
 
 
@@ -306,6 +307,42 @@ def test_fractions_against_brute_force(spark):
         assert np.allclose([row[t] for t in tissues], want, atol=1e-8)
 
 
+@pytest.mark.parametrize("run_bytes", [mixture.RUN_BYTES, 300])
+def test_no_sample_is_lost(spark, monkeypatch, run_bytes):
+    monkeypatch.setattr(mixture, "RUN_BYTES", run_bytes)
+    rng = np.random.default_rng(14)
+    a, _, b = make_mixture(rng, markers=20)
+    profiles, _ = mixture_frames(spark, a, b)
+    names = ["other", *[f"m{i}" for i in reversed(range(20))]]
+    rows = [(f"s{s}", [1.0, *b[s, ::-1].tolist()]) for s in range(6)] + [("blank", [1.0] + [None] * 20)]
+    matrix = Matrix.from_vectors(spark.createDataFrame(rows, "sample_id STRING, x ARRAY<DOUBLE>"), names)
+    for data in (matrix, matrix.cells()):
+        got = {r["sample_id"]: r for r in mixture.mixture_statistics(data, profiles, list("abcd")).collect()}
+        assert {k: r["n"] for k, r in got.items()} == {**{f"s{s}": 20 for s in range(6)}, "blank": 0}
+        for s in range(6):
+            assert np.allclose(got[f"s{s}"]["ab"], a.T @ b[s]) and np.isclose(got[f"s{s}"]["bb"], b[s] @ b[s])
+            assert np.allclose(got[f"s{s}"]["aa"], (a.T @ a)[np.triu_indices(4)])
+        table = {r["sample_id"]: r[1:] for r in mixture.deconvolve(data, profiles, list("abcd")).collect()}
+        assert len(table) == 7 and table["blank"] == (None,) * 4
+    twice = Matrix.from_vectors(matrix.vectors.unionByName(matrix.vectors), names)
+    with pytest.raises(ValueError, match="duplicate sample_id"):
+        studies.deconvolution(twice, profiles, list("abcd"))
+    with pytest.raises(Exception, match="repeated cell"):
+        mixture.deconvolve(matrix.cells().unionByName(matrix.cells()), profiles, list("abcd")).collect()
+
+
+def test_scoring_refuses_missing_values_and_leaves_settings(spark):
+    before = dict(spark.conf.getAll)
+    model = linear.LinearModel(np.ones((1, 2)), np.zeros(1), ("1",))
+    rows = spark.createDataFrame([("s", [1.0, 2.0]), ("t", [None, 9.0])], "sample_id STRING, x ARRAY<DOUBLE>")
+    assert rows.where("sample_id = 's'").select(model.score("x").alias("v")).first()["v"] == 3.0
+    with pytest.raises(Exception, match="to score must not have missing values"):
+        rows.select(model.score("x")).collect()
+    wide = linear.LinearModel(np.ones((3, 5_000_000)), np.zeros(3), ("a", "b", "c"))
+    wide.scores("x")
+    assert dict(spark.conf.getAll) == before
+
+
 def test_posterior_is_seeded_and_near_the_truth(spark):
     rng = np.random.default_rng(12)
     a, truth, b = make_mixture(rng, markers=80)

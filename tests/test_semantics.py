@@ -41,10 +41,12 @@ def test_any_case_split_trains_on_missing(samples):
 
 
 def test_empty_side_raises(samples):
-    with pytest.raises(ValueError, match="no test samples"):
+    with pytest.raises(ValueError, match="leaves no test"):
         cohort.require_both_sides(samples, "part:nothing")
-    with pytest.raises(ValueError, match="no training"):
+    with pytest.raises(ValueError, match="leaves no training"):
         cohort.require_both_sides(samples.where("sample_id = 'd'"), "part:test")
+    with pytest.raises(ValueError, match="leaves no test"):
+        cohort.require_both_sides(samples, "part:TEST", any_case=False)
 
 
 @pytest.mark.parametrize("spec", ["part", "part:", ":test", "part:test:more", ""])
@@ -101,6 +103,12 @@ def test_vectors_from_cells_fill_and_sort(spark):
     assert {r["sample_id"]: r["x"] for r in matrix.vectors.collect()} == {"s": [1.0, 2.0, None], "t": [None, None, 5.0]}
 
 
+def test_sample_without_listed_features_stays(spark):
+    cells = cells_of(spark, [("s", "a", 1.0), ("t", "q", 2.0), ("t", "r", 3.0), ("u", "q", None)])
+    matrix = Matrix.from_cells(cells, ["a", "b"])
+    assert {r["sample_id"]: r["x"] for r in matrix.vectors.collect()} == {"s": [1.0, None], "t": [None] * 2, "u": [None] * 2}
+
+
 def test_repeated_cell_raises(spark):
     cells = cells_of(spark, [("s", "a", 1.0), ("s", "a", 2.0)])
     with pytest.raises(PySparkException, match="repeated cell of sample s"):
@@ -250,6 +258,15 @@ def test_paired_rules(spark):
         assert chosen(paired.paired_markers(matrix, tumors, 0.5, k)) == chosen(paired.paired_markers(cells, tumors, 0.5, k))
 
 
+def test_cells_and_matrix_leave_out_the_same_sparse_markers(spark):
+    cells = pair_cells(spark, {"up": [(1.0, 0.0)] * 2, "sparse": [(1.0, 0.0)] * 2})
+    cells = cells.unionByName(cells_of(spark, [(f"x{i}", "up", 0.0) for i in range(5)]))
+    tumors = tumors_of(spark, 2).withColumn("cancer_type", F.lit("liver_cancer"))
+    for data in (cells, Matrix.from_cells(cells)):
+        got = studies.discover_paired("liver.cancer.study", tumors, data, 0.5, 5)
+        assert [r["feature"] for r in got.collect()] == ["up"]
+
+
 def test_absent_row_poisons_too(spark):
     cells = pair_cells(spark, {"a": [(1.0, 0.0)] * 2, "b": [(1.0, 0.0)] * 2}).where(
         "NOT (sample_id = 'p1_normal.tissue' AND feature = 'b')"
