@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from cohortgrid.cluster import durable, join_side, task_count
+from cohortgrid.cluster import durable, task_count
 from cohortgrid.fixed import MIXTURE_DRAWS
 from cohortgrid.matrix import Matrix
 from cohortgrid.operators.partials import dense, list_column
@@ -48,9 +48,9 @@ def mixture_statistics(data: Matrix | DataFrame, profiles: DataFrame, tissues: l
     Vectors are cut to the markers and meet the profiles inside a task, so no cell is shuffled. Profiles go to
     the tasks in runs of at most RUN_BYTES; the sums of several runs are added per sample.
     """
+    profiles = durable(profiles.select("feature", "a"))
     if not isinstance(data, Matrix):
-        listed = join_side(profiles.select("feature"), data.select("feature").distinct(), "feature", "left_semi")
-        data = Matrix.from_cells(data, sorted(r["feature"] for r in listed.collect()))
+        data = Matrix.from_cells(data, sorted(r["feature"] for r in profiles.select("feature").collect()))
     used = data.positions_of(profiles)
     row_bytes = 8 * len(tissues) + 4
     runs = max(1, math.ceil(used.count() * row_bytes / RUN_BYTES))
