@@ -201,6 +201,8 @@ top AS (SELECT * FROM tp WHERE rank <= {per_class})"""
 
 ORACLES["ovr_markers"] = f"""WITH {EMBEDDING}, {_profile('chrom')}, {_top(0.02, 6)}
 SELECT class, feature, CAST(rank AS INTEGER) AS rank, {r('logfc', 8)} AS logfc, {r('class_diff', 8)} AS class_diff FROM top"""
+ORACLES["ovr_markers_many"] = f"""WITH {EMBEDDING}, {_profile('chrom')}, {_top(0.02, 2000)}
+SELECT class, feature, CAST(rank AS INTEGER) AS rank, {r('logfc', 8)} AS logfc FROM top"""
 ORACLES["ovr_marker_counts"] = f"""WITH {EMBEDDING}, {_profile('chrom')}, {_top(0.02, 6)}
 SELECT class, count(*) AS n_markers FROM top GROUP BY class"""
 _chrom_high = "SELECT feature FROM chrom GROUP BY feature HAVING avg(value) > 0"
@@ -211,9 +213,6 @@ ORACLES["two_class_markers"] = f"""WITH {EMBEDDING},
 two AS (SELECT sample_id, cancer_status AS class, feature, value FROM chrom), {_profile('two').replace('FROM pc JOIN pa USING (feature))', 'FROM pc JOIN pa USING (feature) WHERE 2 * pc.mean - pa.means > 0)')}, {_top(0.005, 6)}
 SELECT class, feature, CAST(rank AS INTEGER) AS rank, {r('logfc', 8)} AS logfc FROM top"""
 
-ORACLES["ranked_tests"] = f"""WITH {EMBEDDING}, {_profile('cells')}
-SELECT class, feature, CAST(row_number() OVER (PARTITION BY class ORDER BY logfc DESC, feature) AS INTEGER) AS place FROM fx"""
-
 _gappy_kept = """
 gk AS (SELECT * FROM gappy WHERE feature IN (
   SELECT feature FROM gappy GROUP BY feature HAVING count(value) > 0 AND count(*) - count(value) < 0.5 * count(*)))"""
@@ -251,7 +250,7 @@ def _tail(t: str, df: str) -> str:
     return f"({area(start)} / {area(f'(-{edge})')})"
 
 
-ORACLES["moderated_t"] = f"""WITH RECURSIVE {EMBEDDING}, {_profile('cells', 10.0)},
+_tests = f"""WITH RECURSIVE {EMBEDDING}, {_profile('cells', 10.0)},
 h AS (SELECT DISTINCT feature, CAST(df AS DOUBLE) AS df, s2 FROM fx),
 ev AS (SELECT ln(s2) - {_psi('(df / 2)')} + ln(df / 2) AS z, {_psi1('(df / 2)')} AS tri, df, s2 FROM h),
 mo AS (SELECT avg(z) AS zm, var_samp(z) - avg(tri) AS target, sum(df) AS pooled, avg(s2) AS s2m FROM ev),
@@ -262,12 +261,18 @@ pr AS (SELECT 2 * lo AS d0, exp(zm + {_psi('lo')} - ln(lo)) AS s0, target, poole
 md AS (SELECT feature, class, logfc, CASE WHEN target > 0 THEN (d0 * s0 + df * s2) / (d0 + df) ELSE s2m END AS s2_post,
               CASE WHEN target > 0 THEN least(d0 + df, pooled) ELSE pooled END AS dft, unscaled FROM fx, pr),
 tt AS (SELECT *, (abs(logfc) - 1) / (unscaled * sqrt(s2_post)) AS near, (abs(logfc) + 1) / (unscaled * sqrt(s2_post)) AS far FROM md),
-pv AS (SELECT *, {_tail('near', 'dft')} + {_tail('far', 'dft')} AS p FROM tt),
+pv AS (SELECT *, {_tail('near', 'dft')} + {_tail('far', 'dft')} AS p FROM tt)"""
+
+ORACLES["moderated_t"] = f"""{_tests},
 rk AS (SELECT *, rank() OVER (PARTITION BY class ORDER BY p) AS rn, count(*) OVER (PARTITION BY class) AS m FROM pv),
 aj AS (SELECT *, least(1, min(p * m / rn) OVER (PARTITION BY class ORDER BY p DESC)) AS adj FROM rk)
 SELECT feature, class, {r('s2_post')} AS s2_post, {r('sign(logfc) * greatest(near, 0)')} AS t, {r('p')} AS p, {r('adj')} AS adj_p,
        CASE WHEN adj < 0.05 THEN CAST(sign(logfc) AS INTEGER) ELSE 0 END AS decision FROM aj"""
 
+ORACLES["ranked_tests"] = f"""{_tests},
+rd AS (SELECT class, feature, {r('p')} AS p, {r('logfc')} AS logfc FROM pv)
+SELECT class, feature, p, CAST(row_number() OVER (PARTITION BY class ORDER BY p, logfc DESC, feature) AS INTEGER) AS place FROM rd"""
+
 ORACLES["bh_adjust"] = f"""WITH t AS (SELECT o_orderkey, o_orderpriority AS contrast, o_totalprice * 100 % 1000003 / 1000003 AS p FROM orders),
 k AS (SELECT *, count(*) OVER (PARTITION BY contrast ORDER BY p) AS seen, count(*) OVER (PARTITION BY contrast) AS m FROM t),
 a AS (SELECT *, least(1.0, min(p * m / seen) OVER (PARTITION BY contrast ORDER BY p DESC)) AS adj FROM k)

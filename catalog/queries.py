@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalog import views
 from cohortgrid.cluster import durable
@@ -196,7 +196,7 @@ def missing_filter(spark, sf_dir):
 @query
 def missing_samples(spark, sf_dir):
     matrix = views.gappy_matrix(spark, sf_dir)
-    cells = quality.drop_all_missing(matrix.positions())
+    cells = quality.drop_all_missing(matrix.positions(together=False))
     return quality.missingness(cells, matrix.width, "sample_id")
 
 
@@ -216,7 +216,7 @@ def standardized(spark, sf_dir, kind):
     matrix = views.embedding_matrix(spark, sf_dir)
     train, _ = cohort.split_exact(samples, SPLIT)
     fitted = durable(quality.scaler(matrix.positions(train.select("sample_id")), kind, "ord"))
-    scaled = matrix.named(quality.standardize(matrix.positions(), fitted, "ord"))
+    scaled = matrix.named(quality.standardize(matrix.positions(together=False), fitted, "ord"))
     return scaled.select("sample_id", "feature", rounded("value").alias("value"))
 
 
@@ -314,12 +314,18 @@ def pairwise_contrasts(spark, sf_dir):
     return contrast_rows(contrasts.estimate(profile, contrasts.pairwise(classes)))
 
 
-def marker_rows(spark, sf_dir) -> DataFrame:
+def marker_rows(spark, sf_dir, per_class=PER_CLASS) -> DataFrame:
     annotation = class_annotation(spark, sf_dir)
     classes = cohort.sorted_classes(annotation, "class")
     matrix = views.embedding_matrix(spark, sf_dir, chromosomes=True)
     table = contrasts.effects_table(matrix, annotation, classes)
-    return contrasts.top_markers(table, CUTOFF, PER_CLASS)
+    return contrasts.top_markers(table, CUTOFF, per_class)
+
+
+@query
+def ovr_markers_many(spark, sf_dir):
+    """More markers per class than Spark cuts before a shuffle."""
+    return marker_rows(spark, sf_dir, 2000).select("class", "feature", "rank", rounded("logfc", 8).alias("logfc"))
 
 
 @query
@@ -351,14 +357,17 @@ def two_class_markers(spark, sf_dir):
     return ranked.select("class", "feature", "rank", rounded("logfc", 8).alias("logfc"))
 
 
-@query
-def moderated_t(spark, sf_dir):
-    """Values times 10, so that some contrasts pass the threshold of 1."""
+def moderated(spark, sf_dir) -> DataFrame:
+    """One-vs-rest tests of values times 10, so that some contrasts pass the threshold of 1."""
     profile, classes = profile_of(spark, sf_dir, views.embedding_matrix(spark, sf_dir, times=10.0))
     fitted = durable(profile)
     prior = contrasts.variance_prior(fitted)
-    tests = contrasts.moderated_test(contrasts.estimate(fitted, contrasts.one_vs_rest(classes)), prior)
-    adjusted = contrasts.decide(contrasts.adjust_bh(tests))
+    return contrasts.moderated_test(contrasts.estimate(fitted, contrasts.one_vs_rest(classes)), prior)
+
+
+@query
+def moderated_t(spark, sf_dir):
+    adjusted = contrasts.decide(contrasts.adjust_bh(moderated(spark, sf_dir)))
     return adjusted.select(
         "feature", F.col("main").alias("class"), "decision",
         *[rounded(c).alias(c) for c in ("s2_post", "t", "p", "adj_p")],
@@ -376,11 +385,10 @@ def bh_adjust(spark, sf_dir):
 
 @query
 def ranked_tests(spark, sf_dir):
-    """Place of every one-vs-rest contrast by size within its class (the order marker tables are listed in)."""
-    profile, classes = profile_of(spark, sf_dir, views.embedding_matrix(spark, sf_dir))
-    rows = contrasts.estimate(profile, contrasts.one_vs_rest(classes))
-    order = Window.partitionBy("main").orderBy(F.desc("logfc"), "feature")
-    return rows.select(F.col("main").alias("class"), "feature", F.row_number().over(order).alias("place"))
+    """Place of every one-vs-rest test within its contrast, by p and then by size; p and logfc are rounded
+    first, so that a place does not depend on the last digits."""
+    tests = moderated(spark, sf_dir).withColumn("p", rounded("p")).withColumn("logfc", rounded("logfc"))
+    return contrasts.ranked_table(tests).select(F.col("main").alias("class"), "feature", "p", F.col("rank").alias("place"))
 
 
 # Reduction

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cohortgrid.cluster import BROADCAST_BYTES, durable, fits_broadcast, join_side, require_present
 from cohortgrid.fixed import MISSING_TEXTS_STRICT
 
+RUN_FEATURES = 4096
+
 
 @dataclass(frozen=True)
 class Matrix:
@@ -95,19 +97,19 @@ class Matrix:
         """Replace column ord by the feature name."""
         return self._with_names(df, "ord").select("feature", *[F.col(quoted(c)) for c in df.columns if c != "ord"])
 
-    def positions(self, samples: DataFrame | None = None) -> DataFrame:
+    def positions(self, samples: DataFrame | None = None, together: bool = True) -> DataFrame:
         """One row per cell, keyed by position: (sample_id, ord, value), with the columns of samples.
 
-        Samples are joined before the vectors are unfolded. Statistics per feature run on positions; the
-        names are joined to their results, which are one row per feature.
+        Samples are joined before the vectors are unfolded. Statistics per feature run on positions, whose
+        features stand together (see unfolded); the names are joined to their results, which are one row
+        per feature. With together=False cells stay with their sample.
         """
         vectors = self.vectors if samples is None else join_side(self.vectors, samples, "sample_id")
-        kept = [F.col(quoted(c)) for c in vectors.columns if c != "x"]
-        return vectors.select(*kept, F.posexplode("x").alias("ord", "value"))
+        return unfolded(vectors, "x", self.width, together)
 
     def cells(self, samples: DataFrame | None = None) -> DataFrame:
         """One row per cell: (sample_id, feature, value), with the columns of samples."""
-        unfolded = self._with_names(self.positions(samples), "ord")
+        unfolded = self._with_names(self.positions(samples, together=False), "ord")
         first = ["sample_id", "feature", "value"]
         return unfolded.select(*first, *[F.col(quoted(c)) for c in unfolded.columns if c not in (*first, "ord")])
 
@@ -129,6 +131,26 @@ class Matrix:
         )
 
 
+def unfolded(vectors: DataFrame, column: str, width: int, together: bool = True) -> DataFrame:
+    """Replace an array column by (ord, value), one row per entry, the entries of a feature together.
+
+    A task holds few wide vectors, so sums per feature would combine next to nothing before their shuffle.
+    Wide vectors are therefore cut into runs of features first, and the runs travel as packed arrays to the
+    task of their features; a run that fills more than one task is split by adaptive execution. Vectors of
+    one run stay where they are: every task combines all its rows per feature.
+    """
+    kept = [F.col(quoted(c)) for c in vectors.columns if c != column]
+    if width <= RUN_FEATURES or not together:
+        return vectors.select(*kept, F.posexplode(column).alias("ord", "value"))
+    cut = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1), F.lit(RUN_FEATURES)),
+        lambda start: F.struct(start.alias("_start"), F.slice(column, start + 1, RUN_FEATURES).alias("_part")),
+    )
+    runs = vectors.select(*kept, F.inline(cut)).hint("rebalance", "_start")
+    placed = runs.select(*kept, "_start", F.posexplode("_part").alias("_at", "value"))
+    return placed.select(*kept, (F.col("_start") + F.col("_at")).alias("ord"), "value")
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -11,7 +11,7 @@ import math
 from dataclasses import dataclass
 from itertools import combinations, permutations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortgrid.cluster import durable, join_side
 from cohortgrid.fixed import (
@@ -265,11 +265,29 @@ def top_markers(
     table: DataFrame, cutoff: float = MARKER_DIFF_CUTOFF, per_class: int = MARKERS_PER_CLASS
 ) -> DataFrame:
     """Per class, the features with the largest |logfc| among those with class_diff over the cutoff and
-    off the sex and mitochondrial chromosomes; the feature name settles ties. Spark cuts every task's
-    rows to per_class before the shuffle."""
+    off the sex and mitochondrial chromosomes; the feature name settles ties.
+
+    Up to the session's group limit, Spark cuts every task's rows to per_class before the shuffle. Beyond
+    it, the rows of a class are ranked by ranges, so that no task gets a whole class."""
     passing = table.where((F.abs("class_diff") > cutoff) & off_sex_and_mito_prefix())
-    order = Window.partitionBy("class").orderBy(F.desc(F.abs("logfc")), F.desc("logfc"), F.asc("feature"))
-    return passing.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class)
+    order = [F.desc(F.abs("logfc")), F.desc("logfc"), F.asc("feature")]
+    cut = int(table.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if per_class > cut:
+        return ranked(passing, "class", order).where(F.col("rank") <= per_class)
+    window = Window.partitionBy("class").orderBy(*order)
+    return passing.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= per_class)
+
+
+def ranked(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
+    """Add rank, 1 for the first row of each `by` group. Rows are laid out by range of (group, order) and
+    numbered inside each range; a table with a row per range and group links the ranges."""
+    ranged = durable(rows.repartitionByRange(F.col(by), *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(by, "_range").agg(F.count("*").alias("_size"))
+    starts = sizes.select(by, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order))
+    linked = join_side(ranged.withColumn("_inside", inside), durable(starts), [by, "_range"])
+    return linked.withColumn("rank", (F.col("_start") + F.col("_inside")).cast("int")).drop("_start", "_inside", "_range")
 
 
 def marker_counts(markers: DataFrame) -> DataFrame:
@@ -277,5 +295,5 @@ def marker_counts(markers: DataFrame) -> DataFrame:
 
 
 def ranked_table(tests: DataFrame) -> DataFrame:
-    """Tests by p, then by falling logfc, per contrast: a distributed sort."""
-    return tests.orderBy("contrast", "p", F.desc("logfc"), "feature")
+    """Add the rank of every test within its contrast: by p, then by falling logfc, then by feature."""
+    return ranked(tests, "contrast", [F.asc("p"), F.desc("logfc"), F.asc("feature")])

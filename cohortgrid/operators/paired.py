@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortgrid.cluster import durable, join_side, require_present, require_unique
 from cohortgrid.fixed import NORMAL_TAG, SEX_AND_MITO, TUMOR_TAG
-from cohortgrid.matrix import Matrix
+from cohortgrid.matrix import Matrix, unfolded
 from cohortgrid.operators.cohort import sorted_classes
 
 
@@ -40,14 +40,14 @@ def pair_differences(cells: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def vector_differences(matrix: Matrix, pairs: DataFrame) -> DataFrame:
     """(grp, ord, diff) from vectors: the two vectors of a pair meet, not their cells, so the shuffle carries
-    bare numbers; cells unfold after it."""
+    bare numbers; cells unfold after it, by runs of features."""
     sided = join_side(matrix.vectors, pairs, "sample_id")
     side = {
         s: sided.where(F.col("side") == s).select("grp", "pair_id", F.col("x").alias(s)) for s in ("tumor", "normal")
     }
     both = side["tumor"].join(side["normal"], ["grp", "pair_id"])
     gap = F.zip_with("tumor", "normal", lambda t, n: t - n)
-    return both.select("grp", F.posexplode(gap).alias("ord", "diff"))
+    return unfolded(both.select("grp", gap.alias("gap")), "gap", matrix.width).withColumnRenamed("value", "diff")
 
 
 def per_group(values: dict[str, int]) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from cohortgrid.cluster import durable, join_side
 from cohortgrid.fixed import MISSING_SHARE, NZV_FREQ_RATIO, NZV_UNIQUE_PERCENT
 
+HASH_WORDS = 16  # of 64 hash buckets each
+
 
 def missingness(cells: DataFrame, total: int, key: str = "feature") -> DataFrame:
     """Missing cells per key out of a dense grid of `total` cells, and whether the key is kept.
@@ -66,6 +68,35 @@ def near_zero_variance(
     return measured.withColumn("near_zero", (F.col("n_distinct") <= 1) | low)
 
 
+def varying(
+    cells: DataFrame,
+    total: int,
+    freq_ratio: float = NZV_FREQ_RATIO,
+    unique_percent: float = NZV_UNIQUE_PERCENT,
+    key: str = "feature",
+) -> DataFrame:
+    """Keys that near_zero_variance does not flag, with values counted for the doubtful ones only.
+
+    One aggregate settles most keys: equal extremes are one distinct value; a key with freq_ratio + 1 values
+    or fewer cannot have a value dominate that much; and a key whose values fall in more hash buckets than
+    the flag allows distinct values has too many. Buckets fill up beyond 100 * 64 * HASH_WORDS samples; keys
+    are then doubtful and their values are counted.
+    """
+    hashed = cells.select(key, "value", F.when(F.col("value").isNotNull(), F.xxhash64(F.col("value") + 0.0)).alias("_h"))
+    bit = F.expr("shiftleft(1L, CAST(_h & 63 AS INT))")
+    word = F.pmod(F.shiftright("_h", 6), F.lit(HASH_WORDS))
+    marks = [F.bit_or(F.when(word == w, bit)).alias(f"_m{w}") for w in range(HASH_WORDS)]
+    extent = hashed.groupBy(key).agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("present"), *marks
+    )
+    buckets = sum((F.coalesce(F.bit_count(f"_m{w}"), F.lit(0)) for w in range(HASH_WORDS)), F.lit(0))
+    many = (F.col("present") <= freq_ratio + 1) | (100.0 * buckets / F.lit(float(total)) > unique_percent)
+    settled = durable(extent.where("low < high").select(key, many.alias("many")))
+    doubtful = settled.where("NOT many").select(key)
+    counted = near_zero_variance(join_side(cells, doubtful, key, "left_semi"), total, freq_ratio, unique_percent, key)
+    return settled.where("many").select(key).unionByName(counted.where("NOT near_zero").select(key))
+
+
 def scaler(cells: DataFrame, kind: str = "sample", key: str = "feature") -> DataFrame:
     """Mean and scale per feature of the training cells.
 

@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortgrid.cluster import durable, join_side, task_count
+from cohortgrid.matrix import unfolded
 from cohortgrid.operators.partials import collected, dense, list_column, summed
-from cohortgrid.operators.quality import near_zero_variance, scaler
+from cohortgrid.operators.quality import scaler, varying
 
 GRAM_LIMIT = 4096
 LOADING_BYTES = 256 << 20
@@ -142,9 +143,8 @@ def fit_reduction(
     n = vectors.count()
     columns = np.arange(width)
     if drop_near_zero:
-        cells = vectors.select("sample_id", F.posexplode("x").alias("ord", "value"))
-        flags = near_zero_variance(cells, n, key="ord").where("NOT near_zero").select("ord")
-        columns = np.sort(flags.toArrow().column("ord").to_numpy())
+        varied = varying(unfolded(vectors.select("x"), "x", width), n, key="ord")
+        columns = np.sort(varied.toArrow().column("ord").to_numpy())
     mean, sd = _scales(vectors, "center" if kind == "none" else kind, width)
     k = min(k, n, len(columns))
     if k <= 0:

@@ -86,7 +86,7 @@ def read_discovery_cells(spark: SparkSession, path: str) -> DataFrame:
     """Cells of a wide CSV without the features that lack half or more of all samples in the file."""
     matrix = read_matrix(spark, path)
     total = matrix.vectors.count()
-    return matrix.named(drop_half_missing(matrix.positions(), total, "ord")).select("sample_id", "feature", "value")
+    return matrix.named(drop_half_missing(matrix.positions(together=False), total, "ord")).select("sample_id", "feature", "value")
 
 
 def read_annotation(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

@@ -4,11 +4,11 @@ import math
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cohortgrid.cluster import join_side, require_present
 from cohortgrid.functions.scores import probabilities, share_of_sum, top_label, top_ratio
-from cohortgrid.matrix import Matrix, number
+from cohortgrid.matrix import Matrix, number, unfolded
 from cohortgrid.operators import align, cohort, contrasts, paired, quality
 from cohortgrid.plans import studies
 
@@ -205,6 +205,57 @@ def test_near_zero_variance_rules(spark):
     assert flags["even"]["freq_ratio"] == 1 and flags["border"]["freq_ratio"] == 499
 
 
+def test_varying_agrees_with_near_zero_variance(spark):
+    n = 1000
+    of = {
+        "constant": lambda i: 1.0,
+        "missing": lambda i: None,
+        "rare": lambda i: float(i == 0),
+        "border": lambda i: float(i < 1 or i == 5),
+        "zeros": lambda i: -0.0 if i % 2 else 0.0,
+        "many": float,
+        "few": lambda i: float(i % 3),
+        "gaps": lambda i: 1.0 if i < 50 else None,
+        "ten": lambda i: float(max(0, i - 989)),
+        "ninety": lambda i: float(max(0, i - 909)),
+    }
+    cells = cells_of(spark, [(f"s{i}", name, value(i)) for name, value in of.items() for i in range(n)])
+    for total, ratio, percent in ((n, 899.0, 1.0), (n, 400.0, 1.0), (n, 5.0, 2.0), (n, 5.0, 20.0)):
+        flags = quality.near_zero_variance(cells, total, ratio, percent).where("NOT near_zero")
+        kept = quality.varying(cells, total, ratio, percent)
+        assert sorted(r["feature"] for r in kept.collect()) == sorted(r["feature"] for r in flags.collect())
+
+
+def test_wide_vectors_unfold_by_runs_to_the_same_cells(spark):
+    width = 2 * 4096 + 5
+    rows = [(f"s{i}", [None if (i + j) % 7 == 0 else float(i * j) for j in range(width)]) for i in range(6)]
+    rows += [("empty", None)]
+    df = spark.createDataFrame(rows, "sample_id STRING, x ARRAY<DOUBLE>")
+    together = unfolded(df, "x", width)
+    assert together.schema.names == ["sample_id", "ord", "value"]
+    plain = unfolded(df, "x", width, together=False)
+    assert together.count() == 6 * width
+    assert not together.exceptAll(plain).count() and not plain.exceptAll(together).count()
+
+
+def test_ranks_by_ranges_equal_the_window(spark):
+    rows = [(c, f"f{i:04}", float((i * 37) % 11), float((i * 53) % 7)) for c in "ab" for i in range(700)]
+    tests = spark.createDataFrame(rows + [("c", "f", None, 1.0)], "contrast STRING, feature STRING, p DOUBLE, logfc DOUBLE")
+    window = Window.partitionBy("contrast").orderBy("p", F.desc("logfc"), "feature")
+    wanted = tests.withColumn("rank", F.row_number().over(window))
+    got = contrasts.ranked_table(tests).select(wanted.columns)
+    assert got.count() == len(rows) + 1 and not wanted.exceptAll(got).count()
+
+
+def test_many_markers_rank_like_few(spark):
+    rows = [(c, f"f{i:04}", float((i * 37) % 101 - 50), float(i % 3)) for c in "ab" for i in range(1500)]
+    table = spark.createDataFrame(rows, "class STRING, feature STRING, logfc DOUBLE, class_diff DOUBLE")
+    few = contrasts.top_markers(table, 0.5, 900)
+    many = contrasts.top_markers(table, 0.5, 1200).select(few.columns)
+    assert many.count() == 2000 and few.count() == 1800
+    assert not few.exceptAll(many.where("rank <= 900")).count()
+
+
 def test_scalers(spark):
     cells = cells_of(spark, [("a", "f", 1.0), ("b", "f", 3.0), ("c", "f", None), ("a", "g", 2.0), ("b", "g", 2.0), ("c", "g", 2.0)])
     sample = {r["feature"]: (r["mean"], r["sd"]) for r in quality.scaler(cells, "sample").collect()}
