@@ -90,6 +90,8 @@ def one_vs_rest(classes: list[str], positives: int = 1) -> list[Contrast]:
 
 def pairwise(classes: list[str]) -> list[Contrast]:
     """A minus B for every ordered pair."""
+    if len(classes) * (len(classes) - 1) > MAX_CONTRASTS:
+        raise ValueError("too many class pairs")
     return [
         Contrast(f"{a}-{b}", tuple(1 if c == a else -1 if c == b else 0 for c in classes), a)
         for a, b in permutations(classes, 2)
@@ -98,17 +100,22 @@ def pairwise(classes: list[str]) -> list[Contrast]:
 
 def estimate(profile: DataFrame, contrasts: list[Contrast]) -> DataFrame:
     """(contrast, main, logfc, unscaled) per feature: sum of coefficient x class mean, and the root of
-    the sum of squared coefficients over class counts. Row-local: no join, no shuffle."""
-    table = json.dumps([{"contrast": k.name, "main": k.main, "coefs": list(k.coefs)} for k in contrasts])
-    literal = F.from_json(F.lit(table), "array<struct<contrast:string,main:string,coefs:array<double>>>")
-    per = profile.select("*", F.inline(literal))
+    the sum of squared coefficients over class counts. Row-local: no join, no shuffle. Contrasts list the
+    classes they use only, so a pair costs two terms however many classes there are."""
+    rows = [
+        {"contrast": k.name, "main": k.main, "used": [{"at": i, "k": v} for i, v in enumerate(k.coefs) if v]}
+        for k in contrasts
+    ]
+    shape = "array<struct<contrast:string,main:string,used:array<struct<at:int,k:double>>>>"
+    per = profile.select("*", F.inline(F.from_json(F.lit(json.dumps(rows)), shape)))
 
     def dot(term):
-        products = F.zip_with(F.col("c"), F.col("coefs"), term)
-        return F.aggregate(F.filter(products, lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v)
+        return F.aggregate(
+            "used", F.lit(0.0), lambda a, u: a + F.coalesce(term(F.get("c", u["at"]), u["k"]), F.lit(0.0))
+        )
 
-    logfc = dot(lambda e, k: F.when(k != 0, k * e["mean"]))
-    unscaled = F.sqrt(dot(lambda e, k: F.when(k != 0, F.try_divide(k * k, e["n"].cast("double")))))
+    logfc = dot(lambda e, k: k * e["mean"])
+    unscaled = F.sqrt(dot(lambda e, k: F.try_divide(k * k, e["n"].cast("double"))))
     return per.select(
         *[c for c in profile.columns if c != "c"], "c", "contrast", "main", logfc.alias("logfc"), unscaled.alias("unscaled")
     )
