@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortgrid.llm import bpe
+from cohortgrid.llm.chat import repaired
 from cohortgrid.llm.decontamination import contaminated
 from cohortgrid.llm.fingerprints import compared_with_edits
 from cohortgrid.llm.jaccard_join import similar_components
@@ -115,6 +116,11 @@ def toxicity_model(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     return fit_toxicity(documents, clean_labels(labels, "toxic", remainder(TOXIC_FOLDS) != TOXIC_FOLD))
 
 
+@query
+def op5_chat_formatting(spark, sf_dir):
+    return repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query
 def op6_toxicity(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
