@@ -1,9 +1,10 @@
 """Personal data: patterns for four kinds, and contexts that they teach.
 
 What the kinds' own patterns find are seeds. The words around seeds are context patterns; other tokens with digits
-or an @ in those places are candidates. Spark scores the graph of contexts and tokens in turns: a context is as
-good as the share of its tokens believed to be of a kind, a token as believable as its contexts. Tokens that good
-contexts vouch for join the spans.
+or an @ in those places are candidates. Spark scores the graph of contexts and tokens in turns: a context is as good as
+what it holds of a kind outweighs what it holds that is nothing personal. Candidates that could be of the kind and are
+not known yet count on neither side, for they are what the context is to find. Tokens that good contexts vouch for
+join the spans.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from cohortgrid.llm.common import slices, small, written
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 ROWS = 512  # texts whose spans are in memory at once
-SUPPORT = 5  # different believed tokens that a context needs
-TRUST = 0.9  # share of a context's tokens that must be believed, and belief that a candidate needs
+SUPPORT = 5  # different believed tokens of a kind that a context needs, or tokens of no kind to refute the others
+TRUST = 0.9  # share that a context's believed tokens must have beside its tokens of no kind, or these beside its seeds
 
 LOCAL = "A-Za-z0-9._%+-"
 EMAIL = re.compile(rf"[{LOCAL}]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -35,7 +36,7 @@ TOKEN_END = re.compile(r"\s|\Z")
 DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
 
 SPAN = "struct<start:int,kind:int,stop:int>"
-CANDIDATE = "struct<start:int,stop:int,token:string,kind:int,contexts:array<string>>"
+CANDIDATE = "struct<start:int,stop:int,token:string,kind:int,kinds:int,counts:int,contexts:array<string>>"
 
 
 def luhn(digits: str) -> bool:
@@ -89,6 +90,16 @@ def _contexts(text: str, start: int, stop: int) -> list[str]:
     return before + around
 
 
+def fits(token: str) -> tuple[int, int]:
+    """The kinds a token may have, as bits; and those that stand when counted, where a card must pass its checksum."""
+    if "@" in token:
+        return 1, 1
+    digits = "".join(c for c in token if c in "0123456789")
+    kinds = sum(1 << KINDS.index(name) for name, (low, high) in DIGITS.items() if low <= len(digits) <= high)
+    card = 1 << KINDS.index("card")
+    return kinds, kinds & ~card if kinds & card and not luhn(digits) else kinds
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds (with their kind) and other tokens with a digit or @ (kind null), with their contexts."""
     out = [(a, b, k) for a, k, b in spans]
@@ -113,17 +124,18 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     for a, b, kind in out:
         contexts = _contexts(text, a, b)
         if contexts:
-            rows.append({"start": a, "stop": b, "token": text[a:b].lower(), "kind": kind, "contexts": contexts})
+            token = text[a:b].lower()
+            kinds, counts = fits(token) if kind is None else (1 << kind, 1 << kind)
+            rows.append({"start": a, "stop": b, "token": token, "kind": kind, "kinds": kinds, "counts": counts, "contexts": contexts})
     return rows
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
-    candidate = pa.list_(
-        pa.struct(
-            [("start", pa.int32()), ("stop", pa.int32()), ("token", pa.string()), ("kind", pa.int32()), ("contexts", pa.list_(pa.string()))]
-        )
-    )
+    numbers = {name: pa.int32() for name in ("start", "stop", "kind", "kinds", "counts")}
+    fields = numbers | {"token": pa.string(), "contexts": pa.list_(pa.string())}
+    order = ("start", "stop", "token", "kind", "kinds", "counts", "contexts")
+    candidate = pa.list_(pa.struct([(name, fields[name]) for name in order]))
     for batch in slices(batches, ROWS):
         spans, found = [], []
         for text in batch.column("text").to_pylist():
@@ -141,13 +153,31 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return texts.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64("text", F.lit(1))})
 
 
-def _fits(token: Column, kind: Column) -> Column:
-    """Whether a token can be of the kind at all."""
-    digits = F.length(F.regexp_replace(token, "[^0-9]", ""))
-    fits = (kind == 0) & token.contains("@")
-    for name, (low, high) in DIGITS.items():
-        fits = fits | ((kind == KINDS.index(name)) & digits.between(low, high) & ~token.contains("@"))
-    return fits
+def _refuted(graph: DataFrame) -> DataFrame:
+    """(token): candidates in contexts that hold hardly anything but tokens of no kind."""
+    bad = graph.groupBy("context").agg(F.count_if(F.col("counts") == 0).alias("none"), F.count("kind").alias("seeds"))
+    bad = bad.where((F.col("none") >= SUPPORT) & (F.col("none") >= TRUST * (F.col("none") + F.col("seeds")))).select("context")
+    return graph.where("kind IS NULL AND counts > 0").join(bad, "context").select("token").distinct()
+
+
+def _trusted(graph: DataFrame, believed: DataFrame) -> DataFrame:
+    """(context, kind, votes): the kinds that a context vouches for, and how many of its tokens are believed to be so.
+
+    Against it count its tokens that are not believed and can be of no kind that has support there. What is believed to
+    be of another kind is as personal, and what may be of a supported kind is open: neither counts against it.
+    """
+    masks = believed.groupBy("token").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("believed"))
+    marked = graph.join(masks, "token", "left").withColumn("believed", F.coalesce("believed", F.lit(0)))
+    votes = [F.count_if(F.expr(f"believed & {1 << k} > 0")).alias(f"votes{k}") for k in range(len(KINDS))]
+    others = [F.count_if(F.expr(f"believed = 0 AND counts = {m}")).alias(f"others{m}") for m in range(1 << len(KINDS))]
+    sums = marked.groupBy("context").agg(*votes, *others)
+    supported = " + ".join(f"IF(votes{k} >= {SUPPORT}, {1 << k}, 0)" for k in range(len(KINDS)))
+    sums = sums.withColumn("supported", F.expr(supported)).where("supported > 0")
+    against = " + ".join(f"IF(supported & {m} = 0, others{m}, 0)" for m in range(1 << len(KINDS)))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"votes{k}").alias("votes")) for k in range(len(KINDS)))))
+    sums = sums.select("context", F.expr(against).alias("against"), each.alias("k")).select("context", "against", "k.*")
+    enough = (F.col("votes") >= SUPPORT) & (F.col("votes") / (F.col("votes") + F.col("against")) >= TRUST)
+    return sums.where(enough).select("context", "kind", "votes")
 
 
 def learn_contexts(found: DataFrame) -> DataFrame:
@@ -155,24 +185,25 @@ def learn_contexts(found: DataFrame) -> DataFrame:
 
     Equal tokens in equal contexts count once, so copies of a text teach nothing more.
     """
-    seen = found.select(F.explode("candidates").alias("c")).select("c.token", "c.kind", F.explode("c.contexts").alias("context"))
-    graph = written(seen.groupBy("context", "token").agg(F.max("kind").alias("kind")))
-    seeds = graph.where("kind IS NOT NULL").select("token", "kind").distinct().withColumn("belief", F.lit(1.0))
-    sizes = graph.groupBy("context").agg(F.count("*").alias("tokens"))
-    beliefs = seeds
+    seen = found.select(F.explode("candidates").alias("c")).select("c.*").withColumn("context", F.explode("contexts"))
+    seen = seen.groupBy("context", "token").agg(*(F.max(c).alias(c) for c in ("kind", "kinds", "counts")))
+    graph = written(seen)
+    counts = F.when(F.col("refuted"), 0).otherwise(F.col("counts"))
+    refuted = _refuted(graph).withColumn("refuted", F.lit(True))
+    graph = written(graph.join(refuted, "token", "left").withColumn("counts", counts).drop("refuted"))
+    seeds = graph.where("kind IS NOT NULL").select("token", "kind").distinct()
+    believed = seeds
     learned = None
     for _ in range(ROUNDS):
-        good = graph.select("context", "token").join(beliefs, "token").groupBy("context", "kind")
-        good = good.agg(F.sum("belief").alias("belief")).where(F.col("belief") >= SUPPORT).join(sizes, "context")
-        good = good.select("context", "kind", (F.col("belief") / F.col("tokens")).alias("trust")).where(F.col("trust") >= TRUST)
-        new = graph.where("kind IS NULL").select("context", "token").join(good, "context").where(_fits(F.col("token"), F.col("kind")))
-        # Belief: one minus the chance that every context errs.
-        new = new.groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-6)))))).alias("belief"))
-        learned = written(new.where(F.col("belief") >= TRUST))
+        new = graph.where("kind IS NULL").select("context", "token", "kinds").join(_trusted(graph, believed), "context")
+        new = new.where("kinds & shiftleft(1, kind) > 0").groupBy("token", "kind").agg(F.sum("votes").alias("votes"))
+        learned = written(new)
         if learned.isEmpty():
             break
-        beliefs = seeds.unionByName(learned)
-    return learned.groupBy("token").agg(F.max_by("kind", F.struct("belief", -F.col("kind"))).alias("kind"))
+        believed = seeds.unionByName(learned.select("token", "kind"))
+    # Of several kinds the one with most votes; of equal ones a dotted quad is an ip, and others are not.
+    shape = (F.col("kind") == KINDS.index("ip")) == F.col("token").rlike(r"\..*\..*\.")
+    return learned.groupBy("token").agg(F.max_by("kind", F.struct("votes", shape, -F.col("kind"))).alias("kind"))
 
 
 def find_pii(documents: DataFrame) -> DataFrame:

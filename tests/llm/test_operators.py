@@ -175,6 +175,20 @@ def test_contexts_find_new_identifiers(spark):
     assert masked[100] == masked[3] == "please call my desk <PHONE> before noon" and masked[None] is None
 
 
+def test_contexts_find_what_most_patterns_miss(spark):
+    rows = [f"please call me +1 (555) 555-{1000 + i} before noon" for i in range(20)]
+    rows += [f"please call me 555-867-{5000 + i} before noon" for i in range(20)]  # half of them unseen
+    rows += [f"write or ring +1 (555) 556-{1000 + i} today" for i in range(10)] + [f"write or ring a{i}@b.org today" for i in range(10)]
+    rows += [f"write or ring 555-868-{5000 + i} today" for i in range(5)] + [f"write or ring b{i}@local today" for i in range(5)]
+    rows += [f"the build number +1 (555) 557-{1000 + i} is" for i in range(10)] + [f"the build number 2.{i} is" for i in range(9)]
+    rows += ["the build number 555-869-5000 is"]
+    spans = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    kinds = [[s["kind"] for s in spans[i]["spans"]] for i in range(len(rows))]
+    assert kinds[:40] == [[3]] * 40 and kinds[40:60] == [[3]] * 10 + [[0]] * 10
+    assert kinds[60:70] == [[3]] * 5 + [[0]] * 5
+    assert kinds[70:] == [[3]] * 10 + [[]] * 10  # a context with many other numbers vouches for none
+
+
 def test_tokens_equal_the_library(spark, monkeypatch):
     from tokenizers import Tokenizer
 
