@@ -32,6 +32,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LEFT_OF_AT = re.compile(rf"[{LOCAL}]*\Z")
 MARK = re.compile(r"[0-9@]")
 TOKEN_END = re.compile(r"\s|\Z")
+#: Punctuation that may stand around a token without being part of it; a + may begin one.
+AROUND = frozenset("!\"#$%&'()*,-./:;<=>?[\\]^_`{|}~…–—“”„«»‘’")
 #: How many digits a candidate of a kind may have; an email must have an @ instead.
 DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
 
@@ -100,9 +102,22 @@ def fits(token: str) -> tuple[int, int]:
     return kinds, kinds & ~card if kinds & card and not luhn(digits) else kinds
 
 
+def _bare(text: str, begin: int, stop: int) -> tuple[int, int]:
+    """A token's place without the punctuation around it; an opening bracket stays if one closes inside."""
+    start = begin
+    while text[stop - 1] in AROUND:
+        stop -= 1
+    while text[start] in AROUND:
+        start += 1
+    return start - (start > begin and text[start - 1] == "(" and ")" in text[start:stop]), stop
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds (with their kind) and other tokens with a digit or @ (kind null), with their contexts."""
-    out = [(a, b, k) for a, k, b in spans]
+    """Seeds (with their kind) and other tokens with a digit or @ (kind null), with their contexts.
+
+    Tokens without contexts teach nothing, but may be known from elsewhere; those that can be of no kind are left out.
+    """
+    out = [(a, b, k, a) for a, k, b in spans]
     covered = sorted((a, b) for a, _, b in spans)
     at, next_span = 0, 0
     while mark := MARK.search(text, at):
@@ -112,20 +127,20 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         if next_span < len(covered) and covered[next_span][0] <= start:
             at = covered[next_span][1]
             continue
-        begin = max(text.rfind(c, at, start) for c in " \n\t") + 1 or at
+        begin = start
+        while begin > at and not text[begin - 1].isspace():
+            begin -= 1
         stop = TOKEN_END.search(text, start).start()
         if next_span < len(covered):
             stop = min(stop, covered[next_span][0])
-        token = text[begin:stop].rstrip(".,;:!?)\"'")
-        if len(token) <= 64:
-            out.append((begin, begin + len(token), None))
+        out.append((*_bare(text, begin, stop), None, begin))
         at = stop
     rows = []
-    for a, b, kind in out:
-        contexts = _contexts(text, a, b)
-        if contexts:
-            token = text[a:b].lower()
-            kinds, counts = fits(token) if kind is None else (1 << kind, 1 << kind)
+    for a, b, kind, begin in out:
+        contexts = _contexts(text, begin, b)
+        token = text[a:b].lower()
+        kinds, counts = fits(token) if kind is None else (1 << kind, 1 << kind)
+        if contexts or kinds:
             rows.append({"start": a, "stop": b, "token": token, "kind": kind, "kinds": kinds, "counts": counts, "contexts": contexts})
     return rows
 

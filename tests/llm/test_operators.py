@@ -189,6 +189,20 @@ def test_contexts_find_what_most_patterns_miss(spark):
     assert kinds[70:] == [[3]] * 10 + [[]] * 10  # a context with many other numbers vouches for none
 
 
+def test_known_identifiers_are_found_everywhere(spark):
+    rows = [f"please call my desk +1 (555) 555-{1000 + i} before noon" for i in range(10)]
+    long = "x" * 70 + "5558675310"
+    rows += ["please call my desk 555-867-5309 before noon", f"please call my desk {long} before noon"]
+    known = "555-867-5309"
+    places = [(f"{known} opens", 0), (f"so {known}", 3), (known, 0), (" " * 90 + known, 90), (f"see (call) ({known}", 12)]
+    places += [(f'he said "{known}" to', 9), (f"a\u00a0{known}\r\nb", 2), (f"**{known}**", 2), (f"({known})", 1)]
+    rows += [text for text, _ in places] + [f"{long} it is"]
+    spans = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    got = [[(s["start"], s["kind"], s["stop"]) for s in spans[i]["spans"]] for i in range(10, len(rows))]
+    assert got[:2] == [[(20, 3, 32)], [(20, 3, 100)]]
+    assert got[2:] == [[(a, 3, a + 12)] for _, a in places] + [[(0, 3, 80)]]
+
+
 def test_tokens_equal_the_library(spark, monkeypatch):
     from tokenizers import Tokenizer
 
