@@ -20,6 +20,7 @@ from cohortgrid.llm.common import slices, small, written
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 ROWS = 512  # texts whose spans are in memory at once
+FOUND = 50_000  # candidates after which texts are given on before there are so many
 SUPPORT = 5  # different believed tokens of a kind that a context needs, or tokens of no kind to refute the others
 TRUST = 0.9  # share that a context's believed tokens must have beside its tokens of no kind, or these beside its seeds
 
@@ -29,6 +30,8 @@ EMAIL = re.compile(rf"[{LOCAL}]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Groups of digits as PHONE and CARD join them, that neither begin nor end inside a word.
+RUN = re.compile(r"(?<![\w@+.-])\(?[0-9]+(?:[\x20().-]+[0-9]+)+(?![\w@])")
 LEFT_OF_AT = re.compile(rf"[{LOCAL}]*\Z")
 MARK = re.compile(r"[0-9@]")
 TOKEN_END = re.compile(r"\s|\Z")
@@ -36,6 +39,7 @@ TOKEN_END = re.compile(r"\s|\Z")
 AROUND = frozenset("!\"#$%&'()*,-./:;<=>?[\\]^_`{|}~…–—“”„«»‘’")
 #: How many digits a candidate of a kind may have; an email must have an @ instead.
 DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
+MOST, LEAST = 19, 7  # digits of any kind; digits that a piece of a run needs to teach by itself
 
 SPAN = "struct<start:int,kind:int,stop:int>"
 CANDIDATE = "struct<start:int,stop:int,token:string,kind:int,kinds:int,counts:int,contexts:array<string>>"
@@ -98,6 +102,8 @@ def fits(token: str) -> tuple[int, int]:
         return 1, 1
     digits = "".join(c for c in token if c in "0123456789")
     kinds = sum(1 << KINDS.index(name) for name, (low, high) in DIGITS.items() if low <= len(digits) <= high)
+    if " " in token:
+        kinds &= ~(1 << KINDS.index("ip"))
     card = 1 << KINDS.index("card")
     return kinds, kinds & ~card if kinds & card and not luhn(digits) else kinds
 
@@ -112,14 +118,60 @@ def _bare(text: str, begin: int, stop: int) -> tuple[int, int]:
     return start - (start > begin and text[start - 1] == "(" and ")" in text[start:stop]), stop
 
 
+def _digits(text: str, start: int, stop: int) -> int:
+    return sum(c in "0123456789" for c in text[start:stop])
+
+
+def _windows(text: str, start: int, stop: int) -> Iterator[tuple[int, int, bool]]:
+    """The windows of two or more pieces of a run that can be of a kind, and whether each teaches.
+
+    Of the windows that open the run the longest of each kind teaches, so the whole run if it is no longer than a kind
+    allows. The others are only compared with what is known.
+    """
+    pieces = [(m.start(), m.end(), _digits(text, *m.span())) for m in re.compile(r"[^\x20]+").finditer(text, start, stop)]
+    for i, (begin, _, total) in enumerate(pieces):
+        offered = []
+        if not total:
+            continue
+        for _, end, digits in pieces[i + 1 :]:
+            total += digits
+            if total > MOST:
+                break
+            a, b = _bare(text, begin, end)
+            kinds = fits(text[a:b])[0] if digits else 0
+            if kinds:
+                offered.append((a, b, kinds))
+        longest = {kind: b for _, b, kinds in offered for kind in range(len(KINDS)) if kinds >> kind & 1} if i == 0 else {}
+        for a, b, _ in offered:
+            yield a, b, b in longest.values()
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds (with their kind) and other tokens with a digit or @ (kind null), with their contexts.
 
-    Tokens without contexts teach nothing, but may be known from elsewhere; those that can be of no kind are left out.
+    Other tokens end at white space, or are windows of digit groups that blanks join. Tokens without contexts teach
+    nothing, but may be known from elsewhere; those that can be of no kind are left out.
     """
     out = [(a, b, k, a) for a, k, b in spans]
     covered = sorted((a, b) for a, _, b in spans)
-    at, next_span = 0, 0
+    offered, silent = set(), set()  # places; those among them without contexts
+    taught = []  # runs that teach
+    at = 0
+    for begin, end in [*covered, (len(text), len(text))]:
+        for m in RUN.finditer(text, at, begin) if at < begin else ():
+            windows = list(_windows(text, *m.span())) if " " in m[0] else []
+            for a, b, teaches in windows:
+                before = a
+                while before > at and text[before - 1] in AROUND:
+                    before -= 1
+                out.append((a, b, None, before))
+                offered.add((a, b))
+                if not teaches:
+                    silent.add((a, b))
+            if any(teaches for *_, teaches in windows):
+                taught.append(m.span())
+        at = max(at, end)
+    at, next_span, next_run = 0, 0, 0
     while mark := MARK.search(text, at):
         start = mark.start()
         while next_span < len(covered) and covered[next_span][1] <= start:
@@ -133,11 +185,17 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         stop = TOKEN_END.search(text, start).start()
         if next_span < len(covered):
             stop = min(stop, covered[next_span][0])
-        out.append((*_bare(text, begin, stop), None, begin))
+        a, b = _bare(text, begin, stop)
+        while next_run < len(taught) and taught[next_run][1] <= a:
+            next_run += 1
+        if next_run < len(taught) and taught[next_run][0] < b and _digits(text, a, b) < LEAST:
+            silent.add((a, b))  # a piece of something longer
+        if (a, b) not in offered:
+            out.append((a, b, None, begin))
         at = stop
     rows = []
     for a, b, kind, begin in out:
-        contexts = _contexts(text, begin, b)
+        contexts = [] if kind is None and (a, b) in silent else _contexts(text, begin, b)
         token = text[a:b].lower()
         kinds, counts = fits(token) if kind is None else (1 << kind, 1 << kind)
         if contexts or kinds:
@@ -152,15 +210,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = ("start", "stop", "token", "kind", "kinds", "counts", "contexts")
     candidate = pa.list_(pa.struct([(name, fields[name]) for name in order]))
     for batch in slices(batches, ROWS):
-        spans, found = [], []
-        for text in batch.column("text").to_pylist():
+        columns = [batch.column(c) for c in ("doc_id", "d1", "d2")]
+        spans, found, first, many = [], [], 0, 0
+        for i, text in enumerate(batch.column("text").to_pylist(), 1):
             base = base_spans(text)
             spans.append([{"start": a, "kind": k, "stop": b} for a, k, b in base])
             found.append(candidates(text, base))
-        columns = [batch.column(c) for c in ("doc_id", "d1", "d2")]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(spans, span), pa.array(found, candidate)], ["doc_id", "d1", "d2", "base", "candidates"]
-        )
+            many += len(found[-1])
+            if many >= FOUND or i == batch.num_rows:
+                keys = [c.slice(first, i - first) for c in columns]
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, pa.array(spans, span), pa.array(found, candidate)], ["doc_id", "d1", "d2", "base", "candidates"]
+                )
+                spans, found, first, many = [], [], i, 0
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -221,11 +283,26 @@ def learn_contexts(found: DataFrame) -> DataFrame:
     return learned.groupBy("token").agg(F.max_by("kind", F.struct("votes", shape, -F.col("kind"))).alias("kind"))
 
 
+def _outermost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without added spans that lie within other added spans, as a piece does in its run."""
+    for batch in slices(batches, ROWS):
+        kept = []
+        for spans in batch.column("added").to_pylist():
+            kept.append([])
+            last = -1
+            for s in sorted(spans, key=lambda s: (s["start"], -s["stop"])):
+                if s["stop"] > last:
+                    kept[-1].append(s)
+                    last = s["stop"]
+        columns = [batch.column("d1"), batch.column("d2"), pa.array(kept, batch.schema.field("added").type)]
+        yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "added"])
+
+
 def find_pii(documents: DataFrame) -> DataFrame:
     """(doc_id, d1, d2, base, spans), a row for each document; d1 and d2 stand for the text.
 
     base: array of (start, kind, stop) by the kinds' own patterns; spans: these and what contexts add, sorted. Starts and
-    stops count code points, kind is a place in KINDS. Added spans never overlap base ones. Null is an empty text
+    stops count code points, kind is a place in KINDS. Added spans never overlap base ones nor hold one another. Null is an empty text
     without spans. Equal rows give equal rows. Other columns are ignored.
     """
     id_type = documents.schema["doc_id"].dataType.simpleString()
@@ -239,6 +316,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
     places = places.select("d1", "d2", "c.start", "c.stop", "c.token")
     added = places.join(F.broadcast(learned) if small(learned) else learned, "token")
     added = added.groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("added"))
+    added = added.mapInArrow(_outermost, f"d1 long, d2 long, added array<{SPAN}>")
     joined = found.select("doc_id", "d1", "d2", "base").join(added, ["d1", "d2"], "left")
     every = F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))))
     return joined.select("doc_id", "d1", "d2", "base", every.alias("spans"))

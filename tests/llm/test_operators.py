@@ -203,6 +203,16 @@ def test_known_identifiers_are_found_everywhere(spark):
     assert got[2:] == [[(a, 3, a + 12)] for _, a in places] + [[(0, 3, 80)]]
 
 
+def test_identifiers_with_blanks_are_found_whole(spark):
+    rows = [f"please call my desk +1 (555) 555-{1000 + i} before noon" for i in range(10)]
+    numbers = ["0171 234 5678", "(555) 555-1000", "0171 - 234 (56) 78", "555-867-5309"]
+    rows += [f"please call my desk {n} before noon" for n in numbers]
+    rows += ["0171 234 5678, 17 more", "17 of (0171 234 5678)", "the 12 555-867-5309", "and 0171 234 567 or 234", "in 2010 17 of 5678 x"]
+    spans = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    got = [[rows[i][s["start"] : s["stop"]] for s in spans[i]["spans"]] for i in range(10, len(rows))]
+    assert got == [[n] for n in numbers] + [["0171 234 5678"], ["0171 234 5678"], ["555-867-5309"], [], []]
+
+
 def test_tokens_equal_the_library(spark, monkeypatch):
     from tokenizers import Tokenizer
 
