@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortgrid.llm.common import slices, small, written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 ROWS = 512  # texts whose spans are in memory at once
 FOUND = 50_000  # candidates after which texts are given on before there are so many
 SUPPORT = 5  # different believed tokens of a kind that a context needs, or tokens of no kind to refute the others
@@ -260,7 +259,8 @@ def _trusted(graph: DataFrame, believed: DataFrame) -> DataFrame:
 def learn_contexts(found: DataFrame) -> DataFrame:
     """(token, kind): tokens that trusted contexts show to be personal data. found: what _scan tells of each text.
 
-    Equal tokens in equal contexts count once, so copies of a text teach nothing more.
+    Equal tokens in equal contexts count once, so copies of a text teach nothing more. What is learned in a round is
+    learned in all later ones, so the rounds end when one adds nothing.
     """
     seen = found.select(F.explode("candidates").alias("c")).select("c.*").withColumn("context", F.explode("contexts"))
     seen = seen.groupBy("context", "token").agg(*(F.max(c).alias(c) for c in ("kind", "kinds", "counts")))
@@ -270,13 +270,15 @@ def learn_contexts(found: DataFrame) -> DataFrame:
     graph = written(graph.join(refuted, "token", "left").withColumn("counts", counts).drop("refuted"))
     seeds = graph.where("kind IS NOT NULL").select("token", "kind").distinct()
     believed = seeds
-    learned = None
-    for _ in range(ROUNDS):
+    many = 0
+    while True:
         new = graph.where("kind IS NULL").select("context", "token", "kinds").join(_trusted(graph, believed), "context")
         new = new.where("kinds & shiftleft(1, kind) > 0").groupBy("token", "kind").agg(F.sum("votes").alias("votes"))
         learned = written(new)
-        if learned.isEmpty():
+        now = learned.count()
+        if now == many:
             break
+        many = now
         believed = seeds.unionByName(learned.select("token", "kind"))
     # Of several kinds the one with most votes; of equal ones a dotted quad is an ip, and others are not.
     shape = (F.col("kind") == KINDS.index("ip")) == F.col("token").rlike(r"\..*\..*\.")

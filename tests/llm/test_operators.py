@@ -213,6 +213,15 @@ def test_identifiers_with_blanks_are_found_whole(spark):
     assert got == [[n] for n in numbers] + [["0171 234 5678"], ["0171 234 5678"], ["555-867-5309"], [], []]
 
 
+def test_contexts_learn_until_nothing_is_new(spark):
+    rows = [f"ask zero ring +1 (555) 555-{1000 + i} now" for i in range(5)]
+    for step in range(6):  # each context is trusted by what the one before it taught
+        rows += [f"{'ask zero ring' if step == 0 else f'{step} ask step{step}'} 555-{step:03}-{1000 + i} now{step}" for i in range(5)]
+        rows += [f"ask step{step + 1} 555-{step:03}-{1000 + i} then{step}" for i in range(5)]
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert all([s["kind"] for s in r["spans"]] == [3] for r in found)
+
+
 def test_tokens_equal_the_library(spark, monkeypatch):
     from tokenizers import Tokenizer
 
