@@ -13,8 +13,11 @@ from cohortgrid.llm.decontamination import contaminated
 from cohortgrid.llm.fingerprints import compared_with_edits
 from cohortgrid.llm.jaccard_join import similar_components
 from cohortgrid.llm.labelled import clean_labels, remainder
+from cohortgrid.llm.lexical_search import ranked_documents
 from cohortgrid.llm.pii import KINDS, find_pii, spans_text
 from cohortgrid.llm.quality import fit_quality, quality_scores
+from cohortgrid.llm.sharding import shuffled_shards
+from cohortgrid.llm.spelling import corpus_words, variant_forms
 from cohortgrid.llm.substring_dedup import without_repeats
 from cohortgrid.llm.toxicity import ToxicityModel, fit_toxicity, toxicity_scores
 from cohortgrid.llm.url_filters import judge_urls
@@ -146,3 +149,57 @@ def op7_pii(spark, sf_dir):
     ]
     base = F.sha2(spans_text(F.col("base")), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, spans_text(F.col("spans")).alias("spans"))
+
+
+SLIP = 31
+
+
+@query
+def op11_spelling_variants(spark, sf_dir):
+    words = corpus_words(table(spark, sf_dir, "documents"), least_letters=7, least_count=2, slip=SLIP)
+    return variant_forms(words, ratio=10)
+
+
+@query
+def op12_ranked_search(spark, sf_dir):
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+LLM_ORACLES["op12_ranked_search"] = r"""
+WITH low AS (SELECT row_number() OVER () AS row, doc_id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT row, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM low),
+counts AS (SELECT row, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT row, sum(tf)::BIGINT AS n FROM counts GROUP BY row),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+means AS (SELECT row, 100 - 75 + (75 * n * docs) // terms AS m FROM lengths, corpus),
+asked AS (SELECT row_number() OVER () AS item, item_id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
+item_words AS (SELECT item, item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM asked),
+item_terms AS (SELECT item, item_id, term, count(*) AS times FROM item_words GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, corpus WHERE term IN (SELECT term FROM item_terms) GROUP BY term),
+scores AS (SELECT item, item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM item_terms JOIN weights USING (term) JOIN counts USING (term) JOIN means USING (row)
+  GROUP BY item, item_id, row, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+SHARDS = 8
+
+
+@query
+def op13_sharding(spark, sf_dir):
+    placed = shuffled_shards(table(spark, sf_dir, "documents"), SHARDS)
+    text = F.coalesce("text", F.lit(""))
+    return placed.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
