@@ -154,7 +154,7 @@ ITEMS = [(0, "one two two"), (1, None), (2, ""), (3, "ÀÉ÷ñaZz x " + "x" * 30
 
 
 @pytest.mark.parametrize("k", [1, 3, 10])
-@pytest.mark.parametrize("tile,load", [(64, 16 << 20), (2, 16 << 20), (64, 100)])
+@pytest.mark.parametrize("tile,load", [(64, 16 << 20), (2, 16 << 20), (64, 9000)])
 def test_search_equals_brute_force(spark, odd, monkeypatch, k, tile, load):
     monkeypatch.setattr(lexical_search, "ITEM_TILE", tile)
     monkeypatch.setattr(lexical_search, "DOC_TILE", 7)
