@@ -304,6 +304,25 @@ vv AS (SELECT CASE WHEN list_max(v) = top THEN v ELSE list_transform(v, lambda a
 SELECT sample_id, {r(f'sum(z * v[i])', 4)} AS pc1 FROM z, vv GROUP BY sample_id"""
 
 
+def _components(k: int, steps: int, gram: str, width: int = WIDTH) -> str:
+    """CTE comps(cs): the leading k eigenvectors of gm(rows), one power iteration after the other, each kept off those
+    before it. A product over components does not depend on their signs or, in all of them, on their order."""
+    dots = ", ".join(f"list_dot_product(rows[{i}], v)" for i in range(1, width + 1))
+    fresh = f"list_transform(range(1, {width + 1}), lambda i: (1 + sin(i * (1 + len(found))))::DOUBLE)"
+    off = "list_transform(u, lambda a, i: a - coalesce(list_sum(list_transform(list_zip(found, parts), lambda p: p[1][i] * p[2])), 0.0))"
+    return f"""
+gm AS MATERIALIZED ({gram}),
+comp AS (
+  SELECT 0 AS s, {fresh.replace("len(found)", "0")} AS v, []::DOUBLE[][] AS found
+  UNION ALL
+  SELECT s + 1, CASE WHEN (s + 1) % {steps} = 0 THEN {fresh.replace("found", "old")} ELSE v END, CASE WHEN (s + 1) % {steps} = 0 THEN list_append(old, v) ELSE old END
+  FROM (SELECT s, found AS old, list_transform(o, lambda a: a / sqrt(list_dot_product(o, o))) AS v
+        FROM (SELECT s, found, {off} AS o
+              FROM (SELECT s, u, found, list_transform(found, lambda f: list_dot_product(f, u)) AS parts
+                    FROM (SELECT s, found, [{dots}] AS u FROM comp, gm WHERE s < {k * steps}))))),
+comps AS MATERIALIZED (SELECT found AS cs FROM comp WHERE s = {k * steps})"""
+
+
 ORACLES["svd_project_top"] = _power("stddev_samp(value)")
 ORACLES["pca_project_top"] = _power("1")
 
@@ -341,6 +360,38 @@ fit AS (SELECT cls, w FROM it WHERE k = {steps}),
 sco AS (SELECT sample_id, cls, list_dot_product(list_append(x, 1.0), w) AS score FROM src, fit){tail}"""
 
 
+def _shrinking(problems: str, tail: str, steps: int, width: int = WIDTH) -> str:
+    """The same for the absolute penalty: gradient steps that shrink every weight by 1 / l, with momentum that starts
+    anew whenever it points uphill."""
+    size = width + 1
+    sums = ", ".join(f"sum(c * x[{j}])" for j in range(1, size + 1))
+    zeros = f"list_transform(range({size}), lambda i: 0.0::DOUBLE)"
+    return f"""{problems},
+fr AS (SELECT sqrt(sum(g * g)) AS f FROM (
+         SELECT a.j AS j, b.j AS k, sum(a.om * a.v * b.v) AS g
+         FROM (SELECT sample_id, om, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM pb) a
+         JOIN (SELECT sample_id, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM pb) b USING (sample_id)
+         GROUP BY ALL)),
+lip AS MATERIALIZED (SELECT 2 * f AS l FROM fr),
+pm AS MATERIALIZED (SELECT * FROM pb),
+it AS (
+  SELECT 0 AS k, 0 AS t, {zeros} AS w, {zeros} AS v
+  UNION ALL
+  SELECT k + 1, CASE WHEN uphill > 0 THEN 0 ELSE t + 1 END, wn,
+         list_transform(list_zip(wn, w), lambda p: p[1] + CASE WHEN uphill > 0 THEN 0 ELSE (t + 1) / (t + 4) END * (p[1] - p[2]))
+  FROM (SELECT *, list_sum(list_transform(list_zip(v, wn, w), lambda p: (p[1] - p[2]) * (p[2] - p[3]))) AS uphill
+        FROM (SELECT k, t, w, v, list_transform(list_transform(list_zip(v, grad), lambda p: p[1] + 2 * p[2] / l),
+                                                lambda a: sign(a) * greatest(abs(a) - 1 / l, 0.0)) AS wn
+              FROM (SELECT any_value(k) AS k, any_value(t) AS t, any_value(w) AS w, any_value(v) AS v, any_value(l) AS l,
+                           [{sums}] AS grad
+                    FROM (SELECT it.k, it.t, it.w, it.v, lip.l, pm.x,
+                                 pm.om * pm.y * greatest(0.0, 1 - pm.y * list_dot_product(pm.x, it.v)) AS c
+                          FROM it, pm, lip WHERE it.k < {steps})
+                    HAVING count(*) > 0)))),
+fit AS (SELECT 1 AS cls, w FROM it WHERE k = {steps}),
+sco AS (SELECT sample_id, cls, list_dot_product(list_append(x, 1.0), w) AS score FROM src, fit){tail}"""
+
+
 def _binary(src: str, label: str, weight: str = "1") -> str:
     return f"""
 src AS ({src}),
@@ -366,6 +417,7 @@ ORACLES["svm_binary"] = f"WITH RECURSIVE {EMBEDDING}, {_descent(_binary(_all, IS
 ORACLES["svm_binary_row_weights"] = (
     f"WITH RECURSIVE {EMBEDDING}, {_descent(_binary(_all, IS_CANCER, '1 + vec_id % 3'), _score, 1600)}"
 )
+ORACLES["svm_binary_l1"] = f"WITH RECURSIVE {EMBEDDING}, {_shrinking(_binary(_all, IS_CANCER), _score, 3000)}"
 _class_scores = f"\nSELECT sample_id, cls AS class, {r('score', 4)} AS score FROM sco"
 ORACLES["svm_ovr"] = f"WITH RECURSIVE {EMBEDDING}, {_descent(_ovr(_all, 'class'), _class_scores, 1200)}"
 
@@ -487,3 +539,29 @@ FROM av JOIN am USING (i) GROUP BY ALL"""
 ORACLES["study_disease_rotated"] = (
     f"WITH RECURSIVE {EMBEDDING}, {_any_cells}, {_descent(_ovr(_even, 'class'), ', ' + _diseased, 1500)}"
 )
+
+# a fit on components turns with them, so it depends on the space they span and on nothing else
+_own_gram = """SELECT list(row ORDER BY i) AS rows FROM (SELECT i, list(g ORDER BY j) AS row FROM (
+  SELECT a.i, b.i AS j, sum(a.v * b.v) AS g
+  FROM (SELECT sample_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM ({full}) WHERE split <> 'test') a
+  JOIN (SELECT sample_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM ({full}) WHERE split <> 'test') b USING (sample_id)
+  GROUP BY ALL) GROUP BY i)"""
+_less = f"""
+ev AS MATERIALIZED ({_even}),{_components(8, 4000, _own_gram.format(full='SELECT * FROM ev'))}"""
+_short = "SELECT ev.* REPLACE (list_transform(cs, lambda c: list_dot_product(c, x)) AS x) FROM ev, comps"
+ORACLES["study_disease_reduced"] = (
+    f"WITH RECURSIVE {EMBEDDING}, {_any_cells}, {_less}, {_descent(_ovr(_short, 'class'), ', ' + _diseased, 1200, 8)}"
+)
+
+_train_even = """
+zs AS MATERIALIZED (SELECT sample_id, class, cancer_status, split, list((value - mean) / sd ORDER BY i) AS x
+  FROM cells JOIN (SELECT i, avg(value) AS mean, stddev_samp(value) AS sd FROM cells WHERE split <> 'test' GROUP BY i) USING (i)
+  GROUP BY ALL)"""
+_three = f"{_train_even},{_components(3, 8000, _own_gram.format(full='SELECT * FROM zs'))}"
+_on_three = "SELECT zs.* REPLACE (list_transform(cs, lambda c: list_dot_product(c, x)) AS x) FROM zs, comps"
+_detected_three = f"""
+SELECT sample_id, class, cancer_status, split, {r('score', 4)} AS score
+FROM src JOIN sco USING (sample_id) WHERE split = 'test'"""
+ORACLES["study_detection_reduced"] = (
+    f"WITH RECURSIVE {EMBEDDING}, {_three}, {_descent(_binary(_on_three, IS_CANCER), _detected_three, 1200, 3)}"
+)

@@ -10,7 +10,7 @@ from catalog import views
 from cohortgrid.cluster import durable
 from cohortgrid.functions.scores import top_label
 from cohortgrid.matrix import Matrix, number
-from cohortgrid.operators import align, cohort, contrasts, linear, mixture, paired, quality, reduce
+from cohortgrid.operators import align, cohort, contrasts, linear, mixture, moments, paired, quality, reduce
 from cohortgrid.operators.probability import reorder_scores, with_probabilities
 from cohortgrid.plans import studies
 from cohortgrid.sources.files import matrix_of_lines
@@ -187,17 +187,17 @@ def attach_scores(spark, sf_dir):
 @query
 def missing_filter(spark, sf_dir):
     matrix = views.gappy_matrix(spark, sf_dir)
-    cells, n = matrix.positions(), matrix.vectors.count()
-    kept = quality.drop_half_missing(cells, n, "ord")
-    remaining = kept.groupBy("ord").agg(F.count("*").alias("n_cells"))
-    return matrix.named(quality.missingness(cells, n, "ord").join(remaining, "ord", "left"))
+    n = matrix.vectors.count()
+    flags = durable(quality.feature_missingness(moments.matrix_moments(matrix), n))
+    left = quality.drop_features(matrix, flags)
+    remaining = left.features.select("feature", F.lit(left.vectors.count()).alias("n_cells"))
+    return matrix.named(flags).join(remaining, "feature", "left")
 
 
 @query
 def missing_samples(spark, sf_dir):
     matrix = views.gappy_matrix(spark, sf_dir)
-    cells = quality.drop_all_missing(matrix.positions(together=False))
-    return quality.missingness(cells, matrix.width, "sample_id")
+    return quality.sample_missingness(quality.drop_empty_samples(matrix))
 
 
 @query
@@ -215,8 +215,8 @@ def standardized(spark, sf_dir, kind):
     samples = views.embedding_samples(spark, sf_dir)
     matrix = views.embedding_matrix(spark, sf_dir)
     train, _ = cohort.split_exact(samples, SPLIT)
-    fitted = durable(quality.scaler(matrix.positions(train.select("sample_id")), kind, "ord"))
-    scaled = matrix.named(quality.standardize(matrix.positions(together=False), fitted, "ord"))
+    fitted = quality.feature_scaler(moments.matrix_moments(matrix, train.select("sample_id")), kind)
+    scaled = quality.standardize_matrix(matrix, fitted).cells()
     return scaled.select("sample_id", "feature", rounded("value").alias("value"))
 
 
@@ -570,6 +570,14 @@ def study_detection(spark, sf_dir):
     return table.withColumn(score, rounded(F.col(f"`{score}`"), 4))
 
 
+@query
+def study_detection_reduced(spark, sf_dir):
+    """Detection on three components, as wide matrices get it on more."""
+    samples = views.embedding_samples(spark, sf_dir).select("sample_id", "class", "cancer_status", "split")
+    table = studies.binary_study(samples, views.embedding_matrix(spark, sf_dir), SPLIT, 3, "score")
+    return table.withColumn("score", rounded("score", 4))
+
+
 @query
 def study_surveillance(spark, sf_dir):
     """Supplier pairs: tumor samples are the cancer status; odd suppliers train."""

@@ -66,3 +66,7 @@ MARKERS_PER_CLASS = 50
 
 # Mixture sampling: draws per sample.
 MIXTURE_DRAWS = 3000
+
+# Words of a reduction: its name before the number of components, and what means none.
+REDUCTION_NAME = "svd"
+NO_REDUCTION = ("none", "na", "no", "")

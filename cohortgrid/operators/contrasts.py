@@ -22,6 +22,7 @@ from cohortgrid.fixed import (
     VARIANCE_FLOOR,
 )
 from cohortgrid.matrix import Matrix
+from cohortgrid.operators.moments import matrix_moments
 from cohortgrid.functions.special import digamma, digamma_of, inverse_trigamma, t_upper_tail, trigamma
 
 MAX_CONTRASTS = 100_000
@@ -51,7 +52,7 @@ def class_sizes(annotation: DataFrame) -> dict[str, int]:
 def profile_matrix(data: Matrix | DataFrame, annotation: DataFrame, classes: list[str]) -> DataFrame:
     """Complete class profiles with residuals, from a matrix or from cells, of the annotated samples."""
     if isinstance(data, Matrix):
-        by_position = class_profile(data.positions(annotation), "ord")
+        by_position = matrix_moments(data, annotation.select("sample_id", "class"), "class")
         return residuals(data.named(complete(by_position, classes)))
     return residuals(complete(class_profile(join_side(data, annotation, "sample_id")), classes))
 
@@ -235,7 +236,12 @@ def off_sex_and_mito_prefix(feature: str = "feature"):
 def effects_table(data: Matrix | DataFrame, annotation: DataFrame, classes: list[str]) -> DataFrame:
     """Per feature and class: one-vs-rest estimate with class and others means; two classes keep only
     positive estimates. annotation(sample_id, class) chooses the samples."""
-    table = class_effects(profile_matrix(data, annotation, classes), classes, class_sizes(annotation))
+    return profile_effects(profile_matrix(data, annotation, classes), annotation, classes)
+
+
+def profile_effects(profile: DataFrame, annotation: DataFrame, classes: list[str]) -> DataFrame:
+    """effects_table from a complete profile with residuals."""
+    table = class_effects(profile, classes, class_sizes(annotation))
     return table.where("logfc > 0") if len(classes) == 2 else table
 
 

@@ -75,15 +75,6 @@ class LinearModel:
         """Column: the raw margin of a binary model."""
         return F.element_at(self.scores(x), 1)
 
-    def weight_table(self, spark, names: list[str]) -> DataFrame:
-        rows = [
-            (c, f, float(w)) for c, row in zip(self.classes, self.weights) for f, w in zip(names, row)
-        ]
-        return spark.createDataFrame(rows, "class STRING, feature STRING, w DOUBLE")
-
-    def bias_table(self, spark) -> DataFrame:
-        return spark.createDataFrame([(c, float(b)) for c, b in zip(self.classes, self.bias)], "class STRING, b DOUBLE")
-
 
 @dataclass(frozen=True)
 class _Problems:
@@ -134,7 +125,11 @@ def _evaluate(train: DataFrame, problems: _Problems, w: np.ndarray, live: np.nda
 
 
 class _Penalty:
-    """Squared or absolute penalty on all weights, the bias included."""
+    """Squared or absolute penalty on all weights, the bias included.
+
+    With the absolute penalty a step stays in one orthant: the signs of the weights, and for a weight of 0 the sign
+    in which the objective falls. There it is smooth; weights that would cross 0 stop at it.
+    """
 
     def __init__(self, kind: str):
         self.kind = kind
@@ -142,39 +137,40 @@ class _Penalty:
     def value(self, w):
         return 0.5 * float(w @ w) if self.kind == "l2" else float(np.abs(w).sum())
 
-    def violation(self, w, g):
-        """Distance from optimality, given the data-term gradient g."""
+    def slope(self, w, g):
+        """Gradient of the objective, given the data-term gradient g; of its flattest sub-gradients with l1."""
         if self.kind == "l2":
-            return float(np.abs(w + g).max())
-        at_zero = np.maximum(np.abs(g) - 1.0, 0.0)
-        return float(np.where(w == 0, at_zero, np.abs(g + np.sign(w))).max())
+            return w + g
+        return np.where(w != 0, g + np.sign(w), np.sign(g) * np.maximum(np.abs(g) - 1.0, 0.0))
 
-    def newton(self, w, g, h):
-        """Step to the minimum of the quadratic model, and the decrease the model promises."""
+    def newton(self, w, slope, h):
+        """Step to the minimum of the quadratic model; with l1 over the weights that may leave 0."""
+        if self.kind == "l2":
+            return -np.linalg.solve(h + np.eye(len(w)), slope)
+        step = np.zeros(len(w))
+        free = np.flatnonzero((w != 0) | (slope != 0))
+        if len(free):
+            inner = h[np.ix_(free, free)]
+            inner = inner + 1e-10 * max(1.0, np.trace(inner) / len(free)) * np.eye(len(free))
+            step[free] = -np.linalg.solve(inner, slope[free])
+            step[(w == 0) & (step * slope >= 0)] = 0.0  # would leave 0 uphill
+        return step
+
+    def aligned(self, slope, step):
+        """A step from remembered curvature; with l1 without its parts that lead uphill."""
+        return step if self.kind == "l2" else np.where(step * slope < 0, step, 0.0)
+
+    def moved(self, w, slope, step, length):
+        """The weights after a step of this length."""
+        there = w + length * step
         if self.kind == "l2":
-            full = w + g
-            step = -np.linalg.solve(h + np.eye(len(w)), full)
-            return step, float(full @ step)
-        z, hz = w.copy(), np.zeros(len(w))
-        diag = np.maximum(np.diag(h), 1e-12)
-        for _ in range(2000):
-            biggest = 0.0
-            for j in range(len(w)):
-                target = z[j] - (g[j] + hz[j]) / diag[j]
-                new = np.sign(target) * max(abs(target) - 1.0 / diag[j], 0.0)
-                move = new - z[j]
-                if move:
-                    z[j] = new
-                    hz += h[:, j] * move
-                    biggest = max(biggest, abs(move))
-            if biggest < 1e-13 * max(1.0, np.abs(z).max()):
-                break
-        step = z - w
-        return step, float(g @ step) + self.value(z) - self.value(w)
+            return there
+        orthant = np.where(w != 0, np.sign(w), -np.sign(slope))
+        return np.where(there * orthant > 0, there, 0.0)
 
 
 class _Memory:
-    """Limited-memory curvature for wide matrices (squared penalty)."""
+    """Curvature of wide matrices from the last steps and changes of the gradient."""
 
     def __init__(self, keep: int = 10):
         self.pairs, self.keep = [], keep
@@ -200,53 +196,54 @@ class _Memory:
 
 
 def _minimise(train: DataFrame, problems: _Problems, kind: str, tolerance: float, max_passes: int):
-    """Damped Newton for all classes side by side; the classes share every pass over the data."""
+    """Damped quasi-Newton for all classes side by side; the classes share every pass over the data. Curvature is
+    summed with the gradient if the matrix is narrow, else remembered."""
     size, classes = problems.width + 1, len(problems.positive)
     if classes * size * 8 > MODEL_BYTES:
         raise ValueError(f"a model of {classes} x {size} weights is too large; reduce the matrix first")
     curved = classes * size * size * 8 <= CURVATURE_BYTES
-    if kind == "l1" and not curved:
-        raise ValueError("the l1 penalty needs a narrower matrix; select features first")
     penalty = _Penalty(kind)
+    smooth = 1.0 if kind == "l2" else 0.0  # the part of the penalty that remembered gradients include
     memory = [_Memory() for _ in range(classes)]
     accepted = np.zeros((classes, size))
     trial = accepted.copy()
     value = np.full(classes, np.inf)
     grad = [np.zeros(size) for _ in range(classes)]
+    slope = [np.zeros(size) for _ in range(classes)]
     step = [np.zeros(size) for _ in range(classes)]
     scale = np.zeros(classes)
-    promised, length = np.zeros(classes), np.ones(classes)
+    length = np.ones(classes)
     live = np.arange(classes)
     for done in range(1, max_passes + 1):
         loss, data_grad, curve = _evaluate(train, problems, trial, live, curved)
         still = []
         for j, k in enumerate(live):
             total = penalty.value(trial[k]) + loss[j]
-            if total > value[k] + 1e-4 * length[k] * promised[k] + 1e-13 * abs(value[k]):
+            move = trial[k] - accepted[k]
+            if total > value[k] + 1e-4 * float(slope[k] @ move) + 1e-13 * abs(value[k]):
                 length[k] *= 0.5
                 if length[k] < 1e-12:  # no further decrease in floating point
-                    left = penalty.violation(accepted[k], grad[k])
+                    left = float(np.abs(slope[k]).max())
                     if left > STALLED * max(1.0, scale[k]):
                         raise RuntimeError(f"the fit of problem {k} stalled {left:.1e} from its optimum")
                     continue
-                trial[k] = accepted[k] + length[k] * step[k]
+                trial[k] = penalty.moved(accepted[k], slope[k], step[k], length[k])
                 still.append(k)
                 continue
             if not curved and np.isfinite(value[k]):
-                memory[k].push(trial[k] - accepted[k], trial[k] + data_grad[j] - accepted[k] - grad[k])
+                memory[k].push(move, smooth * move + data_grad[j] - grad[k])
             accepted[k], value[k], grad[k] = trial[k].copy(), total, data_grad[j]
-            gap = penalty.violation(accepted[k], grad[k])
+            slope[k] = penalty.slope(accepted[k], grad[k])
+            gap = float(np.abs(slope[k]).max())
             scale[k] = max(scale[k], gap)
             if gap <= tolerance * max(1.0, scale[k]):
                 continue
             if curved:
-                step[k], promised[k] = penalty.newton(accepted[k], grad[k], curve[j])
+                step[k] = penalty.newton(accepted[k], slope[k], curve[j])
             else:
-                full = accepted[k] + grad[k]
-                step[k] = memory[k].step(full)
-                promised[k] = float(full @ step[k])
+                step[k] = penalty.aligned(slope[k], memory[k].step(slope[k]))
             length[k] = 1.0
-            trial[k] = accepted[k] + step[k]
+            trial[k] = penalty.moved(accepted[k], slope[k], step[k], 1.0)
             still.append(k)
         live = np.array(still, dtype=int)
         if not len(live):

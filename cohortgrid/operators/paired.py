@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortgrid.cluster import durable, join_side, require_present, require_unique
 from cohortgrid.fixed import NORMAL_TAG, SEX_AND_MITO, TUMOR_TAG
-from cohortgrid.matrix import Matrix, unfolded
+from cohortgrid.matrix import Matrix
 from cohortgrid.operators.cohort import sorted_classes
+from cohortgrid.operators.moments import vector_moments
 
 
 def off_sex_and_mito(feature: str = "feature"):
@@ -39,15 +40,13 @@ def pair_differences(cells: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def vector_differences(matrix: Matrix, pairs: DataFrame) -> DataFrame:
-    """(grp, ord, diff) from vectors: the two vectors of a pair meet, not their cells, so the shuffle carries
-    bare numbers; cells unfold after it, by runs of features."""
+    """(grp, diff): tumor - normal as a vector per pair. The two vectors of a pair meet; no cell travels by itself."""
     sided = join_side(matrix.vectors, pairs, "sample_id")
     side = {
         s: sided.where(F.col("side") == s).select("grp", "pair_id", F.col("x").alias(s)) for s in ("tumor", "normal")
     }
     both = side["tumor"].join(side["normal"], ["grp", "pair_id"])
-    gap = F.zip_with("tumor", "normal", lambda t, n: t - n)
-    return unfolded(both.select("grp", gap.alias("gap")), "gap", matrix.width).withColumnRenamed("value", "diff")
+    return both.select("grp", F.zip_with("tumor", "normal", lambda t, n: t - n).alias("diff"))
 
 
 def per_group(values: dict[str, int]) -> Column:
@@ -66,6 +65,14 @@ def occurrence(
     return counted.select("grp", key, F.when(every, F.col("over")).alias("n_over"))
 
 
+def vector_occurrence(differences: DataFrame, width: int, pairs_in: dict[str, int], cutoff: float) -> DataFrame:
+    """occurrence by position (ord), from difference vectors."""
+    moments = vector_moments(differences, width, "grp", "diff", cutoff)
+    counted = moments.select("ord", F.inline("c")).withColumnRenamed("class", "grp")
+    every = F.col("n") == per_group(pairs_in)
+    return counted.select("grp", "ord", F.when(every, F.col("over")).alias("n_over"))
+
+
 def top_with_ties(counts: DataFrame, k: int) -> DataFrame:
     """Per group, the features whose count reaches the k-th largest one (at least 1), ties included.
 
@@ -101,7 +108,7 @@ def paired_markers(
     require_present(pairs, known, "sample_id", "paired samples")
     totals = {r["grp"]: r["count"] for r in pairs.where("side = 'tumor'").groupBy("grp").count().collect()}
     if isinstance(data, Matrix):
-        counts = data.named(occurrence(vector_differences(data, pairs), totals, cutoff, "ord"))
+        counts = data.named(vector_occurrence(vector_differences(data, pairs), data.width, totals, cutoff))
         counts = counts.where(off_sex_and_mito())
     else:
         counts = occurrence(pair_differences(data.where(off_sex_and_mito()), pairs), totals, cutoff)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from cohortgrid.cluster import task_count
 
+SENT_BYTES = 8 << 30
 PARTIAL_SCHEMA = "block INT, row INT, v ARRAY<DOUBLE>"
 
 
@@ -44,9 +45,10 @@ def summed(
 
     `start` makes zeroed blocks (block id -> 2-d array; a block of negative id is scratch and is not
     sent); `finish` runs once after a task's last batch. A task sends each block row once; Spark adds rows
-    of equal key up. Input partitions are first joined into about one per core, because every task
-    sends whole blocks whatever its share of rows.
+    of equal key up, each key in one of many tasks. The input keeps its partitions, so that a lost task repeats one
+    split; only if their blocks came to more than SENT_BYTES in all are partitions joined, to one per core at least.
     """
+    block_bytes = sum(b.nbytes for k, b in start().items() if k >= 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = start()
@@ -67,7 +69,8 @@ def summed(
                     names=["block", "row", "v"],
                 )
 
-    partials = df.coalesce(task_count(df.sparkSession)).mapInArrow(run, PARTIAL_SCHEMA)
+    most = max(task_count(df.sparkSession), SENT_BYTES // max(1, block_bytes))
+    partials = df.coalesce(most).mapInArrow(run, PARTIAL_SCHEMA)
     return partials.groupBy("block", "row").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
 
 

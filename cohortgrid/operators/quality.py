@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortgrid.cluster import durable, join_side
 from cohortgrid.fixed import MISSING_SHARE, NZV_FREQ_RATIO, NZV_UNIQUE_PERCENT
+from cohortgrid.matrix import Matrix
+from cohortgrid.operators.moments import present
+from cohortgrid.operators.partials import dense
 
 HASH_WORDS = 16  # of 64 hash buckets each
 
@@ -16,13 +22,72 @@ def missingness(cells: DataFrame, total: int, key: str = "feature") -> DataFrame
     A cell that has no row counts as missing, so nothing has to be filled in first. All-missing keys and
     keys with a missing share of one half or more are not kept.
     """
-    present = cells.groupBy(key).agg(F.count("value").alias("n_present"))
-    missing = F.lit(total) - F.col("n_present")
-    return present.select(
-        key,
-        missing.alias("n_missing"),
-        ((F.col("n_present") > 0) & (missing < MISSING_SHARE * total)).alias("kept"),
-    )
+    counted = cells.groupBy(key).agg(F.count("value").alias("n_present"))
+    n = F.col("n_present")
+    return counted.select(key, (F.lit(total) - n).alias("n_missing"), kept_if_present(n, total).alias("kept"))
+
+
+def kept_if_present(n_present: Column, total: int) -> Column:
+    """Whether a key with so many of `total` cells is kept: some, and more than half."""
+    return (n_present > 0) & (F.lit(total) - n_present < MISSING_SHARE * total)
+
+
+def feature_missingness(moments: DataFrame, total: int) -> DataFrame:
+    """missingness by position (ord), from moments.vector_moments of `total` vectors."""
+    n = present("c")
+    return moments.select("ord", (F.lit(total) - n).alias("n_missing"), kept_if_present(n, total).alias("kept"))
+
+
+def feature_scaler(moments: DataFrame, kind: str = "sample") -> DataFrame:
+    """scaler by position (ord), from moments.vector_moments without classes."""
+    e = F.get("c", F.lit(0))
+    spread = F.sqrt(e["ss"] / (e["n"] - (1 if kind == "sample" else 0)))
+    if kind == "sample":
+        sd = F.when(e["n"] > 1, spread)
+    elif kind == "population":
+        sd = F.when(e["n"] > 0, F.when(e["low"] == e["high"], F.lit(1.0)).otherwise(spread))
+    elif kind in ("center", "none"):
+        sd = F.lit(1.0)
+    else:
+        raise ValueError(f"unknown scaling: {kind}")
+    return moments.select("ord", (F.lit(0.0) if kind == "none" else e["mean"]).alias("mean"), sd.alias("sd"))
+
+
+def drop_features(matrix: Matrix, flags: DataFrame) -> Matrix:
+    """The matrix with the features that feature_missingness keeps, in their order; row-local but for the flags."""
+    kept = set(flags.where("kept").select("ord").toArrow().column("ord").to_pylist())
+    return matrix.project([name for at, name in enumerate(matrix.names()) if at in kept])
+
+
+def sample_missingness(matrix: Matrix) -> DataFrame:
+    """missingness per sample; row-local."""
+    n = F.size(F.filter("x", lambda v: v.isNotNull())).cast("long")
+    missing = (F.lit(matrix.width) - n).alias("n_missing")
+    return matrix.vectors.select("sample_id", missing, kept_if_present(n, matrix.width).alias("kept"))
+
+
+def drop_empty_samples(matrix: Matrix) -> Matrix:
+    """Drop samples whose every value is missing; row-local."""
+    some = matrix.vectors.where(F.exists("x", lambda v: v.isNotNull()))
+    return Matrix(some, matrix.width, matrix.listed, matrix.table)
+
+
+def standardize_matrix(matrix: Matrix, scale: DataFrame) -> Matrix:
+    """standardize for vectors, with a fitted feature_scaler; features that it lacks become NULL. Row-local."""
+    width = matrix.width
+    fitted = scale.select("ord", "mean", "sd").toArrow()
+    mean, sd = np.full(width, np.nan), np.full(width, np.nan)
+    at = fitted.column("ord").to_numpy()
+    mean[at], sd[at] = fitted.column("mean").to_numpy(), fitted.column("sd").to_numpy()
+    sd[sd == 0] = np.nan
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def scaled(column: pa.Array) -> pa.Array:
+        z = (dense(column, width) - mean) / sd
+        ends = pa.array(np.arange(0, z.size + 1, width, dtype=np.int32))
+        return pa.ListArray.from_arrays(ends, pa.array(z.ravel(), mask=np.isnan(z).ravel()))
+
+    return Matrix(matrix.vectors.select("sample_id", scaled("x").alias("x")), width, matrix.listed, matrix.table)
 
 
 def drop_half_missing(cells: DataFrame, total: int, key: str = "feature") -> DataFrame:
@@ -32,8 +97,8 @@ def drop_half_missing(cells: DataFrame, total: int, key: str = "feature") -> Dat
 
 def drop_all_missing(cells: DataFrame, key: str = "sample_id") -> DataFrame:
     """Drop keys whose every value is missing."""
-    present = durable(cells.groupBy(key).agg(F.count("value").alias("n")).where("n > 0").select(key))
-    return join_side(cells, present, key, "left_semi")
+    some = durable(cells.groupBy(key).agg(F.count("value").alias("n")).where("n > 0").select(key))
+    return join_side(cells, some, key, "left_semi")
 
 
 def near_zero_variance(

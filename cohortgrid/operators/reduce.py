@@ -1,30 +1,40 @@
-"""Projection on leading singular vectors, from a Gram matrix that Spark sums.
-
-Few features: the d x d Gram of the features, one pass over the vectors. Few samples: the n x n Gram of the
-samples, one shuffle of the vectors in chunks of features. Both large: Spark's distributed SVD. Whichever
-is used, only a small square matrix is decomposed on the driver.
+"""Projection on leading singular vectors of the standardised training vectors, by a blocked randomised range finder.
+
+Rows times a small basis are a thin block per task. A tree of QR factors brings the blocks' triangles to one, which
+says how to combine them into an orthonormal range without any task seeing the others' rows; a second pass multiplies
+that range with the rows and gives a small matrix whose singular vectors are the answer. A basis as wide as the matrix
+or its rows makes the first range exact. Else the leading vectors and those of the round before are the next basis, until
+the singular values stand still. One path serves every shape, and directions that the rows do not span always
+project to 0.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from cohortgrid.cluster import durable, join_side, task_count
+from cohortgrid.cluster import durable
+from cohortgrid.fixed import NO_REDUCTION, REDUCTION_NAME
 from cohortgrid.matrix import unfolded
+from cohortgrid.operators.moments import vector_moments
 from cohortgrid.operators.partials import collected, dense, list_column, summed
-from cohortgrid.operators.quality import scaler, varying
+from cohortgrid.operators.quality import feature_scaler, varying
 
-GRAM_LIMIT = 4096
 LOADING_BYTES = 256 << 20
-CHUNK = 1024
+BASIS_BYTES = 64 << 20
+BASIS = 1024  # columns of a basis at most, if k does not ask for more
+SPARE = 16  # columns beyond k at least
+SPANNED = 1e-7  # of the largest singular value; smaller ones are no direction of the data
+STILL = 1e-13  # relative change of the leading squared singular values
+ROUNDS = 60
+FAN = 8  # triangles that one task of the tree joins
+SEED = 20240229
 
 
 @dataclass(frozen=True)
@@ -55,61 +65,111 @@ class Reduction:
         return projected(x)
 
 
+@dataclass(frozen=True)
+class _Rows:
+    """The standardised rows, as tasks read them."""
+
+    vectors: DataFrame
+    width: int
+    columns: np.ndarray
+    mean: np.ndarray
+    sd: np.ndarray
+
+    def reader(self):
+        width, columns, mean, sd = self.width, self.columns, self.mean, self.sd
+        return lambda batch: (dense(batch.column("x"), width)[:, columns] - mean) / sd
+
+
 def feature_gram(
     vectors: DataFrame, width: int, columns: np.ndarray, mean: np.ndarray, sd: np.ndarray
 ) -> DataFrame:
     """(row, v): rows of the Gram matrix of the standardised features, summed over all samples."""
     size = len(columns)
+    read = _Rows(vectors, width, np.asarray(columns), mean, sd).reader()
 
     def add(blocks, batch):
-        x = (dense(batch.column("x"), width)[:, columns] - mean) / sd
+        x = read(batch)
         blocks[0] += x.T @ x
 
     return summed(vectors.select("x"), lambda: {0: np.zeros((size, size))}, add).select("row", "v")
 
 
-def feature_chunks(vectors: DataFrame, width: int, chunk: int) -> DataFrame:
-    """(chunk, sample_id, x): every vector cut into runs of `chunk` features."""
-    starts = F.sequence(F.lit(0), F.lit((width - 1) // chunk))
-    pieces = F.transform(
-        starts, lambda c: F.struct(c.alias("chunk"), F.slice("x", c * chunk + 1, F.lit(chunk)).alias("x"))
-    )
-    return vectors.select("sample_id", F.inline(pieces))
+def _stacked(triangles: Iterator[np.ndarray]) -> np.ndarray | None:
+    """The triangle of all rows of the given ones."""
+    held = None
+    for t in triangles:
+        held = np.linalg.qr(t if held is None else np.vstack([held, t]), mode="r")
+    return held
 
 
-def sample_gram(vectors: DataFrame, width: int, ids: list[str], mean: np.ndarray, sd: np.ndarray) -> DataFrame:
-    """(row, v): rows of the Gram matrix of the standardised samples, in the order of ids.
+def range_triangle(rows: _Rows, basis: np.ndarray) -> np.ndarray:
+    """The triangular factor of all rows times the basis, at most as many rows as the basis has columns."""
+    size, read = basis.shape[1], rows.reader()
 
-    A task holds one chunk of features of all samples at a time: at most GRAM_LIMIT x CHUNK numbers.
-    """
-    place = {s: i for i, s in enumerate(ids)}
-    n, chunk_size = len(ids), CHUNK
-    sd_safe = np.where(np.isfinite(sd) & (sd > 0), sd, np.inf)  # a feature left out scales to 0
+    def packed(triangle: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if triangle is not None:
+            flat = pa.array([triangle.ravel()], pa.list_(pa.float64()))
+            yield pa.record_batch([flat], names=["r"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(_stacked(read(b) @ basis for b in batches if b.num_rows))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(_stacked(np.reshape(r, (-1, size)) for b in batches for r in b.column("r").to_numpy(zero_copy_only=False)))
+
+    parts = rows.vectors.select("x").mapInArrow(own, "r array<double>")
+    tasks = rows.vectors.rdd.getNumPartitions()
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        parts = parts.repartition(tasks).mapInArrow(join, "r array<double>")
+    found = _stacked(np.reshape(r["r"], (-1, size)) for r in parts.toLocalIterator())
+    return np.zeros((1, size)) if found is None else found
 
-    def start():
-        return {0: np.zeros((n, n)), -1: np.zeros((n + 1, chunk_size))}
 
-    def fold(blocks):
-        held = blocks[-1][:n]
-        blocks[0] += held @ held.T
-        held[:] = 0.0
+def cover(rows: _Rows, combined: np.ndarray) -> np.ndarray:
+    """The transposed rows times the orthonormal range (rows times combined): features x columns."""
+    size, columns, read = len(rows.columns), combined.shape[1], rows.reader()
 
     def add(blocks, batch):
-        chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
-        rows = np.array([place[s] for s in batch.column("sample_id").to_pylist()])
-        column = batch.column("x")
-        for c in np.unique(chunk):
-            if blocks[-1][n, 0] != c + 1:
-                fold(blocks)
-                blocks[-1][n, 0] = c + 1
-            at = np.flatnonzero(chunk == c)
-            part = slice(c * chunk_size, min(width, (c + 1) * chunk_size))
-            x = dense(column.take(pa.array(at)), part.stop - part.start)
-            blocks[-1][rows[at], : x.shape[1]] = (x - mean[part]) / sd_safe[part]
-
-    tasks = min(task_count(vectors.sparkSession), width // chunk_size + 1)
-    chunks = feature_chunks(vectors, width, chunk_size).repartition(tasks, "chunk").sortWithinPartitions("chunk")
-    return summed(chunks, start, add, fold).select("row", "v")
+        z = read(batch)
+        blocks[0] += z.T @ (z @ combined)
+
+    sums = summed(rows.vectors.select("x"), lambda: {0: np.zeros((size, columns))}, add)
+    return collected(sums, {0: (size, columns)})[0]
+
+
+def leading_vectors(rows: _Rows, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, vectors as columns): the k largest singular values of n rows and their right singular vectors.
+
+    A vector whose value is under SPANNED of the largest is 0. After ROUNDS the values found are taken; by then
+    they no longer change in any digit that their distance to the next one lets a sample's score show.
+    """
+    size = len(rows.columns)
+    most = min(size, n)
+    wide = min(most, max(k + SPARE, min(BASIS, BASIS_BYTES // (8 * size))))
+    basis = np.eye(size) if wide == size else np.random.default_rng(SEED).standard_normal((size, wide))
+    basis = np.linalg.qr(basis)[0]
+    before = None
+    for _ in range(ROUNDS):
+        triangle = range_triangle(rows, basis)
+        if not np.isfinite(triangle).all():
+            raise ValueError("vectors to reduce must not have missing values")
+        _, s, right = np.linalg.svd(triangle, full_matrices=False)
+        kept = s > 1e-12 * max(s[0], 1e-300)
+        if not kept.any():
+            return np.zeros(k), np.zeros((size, k))
+        wide_vectors, values, _ = np.linalg.svd(cover(rows, basis @ (right[kept].T / s[kept])), full_matrices=False)
+        if before is None and wide == most:
+            break
+        now = values[:k] ** 2
+        if before is not None and len(before) == len(now) and (np.abs(now - before) <= STILL * now[0]).all():
+            break
+        before, last = now, basis[:, :wide]
+        basis = np.linalg.qr(np.hstack([wide_vectors[:, :wide], last]))[0][:, : min(size, 2 * wide)]
+    values, vectors = values[:k], wide_vectors[:, :k]
+    vectors = np.where(values > SPANNED * values[0], vectors, 0.0)
+    missing = k - len(values)
+    return np.pad(values, (0, missing)), np.pad(vectors, ((0, 0), (0, missing)))
 
 
 def oriented(loadings: np.ndarray) -> np.ndarray:
@@ -121,8 +181,7 @@ def oriented(loadings: np.ndarray) -> np.ndarray:
 
 
 def _scales(vectors: DataFrame, kind: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    cells = vectors.select("sample_id", F.posexplode("x").alias("ord", "value"))
-    table = scaler(cells, kind, key="ord").toArrow()
+    table = feature_scaler(vector_moments(vectors, width), kind).toArrow()
     mean, sd = np.zeros(width), np.full(width, np.nan)
     at = table.column("ord").to_numpy()
     mean[at] = table.column("mean").to_numpy()
@@ -139,100 +198,33 @@ def fit_reduction(
     """
     if width * k * 8 > LOADING_BYTES:
         raise ValueError(f"{width} x {k} loadings are too many for one model; select features first")
-    vectors = durable(vectors.select("sample_id", "x"))
-    n = vectors.count()
-    columns = np.arange(width)
-    if drop_near_zero:
-        varied = varying(unfolded(vectors.select("x"), "x", width), n, key="ord")
-        columns = np.sort(varied.toArrow().column("ord").to_numpy())
-    mean, sd = _scales(vectors, "center" if kind == "none" else kind, width)
-    k = min(k, n, len(columns))
-    if k <= 0:
-        raise ValueError("nothing left to reduce")
-    if len(columns) <= GRAM_LIMIT and (len(columns) <= n or n > GRAM_LIMIT):
-        loadings = _from_features(vectors, width, columns, mean, sd, k)
-    elif n <= GRAM_LIMIT:
-        loadings = _from_samples(vectors, width, columns, mean, sd, k)
-    else:
-        loadings = _from_rows(vectors, columns, mean, sd, width, k)
-    return Reduction(columns, mean[columns], sd[columns], oriented(loadings), width)
-
-
-def _from_features(vectors, width, columns, mean, sd, k):
-    size = len(columns)
-    sums = feature_gram(vectors, width, columns, mean[columns], sd[columns])
-    gram = collected(sums.withColumn("block", F.lit(0)), {0: (size, size)})[0]
-    if not np.isfinite(gram).all():
-        raise ValueError("vectors to reduce must not have missing values")
-    return np.linalg.eigh(gram)[1][:, ::-1][:, :k]
-
-
-def _from_samples(vectors, width, columns, mean, sd, k):
-    ids = [r["sample_id"] for r in vectors.select("sample_id").orderBy("sample_id").collect()]
-    used = np.full(width, np.inf)
-    used[columns] = sd[columns]
-    sums = sample_gram(vectors, width, ids, mean, used)
-    gram = collected(sums.withColumn("block", F.lit(0)), {0: (len(ids), len(ids))})[0]
-    if not np.isfinite(gram).all():
-        raise ValueError("vectors to reduce must not have missing values")
-    values, u = np.linalg.eigh(gram)
-    values, u = values[::-1][:k], u[:, ::-1][:, :k]
-    sigma = np.sqrt(np.maximum(values, 0.0))
-    # a direction the samples do not span projects every sample to 0: leave it empty
-    inverse = np.where(sigma > 1e-7 * sigma[0], 1.0 / np.maximum(sigma, 1e-300), 0.0)
-    coefs = u * inverse
-    spark = vectors.sparkSession
-    table = spark.createDataFrame([(s, row.tolist()) for s, row in zip(ids, coefs)], "sample_id STRING, u ARRAY<DOUBLE>")
-    chunk_size = CHUNK
-    pieces = join_side(feature_chunks(vectors, width, chunk_size), table, "sample_id")
-
-    def start():
-        return {}
-
-    def add(blocks, batch):
-        u_rows = dense(batch.column("u"), k)
-        chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
-        for c in np.unique(chunk):
-            at = np.flatnonzero(chunk == c)
-            part = slice(c * chunk_size, min(width, (c + 1) * chunk_size))
-            x = dense(batch.column("x").take(pa.array(at)), part.stop - part.start)
-            shifted = (x - mean[part]) / used[part]
-            held = blocks.setdefault(int(c), np.zeros((part.stop - part.start, k)))
-            held += shifted.T @ u_rows[at]
-
-    shapes = {c: (min(width, (c + 1) * chunk_size) - c * chunk_size, k) for c in range((width - 1) // chunk_size + 1)}
-    by_chunk = pieces.repartition(min(task_count(spark), width // chunk_size + 1), "chunk")
-    blocks = collected(summed(by_chunk, start, add), shapes)
-    return np.vstack([blocks[c] for c in sorted(blocks)])[columns]
-
-
-def _from_rows(vectors, columns, mean, sd, width, k):
-    """Distributed SVD for matrices large on both sides."""
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    @F.arrow_udf(ArrayType(DoubleType()))
-    def scaled(column: pa.Array) -> pa.Array:
-        return list_column((dense(column, width)[:, columns] - mean[columns]) / sd[columns])
-
-    # every step of the solver reads the rows again
-    rows = durable(vectors.select(array_to_vector(scaled("x")).alias("v"))).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = durable(vectors.select("sample_id", "x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"))
-        return matrix.computeSVD(k, computeU=False).V.toArray()
+        n = vectors.count()
+        columns = np.arange(width)
+        if drop_near_zero:
+            varied = varying(unfolded(vectors.select("x"), "x", width), n, key="ord")
+            columns = np.sort(varied.toArrow().column("ord").to_numpy())
+        mean, sd = _scales(vectors, "center" if kind == "none" else kind, width)
+        k = min(k, n, len(columns))
+        if k <= 0:
+            raise ValueError("nothing left to reduce")
+        rows = _Rows(vectors, width, columns, mean[columns], sd[columns])
+        loadings = leading_vectors(rows, n, k)[1]
     finally:
-        rows.unpersist()
+        vectors.unpersist()
+    return Reduction(columns, mean[columns], sd[columns], oriented(loadings), width)
 
 
 def parse_reduction(spec: str | None) -> int:
-    """"svd<k>" -> k; "none", "na", "no" or empty -> 0."""
-    text = (spec or "none").strip().lower()
-    if text in ("none", "na", "no", ""):
+    """Number of components: of "svd<k>" k, of a word for no reduction or of nothing 0."""
+    asked = "" if spec is None else spec.strip().lower()
+    if asked in NO_REDUCTION:
         return 0
-    found = re.fullmatch(r"svd(\d+)", text)
-    if not found:
-        raise ValueError(f"reduction must be svd<k> or none, got {spec!r}")
-    return int(found[1])
+    count = asked.removeprefix(REDUCTION_NAME)
+    if count == asked or not (count.isascii() and count.isdecimal()):
+        raise ValueError(f"cannot read the reduction {spec!r}: give {REDUCTION_NAME} and a number, or none")
+    return int(count)
 
 
 def reduce_if_wider(train: DataFrame, test: DataFrame, width: int, k: int) -> tuple[DataFrame, DataFrame, int]:
@@ -256,11 +248,3 @@ def reduce_by_spec(
         return train, test, width
     model = fit_reduction(train, width, k, kinds[kind.lower()], drop_near_zero=False)
     return train.withColumn("x", model.project("x")), test.withColumn("x", model.project("x")), model.k
-
-
-def loading_table(model: Reduction, names: list[str], spark) -> DataFrame:
-    """(feature, component, v) of a fitted reduction."""
-    rows = [
-        (names[c], j + 1, float(model.loadings[i, j])) for i, c in enumerate(model.columns) for j in range(model.k)
-    ]
-    return spark.createDataFrame(rows, "feature STRING, component INT, v DOUBLE")

@@ -10,6 +10,7 @@ from cohortgrid.matrix import Matrix
 from cohortgrid.operators import cohort, contrasts, mixture, paired, quality
 from cohortgrid.operators.align import align_strict
 from cohortgrid.operators.linear import fit_binary, fit_one_vs_rest
+from cohortgrid.operators.moments import matrix_moments, of_classes, present
 from cohortgrid.operators.probability import with_probabilities
 from cohortgrid.operators.reduce import reduce_by_spec, reduce_if_wider
 
@@ -119,7 +120,7 @@ def _half_present(data: Matrix | DataFrame) -> DataFrame:
         total = data.select("sample_id").distinct().count()
         return durable(quality.missingness(data, total).where("kept").select("feature"))
     require_unique(data.vectors, "sample_id")
-    flags = quality.missingness(data.positions(), data.vectors.count(), "ord").where("kept")
+    flags = quality.feature_missingness(matrix_moments(data), data.vectors.count()).where("kept")
     return durable(data.named(flags).select("feature"))
 
 
@@ -143,11 +144,16 @@ def discover_one_vs_rest(
     classes = cohort.sorted_classes(annotation, "class")
     if isinstance(data, Matrix):
         require_aligned(annotation, data.vectors, "sample_id")
+        require_unique(data.vectors, "sample_id")
+        # One pass: samples outside the training set are a class of their own, which counts as present only.
+        everything = matrix_moments(data, annotation, "class", "left")
+        kept = everything.where(quality.kept_if_present(present("c"), data.vectors.count()))
+        profile = contrasts.residuals(data.named(contrasts.complete(of_classes(kept), classes)))
+        table = contrasts.profile_effects(profile, annotation, classes)
     else:
         require_present(annotation, data, "sample_id", "samples")
-    allowed = _half_present(data)
-    table = contrasts.effects_table(data, annotation, classes)
-    table = join_side(table, allowed, "feature", "left_semi")
+        allowed = _half_present(data)
+        table = join_side(contrasts.effects_table(data, annotation, classes), allowed, "feature", "left_semi")
     markers = paired.marker_union(contrasts.top_markers(table, cutoff, per_class))
     if study == fixed.STUDY_RACE:
         if unwanted is None:

@@ -88,6 +88,18 @@ def test_l1_fit_meets_subgradient_law(spark, data):
     assert np.abs(g[w != 0] + np.sign(w[w != 0])).max() < 1e-6
 
 
+@pytest.mark.parametrize("cost", ["0.02", "0.3"])
+def test_l1_fit_without_curvature_agrees(spark, data, monkeypatch, cost):
+    """Wide matrices: remembered curvature, same orthant rule, no limit on the width."""
+    x, code = data
+    df = frame(spark, x, label=(code == 0).astype(int).tolist())
+    newton = linear.fit_binary(df, 6, classifier=f"LinearSVC_l1_c{cost}")
+    monkeypatch.setattr(linear, "CURVATURE_BYTES", 0)
+    memory = linear.fit_binary(df, 6, classifier=f"LinearSVC_l1_c{cost}", tolerance=1e-8)
+    assert np.allclose(newton.weights, memory.weights, atol=1e-5)
+    assert ((newton.weights == 0) == (memory.weights == 0)).all()
+
+
 def test_gradient_only_path_agrees(spark, data, monkeypatch):
     x, code = data
     df = frame(spark, x, code=code.tolist())
@@ -153,21 +165,45 @@ def reference_svd(x, k, ddof, scale=True):
     return reduce.oriented(v)
 
 
-@pytest.mark.parametrize("path", ["features", "samples", "rows"])
-def test_reduction_paths_agree(spark, monkeypatch, path):
+@pytest.mark.parametrize("n,d,basis", [(40, 12, 1024), (12, 40, 1024), (60, 50, 4), (60, 50, 10)])
+def test_reduction_of_any_shape(spark, monkeypatch, n, d, basis):
+    """Bases narrower than the matrix need several rounds."""
     rng = np.random.default_rng(2)
-    n, d, k = (40, 12, 3) if path == "features" else (12, 40, 3) if path == "samples" else (40, 12, 3)
-    x = rng.normal(size=(n, d)) @ np.diag(np.linspace(1, 3, d)) + rng.normal(size=(n, 1)) * 2
-    monkeypatch.setattr(reduce, "CHUNK", 7)
-    if path == "rows":
-        monkeypatch.setattr(reduce, "GRAM_LIMIT", 4)
+    k = 3
+    x = rng.normal(size=(n, d)) @ np.diag(np.linspace(1, 3, d)) + rng.normal(size=(n, 4)) @ rng.normal(size=(4, d)) * 3
+    monkeypatch.setattr(reduce, "BASIS", basis)
+    monkeypatch.setattr(reduce, "SPARE", 1)
+    monkeypatch.setattr(reduce, "FAN", 2)
     model = reduce.fit_reduction(frame(spark, x).repartition(5), d, k)
-    assert np.allclose(model.loadings, reference_svd(x, k, 1), atol=1e-7)
+    assert np.allclose(model.loadings, reference_svd(x, k, 1), atol=1e-6)
     got = {r["sample_id"]: r["z"] for r in frame(spark, x).select("sample_id", model.project().alias("z")).collect()}
     want = ((x - x.mean(axis=0)) / x.std(axis=0, ddof=1)) @ model.loadings
     assert np.allclose([got[f"s{i}"] for i in range(n)], want)
 
 
+def test_unspanned_directions_project_to_zero_at_any_shape(spark):
+    """Rank two: the third and fourth component are 0, tall or wide."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12, 2)) @ rng.normal(size=(2, 6))
+    tall = reduce.fit_reduction(frame(spark, x), 6, 4)
+    wide = reduce.fit_reduction(frame(spark, np.hstack([x, x, x])), 18, 4)
+    for model in (tall, wide):
+        assert (model.loadings[:, 2:] == 0).all() and (np.abs(model.loadings[:, :2]).max(axis=0) > 0.1).all()
+    some = frame(spark, rng.normal(size=(3, 6)) * 5)
+    z = np.array([r["z"] for r in some.select(tall.project().alias("z")).collect()])
+    assert (z[:, 2:] == 0).all()
+    flat = frame(spark, np.tile(rng.normal(size=(1, 6)), (5, 1)))
+    nothing = reduce.fit_reduction(flat, 6, 2, "center", drop_near_zero=False)
+    assert np.abs(nothing.loadings).max() <= 1
+
+
+def test_reduction_refuses_missing_values(spark):
+    x = np.random.default_rng(1).normal(size=(8, 4))
+    x[3, 2] = np.nan
+    with pytest.raises(ValueError, match="missing values"):
+        reduce.fit_reduction(frame(spark, x), 4, 2)
+
+
 def test_reduction_drops_flat_features_and_caps_k(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(9, 5))

@@ -12,7 +12,7 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-SCORE_NAMES = {"svm_binary_l1", "deconv_posterior", "study_disease_reduced"}  # no closed SQL form
+SCORE_NAMES = {"deconv_posterior"}  # no closed SQL form
 
 
 @pytest.fixture(scope="module")
