@@ -492,6 +492,51 @@ ok AS (SELECT sample_id, x, 0.5 * list_dot_product(x, list_transform(g, lambda q
 be AS (SELECT sample_id, arg_min(x, err) AS x FROM ok GROUP BY sample_id)
 SELECT sample_id, {_x} FROM be"""
 
+_two_parts = """
+two AS (SELECT feature, max(value) FILTER (tissue = t.a) AS p, max(value) FILTER (tissue = t.b) AS q
+        FROM pr, (SELECT (list(r_name ORDER BY r_name))[1] AS a, (list(r_name ORDER BY r_name))[2] AS b FROM region) t
+        WHERE tissue IN (t.a, t.b) GROUP BY feature HAVING count(*) = 2),
+st AS (SELECT sample_id, count(*) AS n, sum((p - q) * (p - q)) AS c, sum((p - q) * (value - q)) AS h, sum((value - q) * (value - q)) AS s
+       FROM sc JOIN two USING (feature) GROUP BY sample_id),
+md AS (SELECT *, h / c AS mid, s - h * h / c AS least FROM st),
+tp AS (SELECT *, least + c * (greatest(0, least(1, mid)) - mid) ** 2 AS at_top FROM md),
+rc AS (SELECT *, sqrt((at_top * exp(60.0 / n) - least) / c) AS reach FROM tp),
+gr AS (SELECT sample_id, n, c, mid, least, at_top,
+              greatest(0, mid - reach) + (least(1, mid + reach) - greatest(0, mid - reach)) * (k + 0.5) / 20000 AS t
+       FROM rc, range(20000) k(k)),
+ws AS (SELECT sample_id, t, exp(-n / 2.0 * (ln(least + c * (t - mid) ** 2) - ln(at_top))) AS w FROM gr),
+ms AS (SELECT sample_id, sum(w * t) / sum(w) AS t FROM ws GROUP BY sample_id)"""
+#: The names of the first two regions, as TPC-H has them.
+ORACLES["deconv_posterior_two"] = f"""WITH {MIXTURE}, {_two_parts}
+SELECT sample_id, {r('t', 5)} AS africa, {r('1 - t', 5)} AS america FROM ms"""
+ORACLES["deconv_posterior_drawn"] = f"""WITH {MIXTURE}
+SELECT DISTINCT sample_id, true AS whole, true AS inside FROM mx"""
+
+# Files -----------------------------------------------------------------------------------------
+
+ORACLES["matrix_file_gzip"] = ORACLES["unpivot_cells"]
+
+
+def _annotation(missing: str) -> str:
+    odd = "CASE class WHEN 'c1' THEN 'null' WHEN 'c2' THEN 'NaN' WHEN 'c3' THEN 'NA' ELSE '1e3' END"
+    return f"""WITH {EMBEDDING}
+SELECT '00' || sample_id AS id, split_gaps, CASE WHEN {odd} NOT IN ({missing}) THEN {odd} END AS odd FROM e"""
+
+
+ORACLES["annotation_file_lenient"] = _annotation("'NA'")
+ORACLES["annotation_file_strict"] = _annotation("'NA', 'NaN', 'null'")
+ORACLES["list_files"] = """WITH b AS (SELECT DISTINCT p_brand FROM part)
+SELECT 'names' AS form, p_brand AS feature, 1::BIGINT AS n FROM b
+UNION ALL SELECT 'lines', '  ' || p_brand || ' ', 1 FROM b
+UNION ALL SELECT 'lines', '', count(*) FROM b"""
+ORACLES["profile_file"] = f"""WITH {MIXTURE}
+SELECT feature, tissue, {r('value', 8)} AS value FROM pr"""
+ORACLES["prediction_file"] = """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, true AS same,
+  CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority || ', "x"' END AS label FROM orders"""
+ORACLES["fraction_file"] = ORACLES["deconv_fractions"]
+ORACLES["strict_cast"] = """SELECT event_id,
+  CASE WHEN event_id % 5 > 1 THEN CAST(regexp_extract(props, '([0-9]+)', 1) || '.25' AS DOUBLE) END AS value FROM events"""
+
 # Studies ---------------------------------------------------------------------------------------
 
 _detected = f"""

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalog import views
-from cohortgrid.cluster import durable
+from cohortgrid.cluster import durable, scratch_path
 from cohortgrid.functions.scores import top_label
 from cohortgrid.matrix import Matrix, number
 from cohortgrid.operators import align, cohort, contrasts, linear, mixture, moments, paired, quality, reduce
 from cohortgrid.operators.probability import reorder_scores, with_probabilities
 from cohortgrid.plans import studies
+from cohortgrid.sources import files
 from cohortgrid.sources.files import matrix_of_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -554,11 +555,125 @@ def deconv_fractions(spark, sf_dir):
     return fractions(spark, sf_dir, "constrained_ls")
 
 
+@query
+def deconv_posterior_two(spark, sf_dir):
+    """The posterior mean of two parts, the first two regions."""
+    profiles, tissues = views.mixture_profiles(spark, sf_dir)
+    two = tissues[:2]
+    vectors = mixture.profile_vectors(profiles.where(F.col("tissue").isin(two)), two)
+    table = mixture.deconvolve(durable(views.mixture_cells(spark, sf_dir)), vectors, two, "posterior_mean")
+    return table.select("sample_id", *[rounded(F.col(f"`{t}`"), 5).alias(t.lower().replace(" ", "_")) for t in two])
+
+
+@query
+def deconv_posterior_drawn(spark, sf_dir):
+    """Laws of the seeded draws for all regions: fractions above 0 that sum to 1."""
+    drawn = fractions(spark, sf_dir, "posterior_mean", 12).alias("d")
+    names = [c for c in drawn.columns if c != "sample_id"]
+    total = sum(F.col(f"d.{c}") for c in names)
+    inside = F.least(*[F.col(f"d.{c}") for c in names]) > 0
+    return drawn.select("sample_id", (F.abs(total - 1) < 1e-9).alias("whole"), inside.alias("inside"))
+
+
 @query
 def deconv_posterior(spark, sf_dir):
     return fractions(spark, sf_dir, "posterior_mean")
 
 
+# Files: written to the shared folder and read back
+
+
+@query
+def matrix_file_gzip(spark, sf_dir):
+    """The embedding matrix as gzipped CSV files."""
+    matrix = views.embedding_matrix(spark, sf_dir)
+    path = scratch_path(spark, "matrix.csv.gz")
+    wide = matrix.vectors.select("sample_id", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(matrix.names())])
+    wide.repartition(3).write.csv(path, header=True, compression="gzip")
+    cells = files.read_matrix(spark, path).cells()
+    return cells.select("sample_id", "feature", rounded("value", 8).alias("value"))
+
+
+def annotation_file(spark, sf_dir, strict) -> DataFrame:
+    """Vector ids with zeros in front, a split that is sometimes missing, and words that only some readers take for
+    missing."""
+    samples = views.embedding_samples(spark, sf_dir)
+    odd = F.when(F.col("class") == "c1", "null").when(F.col("class") == "c2", "NaN").when(F.col("class") == "c3", "NA").otherwise("1e3")
+    path = scratch_path(spark, "samples.csv")
+    files.write_predictions(samples.select(F.concat(F.lit("00"), "sample_id").alias("id"), "split_gaps", odd.alias("odd")), path)
+    return files.read_annotation(spark, path, strict)
+
+
+@query
+def annotation_file_lenient(spark, sf_dir):
+    return annotation_file(spark, sf_dir, False)
+
+
+@query
+def annotation_file_strict(spark, sf_dir):
+    return annotation_file(spark, sf_dir, True)
+
+
+@query
+def list_files(spark, sf_dir):
+    """Brands as a marker list, with blanks around and empty lines between: as names without them, and as lines."""
+    brands = views.table(spark, sf_dir, "part").select("p_brand").distinct()
+    lines = F.array(F.concat(F.lit("  "), "p_brand", F.lit(" ")), F.lit(""))
+    path = scratch_path(spark, "markers.txt")
+    files.write_markers(brands.select(F.explode(lines).alias("feature")), path)
+    rows = [("names", n) for n in files.read_feature_list(spark, path)]
+    rows += [("lines", n) for n in files.read_feature_list(spark, path, stripped=False)]
+    return spark.createDataFrame(rows, "form STRING, feature STRING").groupBy("form", "feature").agg(F.count("*").alias("n"))
+
+
+@query
+def profile_file(spark, sf_dir):
+    """Reference profiles as a CSV table, marker by tissue."""
+    profiles, tissues = views.mixture_profiles(spark, sf_dir)
+    path = scratch_path(spark, "profiles.csv")
+    wide = profiles.groupBy("feature").pivot("tissue", tissues).agg(F.max("value"))
+    wide.write.csv(path, header=True)
+    vectors, names = files.read_profiles(spark, path)
+    cells = vectors.select("feature", F.posexplode("a").alias("at", "value"))
+    listed = F.array(*map(F.lit, names))
+    return cells.select("feature", F.get(listed, F.col("at")).alias("tissue"), rounded("value", 8).alias("value")).where("value IS NOT NULL")
+
+
+@query
+def prediction_file(spark, sf_dir):
+    """Scores with all their digits, labels that need quotes, missing values as NA."""
+    orders = views.table(spark, sf_dir, "orders")
+    label = F.when(F.col("o_orderkey") % 7 == 0, None).otherwise(F.concat(F.col("o_orderpriority"), F.lit(', "x"')))
+    path = scratch_path(spark, "predictions.csv")
+    files.write_predictions(orders.select("o_orderkey", (F.col("o_totalprice") / 3).alias("score"), label.alias("label")), path)
+    back = spark.read.csv(path, header=True, nullValue="NA", escape="\\")
+    score = F.col("score").cast("double") == F.col("o_totalprice") / 3
+    joined = back.join(orders.select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_totalprice"), "o_orderkey")
+    return joined.select("o_orderkey", score.alias("same"), "label")
+
+
+@query
+def fraction_file(spark, sf_dir):
+    """Mixture fractions as a CSV table with sorted tissues."""
+    profiles, tissues = views.mixture_profiles(spark, sf_dir)
+    vectors = mixture.profile_vectors(profiles, tissues)
+    path = scratch_path(spark, "fractions.csv")
+    files.write_fractions(mixture.deconvolve(durable(views.mixture_cells(spark, sf_dir)), vectors, tissues), path)
+    back = spark.read.csv(path, header=True)
+    return back.select(
+        "sample_id", *[rounded(F.col(f"`{t}`").cast("double")).alias(t.lower().replace(" ", "_")) for t in back.columns[1:]]
+    )
+
+
+@query
+def strict_cast(spark, sf_dir):
+    """Numbers and spelled-out missing values; any other text would raise."""
+    events = views.table(spark, sf_dir, "events")
+    digits = F.regexp_extract("props", r"([0-9]+)", 1)
+    text = F.when(F.col("event_id") % 5 == 0, "NA").when(F.col("event_id") % 5 == 1, "nan").otherwise(F.concat(F.lit(" "), digits, F.lit(".25")))
+    return events.select("event_id", number(text, strict=True).alias("value"))
+
+
 # Studies
 
 

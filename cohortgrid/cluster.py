@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,6 +29,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, for tables that a job writes and reads back."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="cohortgrid-")
+    return f"{folder}/{uuid.uuid4().hex}/{name}"
+
+
 def task_count(spark: SparkSession) -> int:
     """Tasks to spread heavy work over: the cores known now, or the shuffle setting if executors are still
     to come."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from cohortgrid.matrix import Matrix, named_positions, number, quoted
 from cohortgrid.operators.quality import drop_half_missing
 
 COLUMN_LIMIT = 2000
+INFLATE_BYTES = 4 << 20  # of compressed text that a task inflates at once
 
 
 def _spread(df: DataFrame, path: str) -> DataFrame:
@@ -23,23 +25,54 @@ def _spread(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
-def _checked(path: str) -> None:
-    """Spark knows a compressed file by the lower-case suffix only."""
-    if path.lower().endswith(".gz") and not path.endswith(".gz"):
-        raise ValueError(f"rename {path} to end in .gz")
+def _upper_case(path: str) -> bool:
+    """Whether the path ends in .gz, but not in lower case, by which Spark knows compressed files."""
+    return path.lower().endswith(".gz") and not path.endswith(".gz")
 
 
 def _header(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path).first()["value"].lstrip("﻿")
+    lines = _inflated(spark, path, 0) if _upper_case(path) else spark.read.text(path).withColumnRenamed("value", "line")
+    return lines.first()["line"].lstrip("\ufeff")
+
+
+def _inflated(spark: SparkSession, path: str, skip: int) -> DataFrame:
+    """line, from gzip files whatever their name, without the first `skip` lines of each; a file holds up to 2 GB
+    compressed and is read by one task, piece by piece."""
+
+    def lines(content: pa.Scalar) -> Iterator[list[bytes]]:
+        data, at, rest, first = memoryview(content.as_buffer()), 0, b"", skip
+        member = zlib.decompressobj(31)
+        while at < len(data):
+            out = member.decompress(data[at : at + INFLATE_BYTES])
+            at = min(len(data), at + INFLATE_BYTES) - len(member.unused_data)
+            if member.eof:
+                member = zlib.decompressobj(31)
+            *whole, rest = (rest + out).split(b"\n")
+            yield whole[first:]
+            first = max(0, first - len(whole))
+        if rest and not first:
+            yield [rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                for part in lines(content):
+                    texts = [x.decode().removesuffix("\r") for x in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["line"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line STRING")
 
 
 def read_matrix(spark: SparkSession, path: str, strict: bool = False, column_limit: int = COLUMN_LIMIT) -> Matrix:
     """Wide CSV: the first column is the key whatever its name, every other column is a feature.
 
-    Beyond column_limit names are kept as a table; rows are read alike.
+    A path that ends in .gz, in any case, is read as gzip. Beyond column_limit names are kept as a table; rows are
+    read alike.
     """
-    _checked(path)
-    lines = spark.read.schema("line STRING").option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    if _upper_case(path):
+        lines = _inflated(spark, path, 1)
+    else:
+        lines = spark.read.schema("line STRING").option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
     return matrix_of_lines(_spread(lines, path), _header(spark, path), strict, column_limit)
 
 

@@ -80,8 +80,20 @@ def test_fractions(spark, tmp_path):
     assert got["x"] == (pytest.approx(0.7), pytest.approx(0.3)) and got["y"] == (pytest.approx(0), pytest.approx(1))
 
 
-def test_upper_case_suffix_is_refused(spark, tmp_path):
-    from cohortgrid.sources.files import read_matrix
-
-    with pytest.raises(ValueError, match="rename"):
-        read_matrix(spark, str(tmp_path / "m.csv.GZ"))
+def test_gzip_in_any_case(spark, tmp_path, monkeypatch):
+    """Also of several members, read in small pieces, with line ends of either kind."""
+    import gzip
+
+    import cohortgrid.sources.files as files
+
+    text = ["sample_id,a,b", *[f"s{i},{i},{i}.5" for i in range(500)], "last,NA,7"]
+    content = "\n".join(text[:200]) + "\n" + "\r\n".join(text[200:])
+    parts = [content[:37], content[37:900], content[900:]]
+    packed = b"".join(gzip.compress(p.encode()) for p in parts)
+    want = sorted((f"s{i}", (float(i), i + 0.5)) for i in range(500)) + [("last", (None, 7.0))]
+    for name, size in (("m.csv.GZ", 4 << 20), ("n.csv.Gz", 50), ("o.csv.gz", 4 << 20)):
+        (tmp_path / name).write_bytes(packed)
+        monkeypatch.setattr(files, "INFLATE_BYTES", size)
+        matrix = files.read_matrix(spark, str(tmp_path / name))
+        assert matrix.names() == ["a", "b"]
+        assert sorted(((r["sample_id"], tuple(r["x"])) for r in matrix.vectors.collect()), key=str) == sorted(want, key=str)

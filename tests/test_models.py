@@ -393,6 +393,35 @@ def test_posterior_is_seeded_and_near_the_truth(spark):
         assert np.allclose(x, truth[int(s[1:])], atol=0.05)
 
 
+def test_batched_fits_are_optimal():
+    """Slopes are equal on the support and no smaller off it; supports of many sizes, also where aa is singular."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(300):
+        a = rng.normal(size=(3 if i % 7 == 0 else 9, 6)) + rng.normal() * (i % 3)
+        x = rng.dirichlet(np.full(6, 0.3))
+        b = a @ x + rng.normal(size=len(a)) * rng.choice([0.01, 1.0, 5.0])
+        rows.append((a.T @ a, a.T @ b))
+    aa, ab = (np.array(v) for v in zip(*rows))
+    x = mixture.constrained_fits(aa, ab)
+    assert np.allclose(x.sum(axis=1), 1) and (x >= 0).all()
+    assert len({tuple(p) for p in x > 0}) > 10
+    slope = np.einsum("ijk,ik->ij", aa, x) - ab
+    scale = np.abs(aa).max(axis=(1, 2)) + np.abs(ab).max(axis=1)
+    level = np.where(x > 1e-9, slope, np.inf).min(axis=1)
+    assert (slope - level[:, None] > -1e-7 * scale[:, None]).all()
+    assert (np.where(x > 1e-9, slope - level[:, None], 0) < 1e-7 * scale[:, None]).all()
+
+
+def test_draws_agree_with_quadrature():
+    rng = np.random.default_rng(3)
+    for n in (4, 12, 200):
+        a = rng.normal(size=(n, 2))
+        b = a @ np.array([0.2, 0.8]) + rng.normal(size=n)
+        args = (a.T @ a)[None], (a.T @ b)[None], np.array([b @ b]), np.array([n])
+        assert np.abs(mixture.two_part_mean(*args) - mixture.drawn_mean(*args, [1], 40000)).max() < 0.01
+
+
 def test_posterior_mean_matches_integration():
     """Two tissues: the posterior of one fraction can be integrated on a grid."""
     rng = np.random.default_rng(13)
