@@ -405,7 +405,7 @@ def train_vectors(spark, sf_dir) -> tuple[DataFrame, Matrix]:
 def gram_matrix(spark, sf_dir):
     vectors, matrix = train_vectors(spark, sf_dir)
     vectors = durable(vectors)
-    columns, (mean, sd) = range(matrix.width), reduce._scales(vectors, "sample", matrix.width)
+    columns, (mean, sd) = range(matrix.width), reduce._scales(moments.vector_moments(vectors, matrix.width), "sample", matrix.width)
     gram = reduce.feature_gram(vectors, matrix.width, list(columns), mean, sd)
     return gram.select((F.col("row") + 1).alias("i"), F.posexplode("v").alias("j", "g")).select(
         "i", (F.col("j") + 1).alias("j"), rounded("g").alias("g")

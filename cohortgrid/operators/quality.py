@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,6 +16,7 @@ from cohortgrid.operators.moments import present
 from cohortgrid.operators.partials import dense
 
 HASH_WORDS = 16  # of 64 hash buckets each
+LOOK = 4
 
 
 def missingness(cells: DataFrame, total: int, key: str = "feature") -> DataFrame:
@@ -162,6 +165,43 @@ def varying(
     return settled.where("many").select(key).unionByName(counted.where("NOT near_zero").select(key))
 
 
+def varying_features(
+    vectors: DataFrame,
+    moments: DataFrame,
+    total: int,
+    freq_ratio: float = NZV_FREQ_RATIO,
+    unique_percent: float = NZV_UNIQUE_PERCENT,
+) -> DataFrame:
+    """varying by position (ord), for the vectors(sample_id, x) of which moments are given.
+
+    The moments settle features that are constant or have few values. A feature that may be flagged has at most
+    unique_percent distinct values per hundred samples, so a part of the samples, drawn by id, that shows more of them
+    proves that it varies; LOOK times as many samples as that are looked at. Only the values of the features that this
+    leaves are counted. It leaves those with few distinct values, which combine before their shuffle.
+    """
+    low = F.array_min(F.transform("c", lambda e: e["low"]))
+    high = F.array_max(F.transform("c", lambda e: e["high"]))
+    known = durable(moments.where(low < high).select("ord", (present("c") <= freq_ratio + 1).alias("few")))
+    open_ = [r["ord"] for r in known.where("NOT few").select("ord").collect()]
+    share = min(1.0, LOOK * unique_percent / 100)
+    drawn = F.pmod(F.xxhash64(F.lit(3), "sample_id"), F.lit(1 << 20)) < round(share * (1 << 20))
+    values = _cells_at(vectors.where(drawn), open_).where("value IS NOT NULL").distinct()
+    seen = values.groupBy("ord").agg(F.count("*").alias("n"))
+    many = seen.where(100.0 * F.col("n") / F.lit(float(total)) > unique_percent).select("ord")
+    many = durable(known.where("few").select("ord").unionByName(many))
+    settled = {r["ord"] for r in many.collect()}
+    doubtful = [at for at in open_ if at not in settled]
+    counted = near_zero_variance(_cells_at(vectors, doubtful), total, freq_ratio, unique_percent, "ord")
+    return many.unionByName(counted.where("NOT near_zero").select("ord"))
+
+
+def _cells_at(vectors: DataFrame, positions: list[int]) -> DataFrame:
+    """(ord, value) of the entries at some positions only."""
+    places = F.from_json(F.lit(json.dumps(positions)), "array<int>")
+    taken = F.transform(places, lambda i: F.struct(i.alias("ord"), (F.get("x", i) + 0.0).alias("value")))
+    return vectors.select(F.inline(taken))
+
+
 def scaler(cells: DataFrame, kind: str = "sample", key: str = "feature") -> DataFrame:
     """Mean and scale per feature of the training cells.
 

@@ -21,10 +21,9 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortgrid.cluster import durable
 from cohortgrid.fixed import NO_REDUCTION, REDUCTION_NAME
-from cohortgrid.matrix import unfolded
 from cohortgrid.operators.moments import vector_moments
 from cohortgrid.operators.partials import collected, dense, list_column, summed
-from cohortgrid.operators.quality import feature_scaler, varying
+from cohortgrid.operators.quality import feature_scaler, varying_features
 
 LOADING_BYTES = 256 << 20
 BASIS_BYTES = 64 << 20
@@ -180,8 +179,8 @@ def oriented(loadings: np.ndarray) -> np.ndarray:
     return loadings * np.where(top < 0, -1.0, 1.0)
 
 
-def _scales(vectors: DataFrame, kind: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    table = feature_scaler(vector_moments(vectors, width), kind).toArrow()
+def _scales(moments: DataFrame, kind: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    table = feature_scaler(moments, kind).toArrow()
     mean, sd = np.zeros(width), np.full(width, np.nan)
     at = table.column("ord").to_numpy()
     mean[at] = table.column("mean").to_numpy()
@@ -201,11 +200,12 @@ def fit_reduction(
     vectors = durable(vectors.select("sample_id", "x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = vectors.count()
+        moments = durable(vector_moments(vectors, width))
         columns = np.arange(width)
         if drop_near_zero:
-            varied = varying(unfolded(vectors.select("x"), "x", width), n, key="ord")
+            varied = varying_features(vectors, moments, n)
             columns = np.sort(varied.toArrow().column("ord").to_numpy())
-        mean, sd = _scales(vectors, "center" if kind == "none" else kind, width)
+        mean, sd = _scales(moments, "center" if kind == "none" else kind, width)
         k = min(k, n, len(columns))
         if k <= 0:
             raise ValueError("nothing left to reduce")

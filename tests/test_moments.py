@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import cohortgrid.operators.moments as moments
 from cohortgrid.matrix import Matrix
@@ -83,3 +84,19 @@ def test_vector_forms_agree_with_cells(spark, data):
 def test_unknown_scaling(spark, data):
     with pytest.raises(ValueError):
         quality.feature_scaler(vector_moments(frame(spark, *data), 37), "other")
+
+
+@pytest.mark.parametrize("ratio,percent", [(3.0, 10.0), (19.0, 10.0), (3.0, 60.0), (899.0, 1.0)])
+def test_varying_features_agree_with_counting(spark, ratio, percent):
+    rng = np.random.default_rng(7)
+    n = 400
+    columns = [rng.normal(size=n), np.zeros(n), np.full(n, np.nan), np.r_[1.0, np.zeros(n - 1)], rng.integers(0, 3, n) * 1.0]
+    columns += [np.where(rng.random(n) < p, rng.normal(size=n), 0.0) for p in (0.02, 0.05, 0.1, 0.3, 0.7)]
+    columns += [np.where(rng.random(n) < p, rng.integers(0, 30, n), -0.0) for p in (0.1, 0.4, 0.9)]
+    columns += [np.where(np.arange(n) < 3, np.arange(n), np.nan), np.where(rng.random(n) < 0.5, np.nan, rng.integers(0, 2, n) * 1.0)]
+    x = np.array(columns).T
+    df = frame(spark, x, ["a"] * n)
+    cells = df.select(F.posexplode("x").alias("ord", "value"))
+    want = {r["ord"] for r in quality.near_zero_variance(cells, n, ratio, percent, "ord").where("NOT near_zero").collect()}
+    got = [r["ord"] for r in quality.varying_features(df, vector_moments(df, x.shape[1]), n, ratio, percent).collect()]
+    assert sorted(got) == sorted(want)
