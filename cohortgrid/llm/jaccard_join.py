@@ -2,7 +2,9 @@
 
 Sizes fall into bands. Two linked sets differ in at most D shingles, D known per band; so of D + 1 ranges of the hash
 space at least one holds the same shingles in both. A tile is a band, a range and its content: only documents that
-share a tile can link. In a tile, hashed bitmaps bound the overlap from above by their bit counts, and what
+share a tile can link. Small sets would leave ranges empty and meet in tiles of nothing; a pair with one of at most
+small_size() shingles meets by deletion instead: the common subset of a linked pair is either set without a few
+shingles, so each drops every choice of so many. In a tile, hashed bitmaps bound the overlap from above by their bit counts, and what
 passes is settled by intersecting sorted arrays. Tiles first link each set to one partner; pairs that these
 links already connect are not looked at again, so a group of copies costs a star and not its pairs.
 """
@@ -11,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,8 @@ from cohortgrid.llm.graph import components
 BAND_RATIO = 1.5
 BLOCK = 128  # members of a tile that are compared at once
 ROWS = 512  # rows whose sets are in memory at once
+DELETIONS = 128  # keys of a set by deletion at most
+KEY_BITS = np.uint64((1 << 48) - 1)  # of a tile's key: shorter ones travel lighter
 SEEN = 200_000  # sets of which a task remembers that it has met them
 
 
@@ -60,16 +66,43 @@ def _edges(ranges: int) -> np.ndarray:
     return np.array([-(-(j << 64) // ranges) for j in range(1, ranges)], np.uint64)
 
 
+@lru_cache(64)
+def small_size(num: int, den: int) -> int:
+    """The largest size of which each set that may link with one of it has DELETIONS keys or fewer."""
+
+    def keys(size: int, small: int) -> int:
+        return sum(comb(size, k) for k in range(size - -(-size * num // den) + 1) if size - k <= small)
+
+    small = 0
+    while small < 64 and all(keys(n, small + 1) <= DELETIONS for n in range(1, (small + 1) * den // num + 1)):
+        small += 1
+    return small
+
+
+def deletion_keys(hashes: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """A key for each subset of the set that may be all it shares with a linked one, if one of the two is small."""
+    size, small = len(hashes), small_size(num, den)
+    mixed = mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
+    whole, keys = mixed.sum(dtype=np.uint64), []
+    for dropped in range(size - -(-size * num // den) + 1):
+        if size - dropped <= small:
+            out = np.array(list(combinations(range(size), dropped)), np.int64).reshape(comb(size, dropped), dropped)
+            keys.append(mix(whole - mixed[out].sum(axis=1, dtype=np.uint64)))
+    return keys
+
+
 def tile_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the tiles a set belongs to, for links at Jaccard num / den or more."""
-    size, keys = len(hashes), []
+    """Keys of the tiles a set belongs to, for links at Jaccard num / den or more; two sets with one key by chance are
+    compared for nothing."""
+    size, small = len(hashes), small_size(num, den)
+    keys = deletion_keys(hashes, num, den) if size <= small * den // num else []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes), dtype=np.uint64)])
-    at, last = size, size * den // num
+    at, last = size, size * den // num if size > small else 0
     while at <= last:
         number, _, high = band_of(at)
         differ = 2 * high * (den - num) // (den + num)
         if differ:  # else equal sets only, which meet by their set key
-            spare = 2 + differ // 64
+            spare = 2 + differ // 64 if high >= 64 else 6  # more ranges that agree: fewer sets whose agreeing ones are empty
             ranges = differ + 1 + spare
             ends = np.concatenate([[0], np.searchsorted(hashes, _edges(ranges)), [size]])
             content = sums[ends[1:]] - sums[ends[:-1]]
@@ -79,7 +112,7 @@ def tile_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
             most = (size + min(high, last)) * (den - num) // (den + num)
             keys.append(mix(content[~empty] if empty.sum() < ranges - most else content))
         at = high + 1
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+    return np.unique(np.concatenate(keys) & KEY_BITS) if keys else np.empty(0, np.uint64)
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -145,20 +178,23 @@ def _tiles(ngram: int, num: int, den: int):
     return run
 
 
-def _sets(ngram: int):
+def _bitmaps(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in slices(batches, ROWS):
             sets = [shingle_set(t, hasher, ngram) for t in byte_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(list(map(len, sets)), pa.int64()),
-                    pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                ["doc_id", "n", "bits", "hashes"],
-            )
+            sizes, bits = pa.array(list(map(len, sets)), pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, bits], ["doc_id", "n", "bits"])
+
+    return run
+
+
+def _arrays(ngram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in slices(batches, ROWS):
+            sets = [shingle_set(t, hasher, ngram).tobytes() for t in byte_texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
 
     return run
 
@@ -263,18 +299,21 @@ def similar_components(documents: DataFrame, ngram: int = 5, num: int = 80, den:
     )
     sets = written(
         keep_ids(source, written(wanted.distinct()), "doc_id")
-        .mapInArrow(_sets(ngram), "doc_id long, n long, bits binary, hashes binary")
+        .mapInArrow(_bitmaps(ngram), "doc_id long, n long, bits binary")
     )
 
-    def with_sides(pairs: DataFrame, **columns: str) -> DataFrame:
+    def with_sides(pairs: DataFrame, of: DataFrame, **columns: str) -> DataFrame:
         for name, tag in (("a", "x"), ("b", "y")):
             side = [F.col(column).alias(f"{tag}{short}") for short, column in columns.items()]
-            pairs = pairs.join(sets.select(F.col("doc_id").alias(name), *side), name)
+            pairs = pairs.join(of.select(F.col("doc_id").alias(name), *side), name)
         return pairs.select("a", "b", *[f"{tag}{short}" for tag in "xy" for short in columns])
 
     def settled(pairs: DataFrame) -> DataFrame:
-        pairs = with_sides(pairs, n="n", b="bits").mapInArrow(_bound(num, den), "a long, b long")
-        return with_sides(pairs, s="hashes").mapInArrow(_settle(num, den), "a long, b long")
+        """Bounded by bitmaps first: only the sets of pairs that these leave travel whole."""
+        pairs = written(with_sides(pairs, sets, n="n", b="bits").mapInArrow(_bound(num, den), "a long, b long"))
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        arrays = keep_ids(source, ids, "doc_id").mapInArrow(_arrays(ngram), "doc_id long, hashes binary")
+        return with_sides(pairs, arrays, s="hashes").mapInArrow(_settle(num, den), "a long, b long")
 
     links = written(settled(stars).unionByName(copies))
     groups = components(links)
