@@ -23,10 +23,10 @@ def clean_labels(labels: DataFrame, column: str, usable: Column) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
 
 
-def sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[pd.DataFrame, dict[int, int]]:
-    """Texts of up to per_class documents of either label (doc_id, text, label), and all counts by label.
+def sampled(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label) of up to per_class documents of either label, and all counts by label.
 
-    The ids are picked by their hash before any text is read, so the driver gets 2 * per_class texts at most.
+    The ids are picked by their hash before any text is read. Of several rows of an id the smallest text counts.
     """
     counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     picked = None
@@ -34,8 +34,14 @@ def sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[pd.
         some = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"])
-    return rows.toPandas().sort_values("doc_id", ignore_index=True), {k: counts.get(k, 0) for k in (0, 1)}
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return rows, {k: counts.get(k, 0) for k in (0, 1)}
+
+
+def sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[pd.DataFrame, dict[int, int]]:
+    """sampled on the driver, by doc_id: 2 * per_class texts at most."""
+    rows, counts = sampled(documents, labels, per_class)
+    return rows.toPandas().sort_values("doc_id", ignore_index=True), counts
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 50) -> np.ndarray:
@@ -71,3 +77,14 @@ def scored(documents: DataFrame, score) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def below(documents: DataFrame, score, bound: float) -> DataFrame:
+    """The rows of documents whose text scores under bound; judged row by row, whatever the id. All columns stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = score()
+        for batch in slices(batches, 512):
+            yield batch.filter(pa.array([rate(t or "") < bound for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -54,7 +54,7 @@ def measures(text: str, good, bad) -> np.ndarray:
 
 
 def _dictionary(texts: list[str]) -> bytes:
-    parts = [t.encode()[a : a + BLOCK] for t in texts for a in range(0, len(t.encode()), BLOCK)]
+    parts = [data[a : a + BLOCK] for data in map(str.encode, texts) for a in range(0, len(data), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself serves

@@ -1,5 +1,6 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative model of their votes, a linear classifier.
 
+Tasks read the texts of the labelled sample and count their features; the driver gets the listed features' numbers only.
 Lexicons are words and word stems that the labelled sample shows to mark either class; patterns look at the form of
 a text. The label model sees no label: it estimates by expectation and maximisation how often each voter is right, and
 takes weight from voters that err together. The classifier learns its posterior labels.
@@ -7,20 +8,23 @@ takes weight from voters that err together. The classifier learns its posterior
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import nsmallest
 
 import numpy as np
+import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from cohortgrid.llm.common import MEMO_WORDS
-from cohortgrid.llm.labelled import sample, scored, sigmoid
+from cohortgrid.llm.common import MEMO_WORDS, mix, slices, written
+from cohortgrid.llm.labelled import sampled, scored, sigmoid
 
 PER_CLASS = 3_000  # labelled documents of a class that the model is fitted on, at most
 STEMS = (4, 5, 6)  # letters of the stems that count as features beside whole words
+HELD = 300_000  # features that a task counts before it hands them on
+BANDS, ROWS = 12, 2  # min-hash keys of a text, and minima in a key
+ALIKE = 0.5  # Jaccard similarity of the words of near copies
 CHANCE = 0.01  # features that may enter a lexicon by chance alone, about, however many are tried
 LEXICONS = 8  # toxic lexicons that strong and weak features are dealt to, and as many clean ones
 WORD = regex.compile(r"[^\W\d_]+")
@@ -40,10 +44,6 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}~" for n in STEMS if len(word) > n)]
 
 
-def _features(words: set[str]) -> set[str]:
-    return {f for w in words for f in features_of(w)}
-
-
 @dataclass(frozen=True)
 class ToxicityModel:
     weights: dict[str, float]
@@ -63,41 +63,119 @@ class ToxicityModel:
         return lambda text: sigmoid(self.offset + sum(map(weight, words_of(text))))
 
 
-def first_of_kind(documents: list[set[str]]) -> list[int]:
-    """Places of the documents, one for near copies: those with the same two smallest word hashes. Words that copies
-    share by chance would look like evidence."""
-    seen: dict[tuple, int] = {}
-    for i, words in enumerate(documents):
-        seen.setdefault(tuple(nsmallest(2, map(xxhash.xxh3_64_intdigest, words))), i)
-    return sorted(seen.values())
-
-
-def lexicons(documents: list[set[str]], labels: np.ndarray) -> tuple[list[str], list[str]]:
-    """Features that favour label 1, and label 0, the strongest first."""
-    seen = [Counter(), Counter()]
-    for words, label in zip(documents, labels):
-        seen[int(label)].update(_features(words))
-    share = float(np.mean(labels))
-    tried = len(seen[0].keys() | seen[1].keys())
-    evidence = np.sqrt(2 * np.log(max(2, tried) / CHANCE))  # the tail of a normal deviate
-    found: tuple[list, list] = ([], [])
-    for f in sorted(seen[0].keys() | seen[1].keys()):
-        ones, all_ = seen[1][f], seen[0][f] + seen[1][f]
-        surprise = sum(k * np.log(k / (all_ * s)) for k, s in ((ones, share), (all_ - ones, 1 - share)) if k)
-        strength = np.sign(ones - all_ * share) * np.sqrt(max(0.0, 2 * surprise))
-        if abs(strength) >= evidence:
-            found[0 if strength > 0 else 1].append((-abs(strength), f))
-    return tuple([f for _, f in sorted(side)] for side in found)
-
-
-def votes(texts: list[str], documents: list[set[str]], toxic: list[set[str]], clean: list[set[str]]) -> np.ndarray:
-    """1, -1 or 0 (no opinion) of each voter on each text: all toxic lexicons as one, each lexicon, the patterns."""
-    out = np.zeros((len(texts), 1 + len(toxic) + len(clean) + len(PATTERNS)), np.int8)
-    for i, (text, features) in enumerate(zip(texts, documents)):
-        hits = [bool(features & lexicon) for lexicon in toxic]
-        against = [-1 * bool(features & lexicon) for lexicon in clean]
-        out[i] = [any(hits), *hits, *against, *(bool(p.search(text)) for p in PATTERNS)]
-    return out
+def _read_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, words, patterns, bands): distinct words, votes of the patterns, min-hash keys of the words."""
+    for batch in slices(batches, 256):
+        texts = batch.column("text").to_pylist()
+        words = [sorted(words_of(t)) for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                batch.column("label"),
+                pa.array(words, pa.list_(pa.string())),
+                pa.array([[int(bool(p.search(t))) for p in PATTERNS] for t in texts], pa.list_(pa.int32())),
+                pa.array([bands(w) for w in words], pa.list_(pa.int64())),
+            ],
+            ["doc_id", "label", "words", "patterns", "bands"],
+        )
+
+
+def bands(words: list[str]) -> list[int]:
+    """BANDS keys; sets that share most words share a key. None without words."""
+    if not words:
+        return []
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    with np.errstate(over="ignore"):
+        least = [mix(hashes ^ mix(np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))).min() for k in range(BANDS * ROWS)]
+        joined = [mix(np.array(least[i : i + ROWS]) * np.uint64(2 * i + 3)).sum(dtype=np.uint64) for i in range(0, len(least), ROWS)]
+    return [int(x) for x in np.array(joined, np.uint64).view(np.int64)]
+
+
+def one_of_kind(rows: DataFrame) -> DataFrame:
+    """rows without the near copies of others of their label: words that copies share by chance would look like evidence.
+
+    A row goes if it shares ALIKE of its words, by Jaccard, with the row of smallest doc_id that shares a min-hash key
+    with it. Rows that are no near copies always stay.
+    """
+    keyed = rows.select("doc_id", "label", F.explode("bands").alias("band"))
+    firsts = keyed.groupBy("label", "band").agg(F.min("doc_id").alias("first"))
+    pairs = keyed.join(firsts, ["label", "band"]).where("first < doc_id").select("doc_id", "first").distinct()
+    sides = pairs.join(rows.select("doc_id", "words"), "doc_id")
+    sides = sides.join(rows.select(F.col("doc_id").alias("first"), F.col("words").alias("others")), "first")
+    shared = F.size(F.array_intersect("words", "others"))
+    alike = shared >= ALIKE * (F.size("words") + F.size("others") - shared)
+    return rows.join(sides.where(alike).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, ones, n): texts of a task with a feature, those of label 1 and all."""
+    seen: list[dict[str, int]] = [{}, {}]
+
+    def out() -> pa.RecordBatch:
+        names = list(seen[0].keys() | seen[1].keys())
+        ones = [seen[1].get(f, 0) for f in names]
+        n = [seen[0].get(f, 0) + k for f, k in zip(names, ones)]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ones, pa.int64()), pa.array(n, pa.int64())], ["f", "ones", "n"])
+
+    for batch in slices(batches, 64):
+        for label, words in zip(batch.column("label").to_pylist(), batch.column("words").to_pylist()):
+            counts = seen[label]
+            for f in {f for w in words for f in features_of(w)}:
+                counts[f] = counts.get(f, 0) + 1
+        if len(seen[0]) + len(seen[1]) >= HELD:
+            yield out()
+            seen = [{}, {}]
+    yield out()
+
+
+def lexicons(rows: DataFrame, counts: dict[int, int]) -> tuple[list[str], list[str]]:
+    """Features that favour label 1, and label 0, the strongest first; rows (doc_id, label, words), counts of all labels.
+
+    A feature has to speak for its label more often than chance explains, and to be right more often than wrong among
+    all labels: a voter that errs more often than not misleads the label model.
+    """
+    counted = rows.select("label", "words").mapInArrow(_count_features, "f string, ones long, n long")
+    found = written(counted.groupBy("f").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")))
+    total, share = rows.agg(F.count("*"), F.avg("label")).first()
+    evidence = float(np.sqrt(2 * np.log(max(2, found.count()) / CHANCE)))  # the tail of a normal deviate
+    if not total or not 0 < share < 1:
+        return [], []
+    parts = [
+        F.when(k > 0, k * F.log(k / (F.col("n") * s))).otherwise(0.0)
+        for k, s in ((F.col("ones"), share), (F.col("n") - F.col("ones"), 1 - share))
+    ]
+    strength = F.signum(F.col("ones") - F.col("n") * share) * F.sqrt(F.greatest(F.lit(0.0), 2 * (parts[0] + parts[1])))
+    one, zero = counts[1] / (total * share) * F.col("ones"), counts[0] / (total * (1 - share)) * (F.col("n") - F.col("ones"))
+    right = F.when(strength > 0, one >= zero).otherwise(zero >= one)
+    strong = found.select("f", strength.alias("s"), right.alias("right")).where("right").where(F.abs("s") >= evidence).collect()
+    ranked = sorted((-abs(r["s"]), r["f"], r["s"] > 0) for r in strong)
+    return [f for _, f, up in ranked if up], [f for _, f, up in ranked if not up]
+
+
+def _listed(names: list[str]):
+    """(doc_id, label, patterns, at): the places of a text's listed features, once for each word that has them."""
+    place = {f: j for j, f in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [[place[f] for w in words for f in features_of(w) if f in place] for words in batch.column("words").to_pylist()]
+            kept = [batch.column(c) for c in ("doc_id", "label", "patterns")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.list_(pa.int32()))], ["doc_id", "label", "patterns", "at"])
+
+    return run
+
+
+def votes(places: list[np.ndarray], patterns: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """1, -1 or 0 (no opinion) of each voter on each text: all toxic lexicons as one, each lexicon, the patterns. Toxic
+    features stand before clean ones, and both are dealt to their lexicons in turn."""
+    toxic, clean = min(LEXICONS, n_toxic), min(LEXICONS, n_clean)
+    out = np.zeros((len(places), 1 + toxic + clean), np.int8)
+    for i, at in enumerate(places):
+        low, high = at[at < n_toxic], at[at >= n_toxic] - n_toxic
+        out[i, 1 + low % LEXICONS] = 1
+        out[i, 1 + toxic + high % LEXICONS] = -1
+        out[i, 0] = len(low) > 0
+    return np.hstack([out, patterns.astype(np.int8)])
 
 
 def label_model(matrix: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
@@ -136,17 +214,16 @@ def label_model(matrix: np.ndarray, prior: float, rounds: int = 50) -> np.ndarra
     return posterior
 
 
-def linear(documents: list[set[str]], names: list[str], target: np.ndarray, weight: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
+def linear(places: list[np.ndarray], size: int, target: np.ndarray, weight: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and offset of a logistic regression on the number of a text's words with each feature."""
-    place = {f: j for j, f in enumerate(names)}
-    pairs = [(i, place[f]) for i, words in enumerate(documents) for w in words for f in features_of(w) if f in place]
-    rows, columns = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64),) * 2
-    w, offset = np.zeros(len(names)), 0.0
-    square_w, square_o = np.full(len(names), 1e-8), 1e-8
+    rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    columns = np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int64)
+    w, offset = np.zeros(size), 0.0
+    square_w, square_o = np.full(size, 1e-8), 1e-8
     for _ in range(steps):
-        z = offset + np.bincount(rows, w[columns], len(documents))
+        z = offset + np.bincount(rows, w[columns], len(places))
         slope = weight * (sigmoid(z) - target)
-        gradient = np.bincount(columns, slope[rows], len(names)) + 1e-3 * len(documents) * w / max(1, len(names))
+        gradient = np.bincount(columns, slope[rows], size) + 1e-3 * len(places) * w / max(1, size)
         square_w += gradient**2
         square_o += slope.sum() ** 2
         w -= 0.5 * gradient / np.sqrt(square_w)
@@ -160,25 +237,28 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = PER_C
     The labels serve the lexicons and the share of toxic text alone; the classifier learns what the votes on the sample
     say, each class with the weight that it has among all labels.
     """
-    rows, counts = sample(documents, labels, per_class)
+    texts, counts = sampled(documents, labels, per_class)
     total = sum(counts.values())
     prior = min(max(counts[1] / total if total else 0.5, 1e-6), 1 - 1e-6)
-    pool: dict[str, str] = {}  # equal words are one object, for the driver's memory
-    words = [{pool.setdefault(w, w) for w in words_of(t)} for t in rows["text"]]
-    alone = first_of_kind(words)
-    texts, y, words = rows["text"][alone].tolist(), rows["label"][alone].to_numpy(), [words[i] for i in alone]
-    if len(set(y)) < 2:
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    read = texts.mapInArrow(
+        _read_sample, f"doc_id {kind}, label int, words array<string>, patterns array<int>, bands array<bigint>"
+    )
+    rows = written(one_of_kind(written(read)).select("doc_id", "label", "words", "patterns"))
+    toxic, clean = lexicons(rows, counts)
+    names = [*toxic, *clean]
+    held = rows.mapInArrow(_listed(names), f"doc_id {kind}, label int, patterns array<int>, at array<int>").toPandas()
+    held = held.sort_values("doc_id", ignore_index=True)
+    y = held["label"].to_numpy(int)
+    if len(set(y.tolist())) < 2:
         return ToxicityModel({}, float(np.log(prior / (1 - prior))))
-    toxic, clean = lexicons(words, y)
-    listed = {*toxic, *clean}
-    features = [_features(w) & listed for w in words]
-    deal = lambda found: [set(found[k::LEXICONS]) for k in range(min(LEXICONS, len(found)))]
-    matrix = votes(texts, features, deal(toxic), deal(clean))
+    places = [np.asarray(p, np.int64) for p in held["at"]]
+    matrix = votes(places, np.array(held["patterns"].to_list()), len(toxic), len(clean))
     share = np.array([counts[k] / max(1, (y == k).sum()) for k in (0, 1)])
     weight = share[y] * len(y) / share[y].sum()
     target = label_model(matrix, float(y.mean()))
-    w, offset = linear(words, [*toxic, *clean], target, weight)
-    return ToxicityModel({f: float(x) for f, x in zip([*toxic, *clean], w) if x}, offset)
+    w, offset = linear(places, len(names), target, weight)
+    return ToxicityModel({f: float(x) for f, x in zip(names, w) if x}, offset)
 
 
 def toxicity_scores(documents: DataFrame, model: ToxicityModel) -> DataFrame:
