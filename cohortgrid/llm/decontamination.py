@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortgrid.llm.common import LOWER, UPPER, let, small, written
+from cohortgrid.llm.common import LOWER, UPPER, let, small, text_key, written
 
 SHINGLE = 3  # words that are joined at once; a shorter window is one shingle
 APART = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # what stands between words
@@ -71,7 +71,33 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10) -
     equal texts are searched once. Other columns are ignored.
     """
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    key = {"d1": F.xxhash64("text"), "d2": F.xxhash64("text", F.lit(1))}
+    found = _found(texts, benchmark, window)
+    key = text_key(F.col("text"))
+    counted = texts.select("doc_id", key["d1"].alias("d1"), key["d2"].alias("d2"), _word_count().alias("n_words"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return counted.join(found, ["d1", "d2"], "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+    )
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of documents whose text holds no occurrence of a window, as contaminated() finds them; judged by the
+    text, whatever the id. All columns stay."""
+    text = F.coalesce("text", F.lit(""))
+    hit = written(_found(documents.select(text.alias("text")), benchmark, window).select("d1", "d2"))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")  # keeps all names apart
+    keyed = documents.select(row, *[key.alias(name) for name, key in text_key(text).items()])
+    return keyed.join(_maybe_broadcast(hit), ["d1", "d2"], "left_anti").select("row.*")
+
+
+def _found(texts: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """(d1, d2, n_hit, items) of the texts in which windows occur."""
+    key = text_key(F.col("text"))
     windows = written(benchmark_windows(benchmark, window))
 
     widths = [r[0] for r in windows.select(F.least("size", F.lit(SHINGLE))).distinct().collect()]  # SHINGLE numbers at most
@@ -112,18 +138,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10) -
     occurring = found.select("d1", "d2", F.explode("hits.window").alias("window")).distinct()
     items = occurring.join(_maybe_broadcast(windows.select("item_id", "window")), "window")
     items = items.groupBy("d1", "d2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    found = hit_words.join(items, ["d1", "d2"])
-
-    counted = texts.select("doc_id", key["d1"].alias("d1"), key["d2"].alias("d2"), _word_count().alias("n_words"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return counted.join(found, ["d1", "d2"], "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
-    )
+    return hit_words.join(items, ["d1", "d2"])
 
 
 def _word_count() -> Column:

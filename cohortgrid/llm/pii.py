@@ -10,20 +10,25 @@ join the spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortgrid.llm.common import slices, small, written
+from cohortgrid.llm.common import slices, small, text_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROWS = 512  # texts whose spans are in memory at once
-FOUND = 50_000  # candidates after which texts are given on before there are so many
+FOUND = 50_000  # candidates that are held before they are handed on
 SUPPORT = 5  # different believed tokens of a kind that a context needs, or tokens of no kind to refute the others
 TRUST = 0.9  # share that a context's believed tokens must have beside its tokens of no kind, or these beside its seeds
 
 LOCAL = "A-Za-z0-9._%+-"
+LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL = re.compile(rf"[{LOCAL}]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # A dotted number can only start where its digits do: a later digit would meet the same end.
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -31,8 +36,12 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Groups of digits as PHONE and CARD join them, that neither begin nor end inside a word.
 RUN = re.compile(r"(?<![\w@+.-])\(?[0-9]+(?:[\x20().-]+[0-9]+)+(?![\w@])")
-LEFT_OF_AT = re.compile(rf"[{LOCAL}]*\Z")
+LONG_WORD = 64  # characters of a context's word that stand for themselves
 MARK = re.compile(r"[0-9@]")
+OTHERS = re.compile(r"[^0-9]+")
+CARD_BIT = 1 << KINDS.index("card")
+DOUBLED = str.maketrans("0123456789", "0246813579")  # each digit's double, its own digits summed
+PIECE = re.compile(r"[^\x20]+")
 TOKEN_END = re.compile(r"\s|\Z")
 #: Punctuation that may stand around a token without being part of it; a + may begin one.
 AROUND = frozenset("!\"#$%&'()*,-./:;<=>?[\\]^_`{|}~…–—“”„«»‘’")
@@ -45,11 +54,8 @@ CANDIDATE = "struct<start:int,stop:int,token:string,kind:int,kinds:int,counts:in
 
 
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = int(c) * (1 + i % 2)
-        total += d - 9 * (d > 9)
-    return total % 10 == 0
+    backwards = digits[::-1]
+    return (sum(map(int, backwards[::2])) + sum(map(int, backwards[1::2].translate(DOUBLED)))) % 10 == 0
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -57,7 +63,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
         begin = max(done, at)
-        while begin > done and LEFT_OF_AT.match(text, begin - 1, at):
+        while begin > done and text[begin - 1] in LOCAL_CHARS:
             begin -= 1
         found = EMAIL.match(text, begin) if begin < at else None
         if found:
@@ -86,25 +92,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def _contexts(text: str, start: int, stop: int) -> list[str]:
-    """The two words before, and the word before with the word after."""
-    left = text[max(0, start - 80) : start].lower().split()[-2:]
-    right = text[stop : stop + 40].lower().split()[:1]
-    before = [f"{' '.join(left)} _"] if len(left) == 2 else []
-    around = [f"{left[-1]} _ {right[0]}"] if left and right else []
-    return before + around
+class Words:
+    """The words of a text by place, found once the first context asks."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def places(self) -> tuple[list[int], list[int]]:
+        found = [m.span() for m in re.compile(r"\S+").finditer(self.text)]
+        return [a for a, _ in found], [b for _, b in found]
+
+    def word(self, start: int, stop: int) -> str:
+        """In lower case; of a very long one its length and a hash, which stand for the whole."""
+        word = self.text[start:stop].lower()
+        return word if len(word) <= LONG_WORD else f"{len(word)}#{xxhash.xxh3_128_hexdigest(word)}"
+
+    def contexts(self, start: int, stop: int) -> list[str]:
+        """The two words before, and the word before with the word after; a token's own word counts up to the token."""
+        begins, ends = self.places
+        i = bisect_left(begins, start) - 1
+        left = [self.word(begins[j], min(ends[j], start)) for j in (i - 1, i) if j >= 0]
+        i = bisect_right(ends, stop)
+        right = [self.word(max(begins[i], stop), ends[i])] if i < len(ends) else []
+        before = [f"{' '.join(left)} _"] if len(left) == 2 else []
+        around = [f"{left[-1]} _ {right[0]}"] if left and right else []
+        return before + around
 
 
 def fits(token: str) -> tuple[int, int]:
     """The kinds a token may have, as bits; and those that stand when counted, where a card must pass its checksum."""
     if "@" in token:
         return 1, 1
-    digits = "".join(c for c in token if c in "0123456789")
-    kinds = sum(1 << KINDS.index(name) for name, (low, high) in DIGITS.items() if low <= len(digits) <= high)
-    if " " in token:
-        kinds &= ~(1 << KINDS.index("ip"))
-    card = 1 << KINDS.index("card")
-    return kinds, kinds & ~card if kinds & card and not luhn(digits) else kinds
+    digits = OTHERS.sub("", token)
+    kinds = by_number(len(digits), " " in token)
+    return kinds, kinds & ~CARD_BIT if kinds & CARD_BIT and not luhn(digits) else kinds
+
+
+@lru_cache(64)
+def by_number(digits: int, blanks: bool) -> int:
+    """The kinds that a token of so many digits may have, as bits; an ip has no blanks."""
+    fit = [name for name, (low, high) in DIGITS.items() if low <= digits <= high and not (blanks and name == "ip")]
+    return sum(1 << KINDS.index(name) for name in fit)
 
 
 def _bare(text: str, begin: int, stop: int) -> tuple[int, int]:
@@ -118,56 +147,70 @@ def _bare(text: str, begin: int, stop: int) -> tuple[int, int]:
 
 
 def _digits(text: str, start: int, stop: int) -> int:
-    return sum(c in "0123456789" for c in text[start:stop])
+    return len(OTHERS.sub("", text[start:stop]))
 
 
 def _windows(text: str, start: int, stop: int) -> Iterator[tuple[int, int, bool]]:
     """The windows of two or more pieces of a run that can be of a kind, and whether each teaches.
 
     Of the windows that open the run the longest of each kind teaches, so the whole run if it is no longer than a kind
-    allows. The others are only compared with what is known.
+    allows. The others are only compared with what is known. Only the pieces of one window are held.
     """
-    pieces = [(m.start(), m.end(), _digits(text, *m.span())) for m in re.compile(r"[^\x20]+").finditer(text, start, stop)]
-    for i, (begin, _, total) in enumerate(pieces):
+    rest = ((m.start(), m.end(), _digits(text, *m.span())) for m in PIECE.finditer(text, start, stop))
+    held: deque[tuple[int, int, int]] = deque()
+    first, together = True, 0
+    while True:
+        while together <= MOST and (piece := next(rest, None)):
+            held.append(piece)
+            together += piece[2]
+        if not held:
+            return
+        begin, _, total = held.popleft()
+        together -= total
         offered = []
-        if not total:
-            continue
-        for _, end, digits in pieces[i + 1 :]:
-            total += digits
-            if total > MOST:
-                break
-            a, b = _bare(text, begin, end)
-            kinds = fits(text[a:b])[0] if digits else 0
-            if kinds:
-                offered.append((a, b, kinds))
-        longest = {kind: b for _, b, kinds in offered for kind in range(len(KINDS)) if kinds >> kind & 1} if i == 0 else {}
+        if total:
+            for _, end, digits in held:
+                total += digits
+                if total > MOST:
+                    break
+                kinds = by_number(total, True) if digits else 0
+                if kinds:
+                    offered.append((*_bare(text, begin, end), kinds))
+        longest = {kind: b for _, b, kinds in offered for kind in range(len(KINDS)) if kinds >> kind & 1} if first else {}
         for a, b, _ in offered:
             yield a, b, b in longest.values()
+        first = False
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds (with their kind) and other tokens with a digit or @ (kind null), with their contexts.
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[dict]:
+    """Seeds (with their kind) and other tokens with a digit or @ (kind null), with their contexts, as they are found.
 
     Other tokens end at white space, or are windows of digit groups that blanks join. Tokens without contexts teach
     nothing, but may be known from elsewhere; those that can be of no kind are left out.
     """
-    out = [(a, b, k, a) for a, k, b in spans]
+    words = Words(text)
+
+    def row(a: int, b: int, kind: int | None, contexts: list[str]) -> Iterator[dict]:
+        token = text[a:b].lower()
+        kinds, counts = fits(token) if kind is None else (1 << kind, 1 << kind)
+        if contexts or kinds:
+            yield {"start": a, "stop": b, "token": token, "kind": kind, "kinds": kinds, "counts": counts, "contexts": contexts}
+
+    for a, k, b in spans:
+        yield from row(a, b, k, words.contexts(a, b))
     covered = sorted((a, b) for a, _, b in spans)
-    offered, silent = set(), set()  # places; those among them without contexts
     taught = []  # runs that teach
     at = 0
     for begin, end in [*covered, (len(text), len(text))]:
         for m in RUN.finditer(text, at, begin) if at < begin else ():
-            windows = list(_windows(text, *m.span())) if " " in m[0] else []
-            for a, b, teaches in windows:
+            teaches_any = False
+            for a, b, teaches in _windows(text, *m.span()) if " " in m[0] else ():
                 before = a
                 while before > at and text[before - 1] in AROUND:
                     before -= 1
-                out.append((a, b, None, before))
-                offered.add((a, b))
-                if not teaches:
-                    silent.add((a, b))
-            if any(teaches for *_, teaches in windows):
+                teaches_any |= teaches
+                yield from row(a, b, None, words.contexts(before, b) if teaches else [])
+            if teaches_any:
                 taught.append(m.span())
         at = max(at, end)
     at, next_span, next_run = 0, 0, 0
@@ -187,46 +230,48 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         a, b = _bare(text, begin, stop)
         while next_run < len(taught) and taught[next_run][1] <= a:
             next_run += 1
-        if next_run < len(taught) and taught[next_run][0] < b and _digits(text, a, b) < LEAST:
-            silent.add((a, b))  # a piece of something longer
-        if (a, b) not in offered:
-            out.append((a, b, None, begin))
+        piece = next_run < len(taught) and taught[next_run][0] < b and _digits(text, a, b) < LEAST  # of something longer
+        yield from row(a, b, None, [] if piece else words.contexts(begin, b))
         at = stop
-    rows = []
-    for a, b, kind, begin in out:
-        contexts = [] if kind is None and (a, b) in silent else _contexts(text, begin, b)
-        token = text[a:b].lower()
-        kinds, counts = fits(token) if kind is None else (1 << kind, 1 << kind)
-        if contexts or kinds:
-            rows.append({"start": a, "stop": b, "token": token, "kind": kind, "kinds": kinds, "counts": counts, "contexts": contexts})
-    return rows
+
+
+FIELDS = {"start": pa.int32(), "stop": pa.int32(), "token": pa.string(), "kind": pa.int32(), "kinds": pa.int32()}
+FIELDS |= {"counts": pa.int32(), "contexts": pa.list_(pa.string())}
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, d1, d2, chunk, base, candidates): a text has a row of chunk 0, which holds its base spans, and more rows
+    for each FOUND further candidates."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
-    numbers = {name: pa.int32() for name in ("start", "stop", "kind", "kinds", "counts")}
-    fields = numbers | {"token": pa.string(), "contexts": pa.list_(pa.string())}
-    order = ("start", "stop", "token", "kind", "kinds", "counts", "contexts")
-    candidate = pa.list_(pa.struct([(name, fields[name]) for name in order]))
+    candidate = pa.list_(pa.struct(list(FIELDS.items())))
     for batch in slices(batches, ROWS):
         columns = [batch.column(c) for c in ("doc_id", "d1", "d2")]
-        spans, found, first, many = [], [], 0, 0
-        for i, text in enumerate(batch.column("text").to_pylist(), 1):
+        rows, many = [], 0
+
+        def out() -> pa.RecordBatch:
+            at, chunk, base, found = zip(*rows)
+            keys = [c.take(pa.array(at)) for c in columns]
+            return pa.RecordBatch.from_arrays(
+                [*keys, pa.array(chunk, pa.int32()), pa.array(base, span), pa.array(found, candidate)],
+                ["doc_id", "d1", "d2", "chunk", "base", "candidates"],
+            )
+
+        for i, text in enumerate(batch.column("text").to_pylist()):
             base = base_spans(text)
-            spans.append([{"start": a, "kind": k, "stop": b} for a, k, b in base])
-            found.append(candidates(text, base))
-            many += len(found[-1])
-            if many >= FOUND or i == batch.num_rows:
-                keys = [c.slice(first, i - first) for c in columns]
-                yield pa.RecordBatch.from_arrays(
-                    [*keys, pa.array(spans, span), pa.array(found, candidate)], ["doc_id", "d1", "d2", "base", "candidates"]
-                )
-                spans, found, first, many = [], [], i, 0
+            rows.append((i, 0, [{"start": a, "kind": k, "stop": b} for a, k, b in base], []))
+            for found in candidates(text, base):
+                if many >= FOUND:
+                    yield out()
+                    rows, many = [(i, rows[-1][1] + 1, [], [])], 0
+                rows[-1][3].append(found)
+                many += 1
+        if rows:
+            yield out()
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64("text", F.lit(1))})
+    return texts.withColumns(text_key(F.col("text")))
 
 
 def _refuted(graph: DataFrame) -> DataFrame:
@@ -309,17 +354,18 @@ def find_pii(documents: DataFrame) -> DataFrame:
     """
     id_type = documents.schema["doc_id"].dataType.simpleString()
     found = _keyed(documents).mapInArrow(
-        _scan, f"doc_id {id_type}, d1 long, d2 long, base array<{SPAN}>, candidates array<{CANDIDATE}>"
+        _scan, f"doc_id {id_type}, d1 long, d2 long, chunk int, base array<{SPAN}>, candidates array<{CANDIDATE}>"
     )
     found = written(found)
     learned = learn_contexts(found)
-    places = found.where("exists(candidates, c -> c.kind IS NULL)").select("d1", "d2", "candidates").dropDuplicates(["d1", "d2"])
+    places = found.where("exists(candidates, c -> c.kind IS NULL)").select("d1", "d2", "chunk", "candidates")
+    places = places.dropDuplicates(["d1", "d2", "chunk"])
     places = places.select("d1", "d2", F.explode(F.filter("candidates", lambda c: c["kind"].isNull())).alias("c"))
     places = places.select("d1", "d2", "c.start", "c.stop", "c.token")
     added = places.join(F.broadcast(learned) if small(learned) else learned, "token")
     added = added.groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("added"))
     added = added.mapInArrow(_outermost, f"d1 long, d2 long, added array<{SPAN}>")
-    joined = found.select("doc_id", "d1", "d2", "base").join(added, ["d1", "d2"], "left")
+    joined = found.where("chunk = 0").select("doc_id", "d1", "d2", "base").join(added, ["d1", "d2"], "left")
     every = F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))))
     return joined.select("doc_id", "d1", "d2", "base", every.alias("spans"))
 
@@ -346,20 +392,20 @@ def masked(documents: DataFrame) -> DataFrame:
 
     The base patterns are applied where the text is; only what contexts add has to be joined to it.
     """
-    names = documents.columns
     found = find_pii(documents).where("size(spans) > size(base)")
-    found = written(found.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("spans").alias("_spans")).dropDuplicates(["_d1", "_d2"]))
-    text = F.coalesce("text", F.lit(""))
-    keyed = documents.withColumns({"_d1": F.xxhash64(text), "_d2": F.xxhash64(text, F.lit(1))})
-    joined = keyed.join(F.broadcast(found) if small(found, 100_000) else found, ["_d1", "_d2"], "left").select(*names, "_spans")
+    found = written(found.select("d1", "d2", "spans").dropDuplicates(["d1", "d2"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")  # keeps all names apart
+    keyed = documents.select(row, *[key.alias(name) for name, key in text_key(F.coalesce("text", F.lit(""))).items()])
+    joined = keyed.join(F.broadcast(found) if small(found, 100_000) else found, ["d1", "d2"], "left").select("row", "spans")
+    names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             texts = [
                 t if t is None else mask(t, [(s["start"], s["kind"], s["stop"]) for s in a] if a else base_spans(t))
-                for t, a in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())
+                for t, a in zip(batch.column("row").field("text").to_pylist(), batch.column("spans").to_pylist())
             ]
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column("row").field(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, documents.schema)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortgrid.llm.common import Hasher, byte_texts, mix, small, written
+from cohortgrid.llm.common import Hasher, byte_texts, mix, small, text_key, written
 
 CHUNK = 1 << 16  # windows that travel together, unless one text has more
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -246,7 +246,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(documents: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64("text", F.lit(1))})
+    return texts.withColumns(text_key(F.col("text")))
 
 
 def repeated_windows(documents: DataFrame, window: int = 35) -> DataFrame:
