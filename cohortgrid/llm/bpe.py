@@ -1,16 +1,16 @@
 """Byte-level BPE: token ids of whole texts and back, long texts encoded in pieces that join exactly.
 
-A text may be cut before white space that follows something else: no pre-token crosses there. A run of letters,
-digits, marks or white space without such a place is cut in halves down to leaves, which tasks encode in
-parallel. Two neighbours join by encoding a window around the join anew, wider until its first and last tokens are
+A text may be cut before white space that follows something else: no pre-token crosses there. What has no such place
+is unsplit: a word of WORD letters or more, and a run of digits, marks or white space of RUN or more. It is cut in
+halves down to leaves, which are encoded by themselves; those of very long texts by many tasks. Two neighbours join by encoding a window around the join anew, wider until its first and last tokens are
 those that stand there already. Then each adjacent pair of tokens stood side by side in some encoding, and
 a sequence of which that holds is the encoding of the whole.
 """
 
 from __future__ import annotations
 
-import base64
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,12 +28,18 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 ROWS = 512  # texts whose ids are in memory at once
 SPREAD = 1_000_000  # characters from which a text goes to several tasks: some tenths of a second's work
 PIECE = 8_192  # characters of a piece, about
-RUN = 4_096  # a run this long has no safe place for a cut
-LEAF = 2_048  # bytes of a run that are encoded at once
+WORD = 16  # letters from which a word is encoded in halves
+RUN = 4_096  # digits, marks or white space in a row that are
+LEAF = 2_048  # bytes of a leaf at most; what is shorter has two leaves
+MARK = regex.compile(r"[^\s\p{L}\p{N}]| ")
 SAFE = regex.compile(r"(?<=[^\s])(?=[ \n])")
-LONG_RUN = regex.compile(
-    rf" ?\p{{L}}{{{RUN},}}+| ?\p{{N}}{{{RUN},}}+| ?[^\s\p{{L}}\p{{N}}]{{{RUN},}}+|\s{{{RUN},}}+"
-)
+#: Letters and more, found fast; what it finds is looked at for words.
+MAYBE_WORD = re.compile(rf"[^\W_]{{{WORD}}}")
+REST = re.compile(r"[^\W_]*")
+LONG_WORD = regex.compile(rf" ?\p{{L}}{{{WORD},}}+")
+LONG_RUN = regex.compile(rf" ?\p{{N}}{{{RUN},}}+| ?[^\s\p{{L}}\p{{N}}]{{{RUN},}}+|\s{{{RUN},}}+")
+#: What an apostrophe takes of the word behind it. Fixed value.
+CONTRACTION = regex.compile(r"s|t|re|ve|m|ll|d")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -58,7 +64,7 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
 
 def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
     """Ids of a text; runs that are long get encoded as trees."""
-    if len(text) < RUN or not LONG_RUN.search(text):
+    if not MAYBE_WORD.search(text) and (len(text) < RUN or not LONG_RUN.search(text)):
         return enc.encode(text, allowed_special="all")
     ids: list[int] = []
     for run, part in cut(enc, text):
@@ -77,28 +83,49 @@ def cut(enc: tiktoken.Encoding, text: str) -> Iterator[tuple[bool, str]]:
     yield from _cut_plain(text[begin:])
 
 
+def _unsplit(text: str) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the long words and runs of a text in order, with a blank that belongs to them."""
+    runs = [m.span() for m in LONG_RUN.finditer(text)] if len(text) >= RUN else []
+    maybe = MAYBE_WORD.search(text)
+    while maybe:
+        begin, end = maybe.start(), REST.match(text, maybe.end()).end()
+        if begin and text[begin - 1] == " ":
+            begin -= 1
+        for word in LONG_WORD.finditer(text, begin, end):
+            while runs and runs[0][0] < word.start():
+                yield runs.pop(0)
+            yield word.span()
+        maybe = MAYBE_WORD.search(text, end)
+    yield from runs
+
+
 def _cut_plain(text: str) -> Iterator[tuple[bool, str]]:
     at = 0
-    while at < len(text):
-        run = LONG_RUN.search(text, at)
-        stop = run.start() if run else len(text)
-        # A pre-token that starts before a run of letters or marks may reach into it only as a contraction; then the
-        # run is left whole to its neighbour.
-        if run and text[max(at, stop - 3) : stop].find("'") >= 0:
-            yield False, text[at:]
-            return
-        while at < stop:
-            safe = SAFE.search(text, min(at + PIECE, stop), stop)
-            end = safe.start() if safe else stop
-            if end > at:
-                yield False, text[at:end]
-            at = end
-        if run:
-            end = run.end()
-            if run[0].isspace() and end < len(text):
-                end -= 1  # the last white space goes with, or stands before, what follows
-            yield True, text[at:end]
-            at = end
+    for begin, end in _unsplit(text):
+        # A pre-token that starts before a run reaches into it only as a contraction: an apostrophe that is no part of
+        # a row of marks takes the first letters of a word.
+        stop = begin
+        if stop > at and text[stop - 1] == "'" and (stop - 1 == at or not MARK.match(text, stop - 2)):
+            taken = CONTRACTION.match(text, stop)
+            stop = taken.end() if taken else stop
+        # White space before a pre-token without a blank of its own is cut before its last character.
+        last = stop - 1 if stop == begin and stop > at and text[stop] != " " and text[stop - 1].isspace() else stop
+        yield from _pieces(text, at, last)
+        if last < stop:
+            yield False, text[last:stop]
+        if text[end - 1].isspace() and end < len(text):
+            end -= 1  # the last white space goes with, or stands before, what follows
+        yield True, text[stop:end]
+        at = end
+    yield from _pieces(text, at, len(text))
+
+
+def _pieces(text: str, at: int, stop: int) -> Iterator[tuple[bool, str]]:
+    while at < stop:
+        safe = SAFE.search(text, at + PIECE, stop) if stop - at > PIECE else None
+        end = safe.start() if safe else stop
+        yield False, text[at:end]
+        at = end
 
 
 def encode_run(enc: tiktoken.Encoding, run: bytes) -> list[int]:
@@ -108,10 +135,10 @@ def encode_run(enc: tiktoken.Encoding, run: bytes) -> list[int]:
 
 
 def leaves(run: bytes) -> list[bytes]:
-    if len(run) <= LEAF:
-        return [run]
+    """The halves of a run, cut on down to LEAF bytes; what is left of a word behind a contraction may be one byte."""
     half = len(run) // 2
-    return leaves(run[:half]) + leaves(run[half:])
+    parts = [p for p in (run[:half], run[half:]) if p]
+    return [x for p in parts for x in (leaves(p) if len(p) > LEAF else [p])]
 
 
 def join_all(enc: tiktoken.Encoding, parts: list[list[int]]) -> list[int]:
