@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortgrid.llm import bpe
-from cohortgrid.llm.common import keep_ids, written
-from cohortgrid.llm.decontamination import contaminated
+from cohortgrid.llm.common import keep_ids, small, written
+from cohortgrid.llm.decontamination import without_contaminated
 from cohortgrid.llm.jaccard_join import similar_components
-from cohortgrid.llm.labelled import clean_labels
+from cohortgrid.llm.labelled import below, clean_labels
 from cohortgrid.llm.pii import masked
 from cohortgrid.llm.queries import VOCABULARY
-from cohortgrid.llm.toxicity import fit_toxicity, toxicity_scores
+from cohortgrid.llm.toxicity import fit_toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,37 +21,55 @@ ORACLE_SQL = None  # the classifier's decisions have no SQL
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go. The classifier learns from all labels of documents in docs."""
+    """Documents that score 0.5 or more go, each row by its own text; a null text is an empty one. The classifier learns
+    from all labels of documents in docs."""
     labels = clean_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", F.lit(True))
-    scores = toxicity_scores(docs, fit_toxicity(docs, labels))
-    rejected = scores.where("score >= 0.5").select("doc_id").distinct()
-    return keep_ids(docs, written(rejected), "doc_id", "left_anti").select(docs.columns)
+    return below(docs, fit_toxicity(docs, labels).scorer, 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the smallest doc_id stays, as one row."""
-    others = similar_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = keep_ids(docs, written(others), "doc_id", "left_anti").select(docs.columns)
-    twice = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """Of each group of near copies (five words, 0.8) one document stays: the one with the smallest doc_id.
+
+    A document is a row. Rows whose doc_id is null or stands for several rows get numbers above all doc_ids here, so
+    that each is judged by its own text; next to them, documents with an id of their own stay. Documents without words
+    are no copies.
+    """
+    twice = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    twice = written(twice.select(F.col("doc_id").alias("odd_id")))
     if twice.isEmpty():
-        return kept
-    once = keep_ids(kept, twice, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
-    return keep_ids(kept, twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+        return keep_ids(docs, _others(docs.select("doc_id", "text")), "doc_id", "left_anti").select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id")  # keeps all names apart
+    marked = rows.join(F.broadcast(twice) if small(twice) else twice, rows["doc_id"].eqNullSafe(twice["odd_id"]), "left")
+    plain = marked.where("odd_id IS NULL AND doc_id IS NOT NULL").select("row.*")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    number = F.lit(max(-1, -1 if last is None else last) + 1) + F.monotonically_increasing_id()
+    odd = written(marked.where("odd_id IS NOT NULL OR doc_id IS NULL").select("row", number.alias("number")))
+    others = _others(
+        plain.select("doc_id", "text").unionByName(odd.select(F.col("number").alias("doc_id"), "row.text"))
+    )
+    kept = keep_ids(plain, others, "doc_id", "left_anti").select(docs.columns)
+    kept_odd = keep_ids(odd, others.withColumnRenamed("doc_id", "number"), "number", "left_anti").select("row.*")
+    return kept.unionByName(kept_odd)
+
+
+def _others(texts: DataFrame) -> DataFrame:
+    """(doc_id): all but the first document of each group of near copies."""
+    return written(similar_components(texts).where("doc_id <> component_id").select("doc_id").distinct())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an occurrence of a benchmark window go."""
-    hit = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    return keep_ids(docs, written(hit.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    """Documents with an occurrence of a benchmark window go, each row by its own text."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows."""
+    """Personal data is replaced by its kind; n_chars follows. Rows stay as many; a null text stays null."""
     return masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the token ids as little-endian unsigned 32-bit integers, and their number."""
+    """doc_id, the token ids as little-endian unsigned 32-bit integers, and their number; a row for each row. A null
+    text has no ids."""
     coded = bpe.encode(docs, VOCABULARY)
     return coded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
