@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortgrid.llm.common import Hasher, byte_texts, mix, small, text_key, written
 
+BUCKET_BYTES = 64 << 20  # of text whose hashes go to one bucket, about
+SPARE_BITS = 12  # of a probe's hash beyond what tells all words of the corpus apart
+CHECK = np.uint64(0x2545F4914F6CDD1D)  # salt of the words in a window's second hash
 CHUNK = 1 << 16  # windows that travel together, unless one text has more
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 ROWS = "bucket int, chunk string, marked int, hashes binary, places binary, docs array<struct<row:long,d1:long,d2:long,begin:long>>"
@@ -49,6 +52,9 @@ def window_hashes(words: np.ndarray, width: int, powers: Powers) -> np.ndarray:
 
 
 def _pack(hashes: np.ndarray, size: int) -> bytes:
+    """size bytes of each hash; 16 of rows of two."""
+    if hashes.ndim == 2:
+        return np.ascontiguousarray(hashes).tobytes()
     return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
@@ -91,7 +97,7 @@ class Chunk:
             return
         name = hashlib.md5(repr(self.docs).encode()).hexdigest()
         hashes, places, marks = map(np.concatenate, (self.hashes, self.places, self.marks))
-        bucket = _bucket_of(hashes, self.buckets)
+        bucket = _bucket_of(hashes if hashes.ndim == 1 else hashes[:, 0], self.buckets)
         order = np.argsort(bucket * 2 + ~marks, kind="stable")
         hashes, bucket, marks = hashes[order], bucket[order], marks[order]
         places = places[order].astype(np.uint16 if self.end <= 1 << 16 else np.uint32)
@@ -111,11 +117,11 @@ class Chunk:
         self.clear()
 
 
-def _probe(block: int, window: int, buckets: int):
+def _probe(block: int, window: int, buckets: int, size: int):
     """Rolling block hashes of the texts of at least a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, powers, chunk = Hasher(), Powers(), Chunk(buckets, 5)
+        hasher, powers, chunk = Hasher(), Powers(), Chunk(buckets, size)
         for batch in batches:
             d1, d2 = (batch.column(c).to_pylist() for c in ("d1", "d2"))
             for i, text in enumerate(byte_texts(batch.column("text"))):
@@ -132,26 +138,37 @@ def _probe(block: int, window: int, buckets: int):
     return run
 
 
+def _equal_rows(pairs: np.ndarray) -> np.ndarray:
+    """Which rows of two numbers stand more than once."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    same = (pairs[order[1:]] == pairs[order[:-1]]).all(axis=1)
+    met = np.zeros(len(pairs), bool)
+    met[order[1:]] |= same
+    met[order[:-1]] |= same
+    return met
+
+
 def _again(size: int, indexed: bool):
-    """Of a bucket's hashes, the places of those that stand elsewhere too (indexed: and equal a marked one)."""
+    """Of a bucket's hashes, the places of those that stand elsewhere too. indexed: and equal a marked one, by the
+    bytes that travel; else by both hashes of a window."""
 
     def run(table: pa.Table) -> pa.Table:
         meta = table.filter(table.column("hashes").is_null())
         data = table.filter(table.column("hashes").is_valid())
         packed, marked = data.column("hashes").to_pylist(), data.column("marked").to_pylist()
         counts = [len(p) // size for p in packed]
-        hashes = _unpack(b"".join(packed), size)
         ends = np.cumsum([0, *counts])
         if indexed:
+            hashes = _unpack(b"".join(packed), size)
             heads = [hashes[a : a + m] for a, m in zip(ends, marked)]
             index = np.unique(np.concatenate(heads)) if heads else hashes
+            slot = np.searchsorted(index, hashes)
+            slot[slot == len(index)] = 0
+            met = index[slot] == hashes if len(index) else np.zeros(len(hashes), bool)
+            seen = np.bincount(slot[met], minlength=max(len(index), 1))
+            met &= seen[slot] > 1
         else:
-            index = np.unique(hashes)
-        slot = np.searchsorted(index, hashes)
-        slot[slot == len(index)] = 0
-        met = index[slot] == hashes if len(index) else np.zeros(len(hashes), bool)
-        seen = np.bincount(slot[met], minlength=max(len(index), 1))
-        met &= seen[slot] > 1
+            met = _equal_rows(np.frombuffer(b"".join(packed), np.uint64).reshape(-1, 2))
         found = []
         for k, (a, b) in enumerate(zip(ends, ends[1:])):
             keep = met[a:b]
@@ -193,11 +210,12 @@ def _extend(block: int, window: int, buckets: int):
     """Hashes of the full windows that hold a hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, powers, chunk = Hasher(), Powers(), Chunk(buckets, 8)
+        hasher, powers, chunk = Hasher(), Powers(), Chunk(buckets, 16)
         for batch in batches:
             d1, d2, hits = (batch.column(c).to_pylist() for c in ("d1", "d2", "places"))
             for i, text in enumerate(byte_texts(batch.column("text"))):
-                hashes = window_hashes(hasher.array(text.split()), window, powers)
+                words = hasher.array(text.split())
+                hashes = np.stack([window_hashes(w, window, powers) for w in (words, mix(words ^ CHECK))], axis=1)
                 hit = np.frombuffer(hits[i], np.uint32).astype(np.int64)
                 step = np.zeros(len(hashes) + 1, np.int64)
                 np.add.at(step, np.clip(hit - (window - block), 0, len(hashes)), 1)
@@ -253,19 +271,21 @@ def repeated_windows(documents: DataFrame, window: int = 35) -> DataFrame:
     """(d1, d2, places): of the texts with these digests, the words at which a window starts that stands elsewhere too."""
     block = (window + 1) // 2  # any window holds a whole block, wherever it starts
     spark = documents.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    load = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-load // BUCKET_BYTES))
+    size = min(8, max(5, -(-(load.bit_length() + SPARE_BITS - 2) // 8)))  # a word has some four bytes or more
     found = "chunk string, places binary, docs array<struct<row:long,d1:long,d2:long,begin:long>>"
     by_text = "row long, d1 long, d2 long, places binary"
 
     texts = _keyed(documents).select("d1", "d2", "text")
-    probes = texts.mapInArrow(_probe(block, window, buckets), ROWS)
-    hits = probes.groupBy("bucket").applyInArrow(_again(5, True), found)
+    probes = texts.mapInArrow(_probe(block, window, buckets, size), ROWS)
+    hits = probes.groupBy("bucket").applyInArrow(_again(size, True), found)
     hits = written(hits.groupBy("chunk").applyInArrow(_per_text, by_text).groupBy("d1", "d2").agg(F.first("places").alias("places")))
 
     keys = hits.select("d1", "d2")
     hit_texts = texts.join(F.broadcast(keys) if small(keys) else keys, ["d1", "d2"], "left_semi")
     wide = hit_texts.join(hits, ["d1", "d2"]).mapInArrow(_extend(block, window, buckets), ROWS)
-    repeats = written(wide.groupBy("bucket").applyInArrow(_again(8, False), found))
+    repeats = written(wide.groupBy("bucket").applyInArrow(_again(16, False), found))
     repeats = repeats.groupBy("chunk").applyInArrow(_per_text, by_text)
     return written(repeats.groupBy("d1", "d2").agg(F.first("places").alias("places")))
 
