@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortgrid.cluster import task_count
 from cohortgrid.fixed import MISSING_TEXT, MISSING_TEXTS_STRICT, SAMPLE_ID
 from cohortgrid.matrix import Matrix, named_positions, number, quoted
-from cohortgrid.operators.quality import drop_half_missing
+from cohortgrid.operators.moments import matrix_moments
+from cohortgrid.operators.quality import drop_features, feature_missingness
 
 COLUMN_LIMIT = 2000
 INFLATE_BYTES = 4 << 20  # of compressed text that a task inflates at once
@@ -118,8 +119,7 @@ def _split_lines(width: int):
 def read_discovery_cells(spark: SparkSession, path: str) -> DataFrame:
     """Cells of a wide CSV without the features that lack half or more of all samples in the file."""
     matrix = read_matrix(spark, path)
-    total = matrix.vectors.count()
-    return matrix.named(drop_half_missing(matrix.positions(together=False), total, "ord")).select("sample_id", "feature", "value")
+    return drop_features(matrix, feature_missingness(matrix_moments(matrix), matrix.vectors.count())).cells()
 
 
 def read_annotation(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
