@@ -6,7 +6,9 @@ import csv
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortgrid.cluster import task_count
@@ -17,6 +19,7 @@ from cohortgrid.operators.quality import drop_features, feature_missingness
 
 COLUMN_LIMIT = 2000
 INFLATE_BYTES = 4 << 20  # of compressed text that a task inflates at once
+PARSE_BYTES = 2 << 20  # of text that a task holds as fields at once
 
 
 def _spread(df: DataFrame, path: str) -> DataFrame:
@@ -98,13 +101,27 @@ def _fields(line: str) -> list[str]:
     return next(csv.reader([line], strict=True))
 
 
+def _pieces(lines: pa.Array) -> Iterator[pa.Array]:
+    """The lines in runs of about PARSE_BYTES, of one line at least; no text is copied."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(lines):
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + PARSE_BYTES, "right")))
+        yield lines.slice(at, upto - at)
+        at = upto
+
+
 def _split_lines(width: int):
-    """Batches of lines to keys and the other fields as text; an empty field is null."""
+    """Batches of lines to keys and the other fields as text; an empty field is null.
+
+    A field is a Python object of several times its text, so the lines of a batch are parsed and sent in pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for lines in (piece for batch in batches for piece in _pieces(batch.column(0))):
             keys, fields = [], []
-            for row in map(_fields, filter(None, batch.column(0).to_pylist())):
+            for row in map(_fields, filter(None, lines.to_pylist())):
                 if len(row) != width:
                     raise ValueError(f"a row has {len(row)} fields, the header {width}: {row[:1]}")
                 keys.append(row[0])

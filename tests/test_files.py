@@ -2,6 +2,7 @@
 
 import gzip
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -118,3 +119,16 @@ def test_one_parser_for_every_width(spark, tmp_path, column_limit):
     path.write_text("id,a\ns1,1d\n")
     with pytest.raises(Exception, match="not a number"):
         files.read_matrix(spark, str(path), strict=True, column_limit=column_limit).vectors.collect()
+
+
+def test_lines_of_a_batch_are_parsed_in_bounded_pieces():
+    """A batch of 12 MB, an empty line and a null among its lines, and one line longer than a piece."""
+    width = 2001
+    lines = [f"s{i}," + ",".join(["0.5"] * (width - 1)) for i in range(1500)]
+    long = '"long"' + ",0.25".ljust(1600, "0") * (width - 1)
+    batch = pa.record_batch([pa.array([*lines[:700], "", None, long, *lines[700:]], pa.string())], ["line"])
+    parsed = list(files._split_lines(width)(iter([batch, batch.slice(0, 0)])))
+    assert [k for b in parsed for k in b.column("sample_id").to_pylist()] == [f"s{i}" for i in range(700)] + ["long"] + [f"s{i}" for i in range(700, 1500)]
+    assert all(len(x) == width - 1 for b in parsed for x in b.column("fields"))
+    text = [sum(len(v.as_py()) + 1 for v in b.column("fields").values) for b in parsed if b.num_rows > 1]
+    assert max(text) <= 2 << 20 < sum(text)
