@@ -695,16 +695,19 @@ def study_detection_reduced(spark, sf_dir):
 
 @query
 def study_surveillance(spark, sf_dir):
-    """Supplier pairs: tumor samples are the cancer status; odd suppliers train."""
+    """Supplier pairs: tumor samples are the cancer status; odd suppliers train. A supplier that lacks lines of a brand
+    gets the mean of the training samples there, because a study takes no vectors with missing values."""
     matrix = Matrix.from_cells(durable(views.paired_cells(spark, sf_dir))).written()
     tumor = F.col("sample_id").endswith("_tumor")
-    key = F.regexp_extract("sample_id", r"^S(\d+)_", 1).cast("int")
+    key = F.regexp_extract("sample_id", r"^S(-?\d+)_", 1).cast("bigint")
     samples = matrix.vectors.select(
         "sample_id",
         F.when(tumor, "cancer").otherwise("normal").alias("cancer_status"),
         F.when(key % 2 == 1, "train").otherwise("test").alias("split"),
     )
-    table = studies.surveillance(samples, matrix, SPLIT)
+    train, _ = cohort.split_exact(samples, SPLIT)
+    scale = quality.feature_scaler(moments.matrix_moments(matrix, train.select("sample_id")), "center")
+    table = studies.surveillance(samples, quality.fill_missing(matrix, scale), SPLIT)
     score = "pred.score_liver.cancer"
     return table.withColumn(score, rounded(F.col(f"`{score}`"), 4))
 

@@ -13,7 +13,7 @@ from cohortgrid.cluster import durable, join_side
 from cohortgrid.fixed import MISSING_SHARE, NZV_FREQ_RATIO, NZV_UNIQUE_PERCENT
 from cohortgrid.matrix import Matrix
 from cohortgrid.operators.moments import present
-from cohortgrid.operators.partials import dense
+from cohortgrid.operators.partials import dense, list_column
 
 HASH_WORDS = 16  # of 64 hash buckets each
 LOOK = 4
@@ -93,6 +93,21 @@ def standardize_matrix(matrix: Matrix, scale: DataFrame) -> Matrix:
     return Matrix(matrix.vectors.select("sample_id", scaled("x").alias("x")), width, matrix.listed, matrix.table)
 
 
+def fill_missing(matrix: Matrix, scale: DataFrame) -> Matrix:
+    """Missing values become the mean of their feature in a fitted feature_scaler, or 0 where it has none. Row-local."""
+    width = matrix.width
+    fitted = scale.where("mean IS NOT NULL").select("ord", "mean").toArrow()
+    mean = np.zeros(width)
+    mean[fitted.column("ord").to_numpy()] = fitted.column("mean").to_numpy()
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def filled(column: pa.Array) -> pa.Array:
+        x = dense(column, width)
+        return list_column(np.where(np.isnan(x), mean, x))
+
+    return Matrix(matrix.vectors.select("sample_id", filled("x").alias("x")), width, matrix.listed, matrix.table)
+
+
 def drop_half_missing(cells: DataFrame, total: int, key: str = "feature") -> DataFrame:
     kept = durable(missingness(cells, total, key).where("kept").select(key))
     return join_side(cells, kept, key, "left_semi")

@@ -100,3 +100,16 @@ def test_varying_features_agree_with_counting(spark, ratio, percent):
     want = {r["ord"] for r in quality.near_zero_variance(cells, n, ratio, percent, "ord").where("NOT near_zero").collect()}
     got = [r["ord"] for r in quality.varying_features(df, vector_moments(df, x.shape[1]), n, ratio, percent).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_fill_missing_puts_means_of_the_training_samples(spark, data):
+    x, group = data
+    vectors = frame(spark, x, group)
+    matrix = Matrix(vectors.select("sample_id", "x"), 37, tuple(f"f{i}" for i in range(37)))
+    train = vectors.where("g = 'a'").select("sample_id")
+    filled = quality.fill_missing(matrix, quality.feature_scaler(matrix_moments(matrix, train), "center"))
+    mine = np.array([v for _, v in sorted((int(r["sample_id"][1:]), r["x"]) for r in filled.vectors.collect())])
+    own = x[[g == "a" for g in group]]
+    known = ~np.isnan(own)
+    means = np.where(known, own, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+    assert np.allclose(mine, np.where(np.isnan(x), means, x), rtol=1e-12, atol=0) and means[5] == 0.0
